@@ -23,6 +23,11 @@ _ANY = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _IRREGULAR = f"^[ \n]|[ \n]$|[ \n][ \n]|[{''.join(c for c in WHITE + ODD if c not in ' \n')}]"
 
 
+def _whole(texts: pa.Array) -> pa.Array:
+    """A copy that starts at the start of its buffers: Arrow's string functions err on slices that were cast."""
+    return texts.cast(pa.string()).take(pa.array(np.arange(len(texts))))
+
+
 class Chunked:
     """names: distinct chunks; index: for each chunk in order its name; ends: for each text the end of its chunks."""
 
@@ -42,7 +47,7 @@ class Chunked:
 
 def spaced(texts: pa.Array) -> Chunked:
     """Chunks keep the white space before them. Joined, they give the text."""
-    texts = texts.cast(pa.large_string())
+    texts = _whole(texts)
     odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
     even = texts.filter(pa.array(~odd))
     pieces = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
@@ -73,7 +78,7 @@ def spaced(texts: pa.Array) -> Chunked:
 
 def words(texts: pa.Array, lower: bool = True) -> Chunked:
     """Chunks between ASCII white space, ASCII letters in lower case if lower; some chunks may be empty."""
-    texts = texts.cast(pa.large_string())
+    texts = _whole(texts)
     pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = pieces.offsets.to_numpy().astype(np.int64)
     coded = pieces.flatten().dictionary_encode()

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor shares: spark.checkpoint.dir, or on one machine an own one if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that every executor shares: spark.checkpoint.dir; where that is unset, as on one machine, an own one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="midden-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="midden-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
