@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, orc_tokens
+from . import bpe, jaccard, orc_tokens, pii, rules, toxicity
 from .common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -15,8 +15,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.stored(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_orc_token_ids)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op7_orc_token_ids, op8_quality_rules, op9_personal_data, op10_ngram_jaccard)}

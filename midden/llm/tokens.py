@@ -1,7 +1,9 @@
 """Ids of whole texts by a tokenizers file, with the library called once for each new chunk.
 
 A chunk is what stands between white space (see chunks). Chunks that end in a comma or full
-stop behind an ASCII letter are looked up without it, as both pre-tokenizers cut there.
+stop behind an ASCII letter are looked up without it, as both pre-tokenizers cut there. A
+chunk of Latin letters only is one pre-token, so it goes straight to the library's BPE
+model; all others go through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -17,6 +19,13 @@ from .common import single_threaded
 ENDINGS = ",."
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the rest from U+0100 on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class Encoder:
     """Ids by a file of the tokenizers library; word_ends: its vocabulary drops white space and case."""
 
@@ -26,22 +35,43 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.word_ends, self.letters = word_ends, byte_letters()
         self.cut = chunks.words if word_ends else chunks.spaced
         self.cache = chunks.Cache(self._make, limit)
         self.endings = {c: self._plain([c])[0] for c in ENDINGS}
+        self.newline = self._plain(["\n"])[0]
         self.empty = np.empty(0, np.uint32)
 
     def _plain(self, names: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(names, add_special_tokens=False)]
 
+    def _spelled(self, name: str) -> str | None:
+        """The one pre-token that name is, as the model spells it, or None."""
+        lead, core = (name[0], name[1:]) if name[0] == " " else ("", name)
+        if not core.isalpha() or not core.isascii() and max(core) > "\xff":
+            return None
+        if self.word_ends:
+            core = core.lower()
+        return (lead + core).encode().decode("latin-1").translate(self.letters)
+
     def _make(self, names: list[str]) -> list[np.ndarray]:
         bare = [n[:-1] if n[-1:] in ENDINGS and len(n) > 1 and n[-2].isascii() and n[-2].isalpha() else n for n in names]
-        todo = {b: i for i, b in enumerate(dict.fromkeys(b for b in bare if b))}
-        made = self._plain(list(todo))
+        starts = [b[:1] == "\n" and b[1:2].isalpha() and not self.word_ends for b in bare]
+        core = [b[1:] if s else b for b, s in zip(bare, starts, strict=True)]
+        made: dict[str, np.ndarray] = {"": self.empty}
+        whole = []
+        for c in dict.fromkeys(core):
+            if c and (spelled := self._spelled(c)) is not None:
+                made[c] = np.array([t.id for t in self.tool.model.tokenize(spelled)], np.uint32)
+            elif c:
+                whole.append(c)
+        made.update(zip(whole, self._plain(whole), strict=True))
         out = []
-        for name, b in zip(names, bare, strict=True):
-            ids = made[todo[b]] if b else self.empty
-            out.append(ids if len(b) == len(name) else np.concatenate((ids, self.endings[name[-1]])))
+        for name, b, s, c in zip(names, bare, starts, core, strict=True):
+            ids = made[c]
+            if s or len(b) != len(name):
+                ids = np.concatenate((self.newline if s else self.empty, ids, self.empty if len(b) == len(name) else self.endings[name[-1]]))
+            out.append(ids)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
