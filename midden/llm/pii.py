@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,8 +175,8 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [_redacted(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
             new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
-            changed = pa.compute.is_valid(batch.column("__spans"))
-            cols = [pa.compute.if_else(changed, pa.array(new[c], batch.column(c).type), batch.column(c)) if c in new else batch.column(c) for c in names]
+            changed = pc.is_valid(batch.column("__spans"))
+            cols = [pc.if_else(changed, pa.array(new[c], batch.column(c).type), batch.column(c)) if c in new else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(run, docs.schema)

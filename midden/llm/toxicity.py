@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,7 +301,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            text = pa.compute.fill_null(batch.column("text"), "")
+            text = pc.fill_null(batch.column("text"), "")
             yield batch.filter(pa.array(model.value.scores(text) < 0.5)).select(names)
 
     return docs.mapInArrow(run, docs.schema)
