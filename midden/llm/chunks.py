@@ -36,13 +36,14 @@ class Chunked:
 
     def gather(self, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' values in a row, and for each text the end of its own; values has an array for each name."""
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        sizes = np.fromiter(map(len, values), np.int32, len(values))
         pool = np.concatenate(values) if values else np.empty(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         own = sizes[self.index]
-        total = np.cumsum(own)
-        flat = pool[np.repeat(starts[self.index] - (total - own), own) + np.arange(int(own.sum()))]
-        return flat, np.concatenate(([0], total))[self.ends]
+        total = np.cumsum(own, dtype=np.int32)
+        place = np.repeat(starts[self.index] - (total - own), own)
+        place += np.arange(len(place), dtype=np.int32)
+        return pool[place], np.concatenate(([0], total)).astype(np.int64)[self.ends]
 
 
 def spaced(texts: pa.Array) -> Chunked:

@@ -30,7 +30,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, word_ends:
     """Write doc_id, n_tokens and ids (with end_id) in ascending doc_id order; stripe_bytes and index_rows are ORC's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             rows = list(tokens.each(batch.column("text"), tokenizer, word_ends, end_id))
             sizes = np.fromiter(map(len, rows), np.int32, len(rows))
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))

@@ -153,15 +153,8 @@ def train(texts: list[str], toxic: np.ndarray, languages: list[str], rounds: int
     text_of = np.repeat(np.arange(words.n), np.diff(np.append(words.starts, len(words.rows))))
     pairs = np.unique(text_of * (len(words.names) + 1) + words.rows)
     owner, word = np.divmod(pairs, len(words.names) + 1)
-    flat = np.unique((owner[:, None] * BUCKETS + buckets[word])[buckets[word] >= 0])
-    owner, bucket = np.divmod(flat, BUCKETS)
     aside = np.arange(words.n) % 5 == 0
-    fit_rows = ~aside[owner]
-    kept, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
-    p = np.bincount(inverse, weights=fit_rows & (toxic[owner] == 1), minlength=len(kept))
-    n = np.bincount(inverse, weights=fit_rows & (toxic[owner] == 0), minlength=len(kept))
-    many = count >= 2
-    kept, p, n = kept[many], p[many], n[many]
+    kept, p, n = _document_counts(owner, word, buckets, toxic, aside)
     model = Model(kept, seed=seed)
     of = [max(1, int(((toxic == c) & ~aside).sum())) for c in (0, 1)]
     model.rows[:-1, 0] = np.clip(np.log(((p + 0.5) / of[1]) / ((n + 0.5) / of[0])), -1, 4) / 4
@@ -185,6 +178,22 @@ def train(texts: list[str], toxic: np.ndarray, languages: list[str], rounds: int
     return model
 
 
+def _document_counts(owner: np.ndarray, word: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, aside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of at least two texts, and how many toxic and other training texts have each; one kind of bucket at a time bounds memory."""
+    parts = []
+    for c in range(buckets.shape[1]):
+        column = buckets[word, c]
+        flat = np.unique(owner[column >= 0] * BUCKETS + column[column >= 0])
+        text, bucket = np.divmod(flat, BUCKETS)
+        kept, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
+        use = ~aside[text]
+        p = np.bincount(inverse, weights=use & (toxic[text] == 1), minlength=len(kept))
+        n = np.bincount(inverse, weights=use & (toxic[text] == 0), minlength=len(kept))
+        parts.append((kept[count >= 2], p[count >= 2], n[count >= 2]))
+    kept, first = np.unique(np.concatenate([x[0] for x in parts]), return_index=True)
+    return kept, np.concatenate([x[1] for x in parts])[first], np.concatenate([x[2] for x in parts])[first]
+
+
 def _descend(model: Model, words: Words, places: np.ndarray, toxic: np.ndarray, use: np.ndarray, rounds: int, batch: int, rate: float, seed: int) -> None:
     """Adaptive gradient steps; the gradient of a maximum goes to the place where it is taken."""
     rng = np.random.default_rng(seed)
@@ -257,7 +266,7 @@ def constant(share: float) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, sample_bytes: int = 24 << 20, train_rows=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 2000, sample_bytes: int = 12 << 20, train_rows=None) -> Model:
     """Fit on at most `sample` training rows of each label, first by the hash of their id, with at most sample_bytes of text in whole texts."""
     keep = ~held_out() if train_rows is None else train_rows
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
