@@ -1,11 +1,55 @@
-"""A training-corpus pipeline of the corpus operators."""
+"""A training-corpus pipeline: each stage applies one corpus operator to what its predecessor kept.
 
-STAGES: list = []
+Near duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8
+or more; of each group the smallest id stays. The last stage gives the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from midden.llm import jaccard, packing, pii, rules, toxicity
+from midden.llm.common import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs, n=5, num=80, den=100)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_poor),
+    ("ngram_jaccard", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
+
+#: Classifiers, learned rules and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each result is written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = cut(docs, f"pipeline-{name}")
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, orc_tokens, pii, rules, toxicity
+from . import audio, bpe, cotrain, html_blocks, jaccard, orc_tokens, packing, pii, rules, toxicity
 from .common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +19,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), 1, 4096)
+
+
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.stored(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), 0)
 
@@ -36,4 +53,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op7_orc_token_ids, op8_quality_rules, op9_personal_data, op10_ngram_jaccard)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_toxicity, op3_quality_cotraining, op4_audio_features, op5_pattern_packing, op6_html_blocks, op7_orc_token_ids, op8_quality_rules, op9_personal_data, op10_ngram_jaccard)
+}
