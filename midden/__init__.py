@@ -1,0 +1 @@
+"""Spark-native analytics for damage-aware genome binning: tables in, DataFrame programs, tables out."""

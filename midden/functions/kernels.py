@@ -1,0 +1,97 @@
+"""Sequence features without a relational form, as Arrow-batched pandas functions."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, LongType
+
+
+def cgr_points(seq: str) -> np.ndarray:
+    """Chaos-game positions in the unit square; an unknown base pulls to the centre."""
+    corner = {"A": (0.0, 0.0), "C": (0.0, 1.0), "G": (1.0, 1.0), "T": (1.0, 0.0)}
+    out = np.empty((len(seq), 2))
+    x = y = 0.5
+    for i, c in enumerate(seq.upper()):
+        cx, cy = corner.get(c, (0.5, 0.5))
+        x, y = (x + cx) / 2, (y + cy) / 2
+        out[i] = x, y
+    return out
+
+
+def cgr_nine(seq: str) -> list[float]:
+    """Occupancy, entropy by the occupied cells' logarithm, and squared variation of counts, on grids of 16, 32 and 64."""
+    points, out = cgr_points(seq), []
+    for size in (16, 32, 64):
+        cells = np.minimum((points * size).astype(int), size - 1)
+        counts = np.bincount(cells[:, 0] * size + cells[:, 1], minlength=size * size).astype(float)
+        used = counts[counts > 0]
+        if not len(used):
+            out += [0.0, 0.0, 0.0]
+            continue
+        p = used / used.sum()
+        out += [len(used) / size**2, float(-(p * np.log2(p)).sum() / max(1.0, np.log2(len(used)))), float(counts.var() / counts.mean() ** 2)]
+    return out
+
+
+def lz_phrases(seq: str) -> int:
+    """Phrases of the Lempel-Ziv 78 parse."""
+    seen, phrase, n = set(), "", 0
+    for c in seq:
+        phrase += c
+        if phrase not in seen:
+            seen.add(phrase)
+            n, phrase = n + 1, ""
+    return n + bool(phrase)
+
+
+def hurst(x: np.ndarray) -> float:
+    """Slope of log rescaled range on log window size; 0.5 of series under 32."""
+    if len(x) < 32:
+        return 0.5
+    sizes, ranges = [], []
+    size = 8
+    while size <= len(x) // 2:
+        parts = x[: len(x) // size * size].reshape(-1, size)
+        dev = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
+        sd = parts.std(axis=1)
+        rs = (dev.max(axis=1) - dev.min(axis=1))[sd > 0] / sd[sd > 0]
+        if len(rs):
+            sizes.append(np.log(size))
+            ranges.append(np.log(rs.mean() + 1e-12))
+        size *= 2
+    return float(np.polyfit(sizes, ranges, 1)[0]) if len(sizes) > 1 else 0.5
+
+
+def minhash(items: list[str], size: int = 128) -> list[int]:
+    """The least of `size` mixes of each item's 64-bit hash."""
+    import xxhash
+
+    if not items:
+        return []
+    h = np.array([xxhash.xxh3_64_intdigest(x) for x in set(items)], np.uint64)
+    mix = np.arange(1, 2 * size, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [int(v) for v in ((h[None, :] * mix[:, None]) ^ (h[None, :] >> np.uint64(31))).min(axis=1).view(np.int64)]
+
+
+@pandas_udf(ArrayType(DoubleType()))
+def cgr9(seq: pd.Series) -> pd.Series:
+    return seq.fillna("").map(cgr_nine)
+
+
+@pandas_udf(DoubleType())
+def lz(seq: pd.Series) -> pd.Series:
+    """Phrases times log2(n) / n."""
+    return seq.fillna("").map(lambda s: lz_phrases(s) * np.log2(len(s)) / len(s) if len(s) > 1 else 0.0)
+
+
+@pandas_udf(DoubleType())
+def hurst_of(seq: pd.Series) -> pd.Series:
+    """Of the purine walk's steps."""
+    return seq.fillna("").map(lambda s: hurst(np.array([1.0 if c in "AGag" else -1.0 for c in s])))
+
+
+@pandas_udf(ArrayType(LongType()))
+def minhash128(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: minhash([] if w is None else list(w)))

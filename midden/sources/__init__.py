@@ -1,0 +1,87 @@
+"""Readers and writers of the domain's text formats; every reader is a splittable Spark scan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, length, seq): records split at a line that starts with '>', the name up to the first white space."""
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    record = F.regexp_replace("value", "^>", "")
+    head = F.substring_index(record, "\n", 1)
+    seq = F.regexp_replace(F.when(F.locate("\n", record) > 0, record.substr(F.length(head) + 2, F.length(record))).otherwise(""), r"\s", "")
+    return rows.where(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S*)", 1).alias("contig"), F.length(seq).alias("length"), seq.alias("seq"))
+
+
+def write_fasta(contigs: DataFrame, path: str, by: str | None = None, width: int = 80) -> None:
+    """Wrapped at width; a folder for each value of `by`."""
+    body = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    text = F.concat(F.lit(">"), F.col("contig"), F.lit("\n"), body).alias("value")
+    (contigs.select(text, by).write.partitionBy(by) if by else contigs.select(text).write).text(path)
+
+
+def embeddings_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, embedding): a name and float columns; a header line has no number in its second column."""
+    parts = F.split("value", "\t")
+    values = F.transform(F.slice(parts, 2, 100_000), lambda x: x.try_cast("float"))
+    return spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("contig"), values.alias("embedding")).where(F.get("embedding", F.lit(0)).isNotNull())
+
+
+def seed_list(spark: SparkSession, path: str) -> DataFrame:
+    """(contig): one a line, or the first of tab-separated columns; # starts a comment."""
+    name = F.trim(F.split("value", "\t")[0])
+    return spark.read.text(path).where(~F.col("value").startswith("#")).select(name.alias("contig")).where("contig <> ''")
+
+
+def domtblout(spark: SparkSession, path: str, coverage: float = 0.4) -> DataFrame:
+    """(target, marker, qlen, ali_from, ali_to): hits of at least 17 columns that cover enough of the query."""
+    c = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(c) >= 17))
+    rows = rows.select(c[0].alias("target"), F.get(c, F.lit(3)).alias("marker"), F.get(c, F.lit(5)).try_cast("int").alias("qlen"), F.get(c, F.lit(15)).try_cast("int").alias("ali_from"), F.get(c, F.lit(16)).try_cast("int").alias("ali_to"))
+    return rows.where((F.col("qlen") > 0) & ((F.col("ali_to") - F.col("ali_from")) / F.col("qlen") >= coverage))
+
+
+def marker_sets(spark: SparkSession, path: str, domain: str) -> DataFrame:
+    """(domain, set_id, marker) of the first line that is no comment: sets in the notation set(['a', 'b'])."""
+    line = spark.read.text(path, wholetext=True).select(F.get(F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), F.lit(0)).alias("line"))
+    sets = line.select(F.posexplode(F.regexp_extract_all("line", F.lit(r"set\(\[([^\]]*)\]\)"), 1)).alias("set_id", "body"))
+    return sets.select(F.lit(domain).alias("domain"), "set_id", F.explode(F.regexp_extract_all("body", F.lit(r"'([^']+)'"), 1)).alias("marker"))
+
+
+def sam(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of a SAM text: pos is 0-based, qual an array of Phred values."""
+    c = F.split("value", "\t")
+    tags = F.slice(c, 12, 1000)
+    tag = lambda name: F.regexp_extract(F.get(F.filter(tags, lambda t: t.startswith(name + ":")), F.lit(0)), r"^[^:]+:[^:]+:(.*)$", 1)
+    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(c) >= 11))
+    return rows.select(F.get(c, F.lit(0)).alias("qname"), F.get(c, F.lit(1)).cast("int").alias("flag"), F.get(c, F.lit(2)).alias("contig"), (F.get(c, F.lit(3)).cast("int") - 1).alias("pos"), F.get(c, F.lit(4)).cast("int").alias("mapq"), F.get(c, F.lit(5)).alias("cigar"), F.get(c, F.lit(8)).cast("int").alias("isize"), F.get(c, F.lit(9)).alias("seq"), F.transform(F.split(F.get(c, F.lit(10)), ""), lambda x: F.ascii(x) - 33).alias("qual"), tag("MD").alias("md"), tag("NM").try_cast("int").alias("nm"), tag("AS").try_cast("int").alias("as"))
+
+
+def aligned_blocks(reads: DataFrame, skip_flags: int = 0x804) -> DataFrame:
+    """(contig, start, end): half-open reference blocks of M, = and X operations, without unmapped and supplementary reads."""
+    ops = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), 0)
+    step = F.aggregate(
+        ops,
+        F.struct(F.col("pos").cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")),
+        lambda s, op: F.struct(
+            F.when(F.substring(op, -1, 1).isin("M", "=", "X", "D", "N"), s.at + op.substr(F.lit(1), F.length(op) - 1).cast("long")).otherwise(s.at).alias("at"),
+            F.when(F.substring(op, -1, 1).isin("M", "=", "X"), F.concat(s.out, F.array(F.struct(s.at.alias("start"), (s.at + op.substr(F.lit(1), F.length(op) - 1).cast("long")).alias("end"))))).otherwise(s.out).alias("out"),
+        ),
+    )
+    return reads.where(F.col("flag").bitwiseAND(skip_flags) == 0).select("contig", F.explode(step.out).alias("b")).select("contig", "b.start", "b.end")
+
+
+def write_run(rows: DataFrame, path: str) -> None:
+    """A run archive: a Parquet table partitioned by run_id."""
+    rows.write.partitionBy("run_id").mode("append").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    rows.write.option("sep", "\t").option("header", True).csv(path)
