@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import slate
+from .plans import evidence, slate
+
+assert evidence  # registers its queries with the slate
 
 FLAGSHIP = "set_quality"
 QUERIES = dict(slate.QUERIES)
