@@ -6,6 +6,7 @@ import comparing
 import pytest
 from conftest import SMALL
 
+from midden import registry
 from midden.plans import slate
 
 
@@ -36,5 +37,6 @@ def test_communities_cover_all_nodes(spark):
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
+    assert registry.FLAGSHIP in registry.ORACLES
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
