@@ -48,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
     for batch in batches:
         at = batch.schema.get_field_index(column)
         col = batch.column(at)
-        ends = pc.cumulative_sum(pc.cast(pc.binary_length(col), pa.int64())).to_numpy(zero_copy_only=False)
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(col), 0), pa.int64())).to_numpy(zero_copy_only=False)
         begin, done = 0, 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(ends.searchsorted(done + limit, side="right")))

@@ -93,7 +93,7 @@ def test_chunked_ids_equal_whole_texts(name, word_ends):
 
 
 def test_slices_keep_all_rows():
-    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, "", "b" * 100, "c"])], ["text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, "", None, "b" * 100, "c"])], ["text"])
     assert [x for b in slices(iter([batch]), "text", 12) for x in b.column(0).to_pylist()] == batch.column(0).to_pylist()
 
 
@@ -197,6 +197,7 @@ def test_rules(docs, none, labels):
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r["base_failed"] and r["kept"])
     assert rules.fit(none, labels) == [] and rules.judge(none, []).count() == 0
     assert rules.keep(docs, labels).columns == docs.columns
+    assert {r["doc_id"] for r in rules.keep(docs, labels).collect()} <= {r["doc_id"] for r in rows if not r["base_failed"]}
 
 
 def test_rules_are_learned_and_pruned():
@@ -294,7 +295,8 @@ def test_jaccard_edges(spark, docs, none):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     want = brute_components(list(rows.items()), 3, 90, 100)
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
-    assert jaccard.one_of_each(docs).columns == docs.columns
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and {8} <= {r["doc_id"] for r in kept.collect()} and 9 not in {r["doc_id"] for r in kept.collect()}
 
 
 def test_sketches_bound_from_below():
@@ -375,6 +377,7 @@ def test_toxicity_edges(docs, none, labels):
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert toxicity.judge(none, labels).count() == 0 and toxicity.keep(docs, labels).columns == docs.columns
+    assert toxicity.keep(docs, labels).count() == sum(r["predicted"] == 0 for r in rows)
 
 
 def test_cotraining(docs, none, labels):
