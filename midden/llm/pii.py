@@ -4,7 +4,8 @@ Seeds are the fixed patterns' matches. Every word with a digit or an at sign is
 its lexical patterns are the words beside it and the name that stands before an = or : in
 it. Spark scores the graph of patterns and instances in rounds: a pattern's score is
 the smoothed mean of its instances' scores, an instance's that of its patterns, seeds stay at 1. Instances
-with high-confidence patterns of their own become spans of kind "id".
+with high-confidence patterns of their own are accepted, speak for further patterns as seeds do, with the score they
+were accepted at, and so on until no new one is accepted. They become spans of kind "id".
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; without seeds
 nothing is added; overlapping matches of different kinds are all given; extra columns pass.
@@ -12,6 +13,7 @@ nothing is added; overlapping matches of different kinds are all given; extra co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -74,6 +76,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def key(word: str, longest: int) -> str:
+    """The word; of a longer one a hash of the whole behind a space, which no word has."""
+    return word if len(word) <= longest else " " + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def words_before(text: str, end: int) -> list[str]:
+    """The last two words before end, whole."""
+    size = 80
+    while len(words := text[max(0, end - size) : end].lower().split()) < 3 and size < end:
+        size *= 2
+    return [key(w, 80) for w in words[-2:]]
+
+
+def word_after(text: str, start: int) -> list[str]:
+    """The first word from start on, whole."""
+    size = 40
+    while len(words := text[start : start + size].lower().split()) < 2 and start + size < len(text):
+        size *= 2
+    return [key(w, 80) for w in words[:1]]
+
+
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, value, whether it is a seed, lexical patterns) of every word with a digit or an at sign."""
     out: list = []
@@ -87,13 +110,13 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         while at < len(base) and base[at][2] <= start:
             at += 1
         seed = any(a < end and start < b for a, _, b in base[at : at + 4])
-        before, after = text[max(0, m.start() - 80) : m.start()].lower().split()[-2:], text[m.end() : m.end() + 40].lower().split()[:1]
+        before, after = words_before(text, m.start()), word_after(text, m.end())
         patterns = ["<" + w for w in before[-1:]] + ["<<" + " ".join(before)] * (len(before) == 2) + [">" + w for w in after]
-        if not seed and (n := NAMED.fullmatch(text[start:end])):
-            patterns.append("=" + n[1].lower())
+        if (n := NAMED.fullmatch(text[start:end])):
+            patterns.append("=" + key(n[1].lower(), 80))
             start += len(n[1])
         if end - start >= 4:
-            out.append((start, end, text[start:end][:200], seed, patterns))
+            out.append((start, end, key(text[start:end], 200), seed, patterns))
     return out
 
 
@@ -122,20 +145,27 @@ def scan(docs: DataFrame) -> DataFrame:
 def accepted(scanned: DataFrame, rounds: int = 3, smooth: float = 3.0, least: float = 0.6, support: int = 3) -> DataFrame:
     """(value): the instances that aren't seeds and that the scored graph takes for identifiers.
 
-    support: seeds that a pattern must have met to speak for others.
+    support: seeds and instances accepted before that a pattern must have met to speak for others. Each hop scores the
+    graph anew in rounds; hops end when none accepts anything, as then the next would score the same.
     """
     each = scanned.where(F.size("found") > 0).select(F.explode("found").alias("x"))
     edges = each.select("x.value", "x.seed", F.explode("x.patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     edges = cut(edges, "pii-edges")
-    scores = None
-    for _ in range(rounds):
-        known = edges if scores is None else edges.join(scores, "value", "left")
-        own = F.when(F.col("seed"), 1.0).otherwise(F.lit(0.0) if scores is None else F.coalesce(F.col("score"), F.lit(0.0)))
-        patterns = known.groupBy("pattern").agg(F.sum(own).alias("sum"), F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
-        patterns = patterns.where(F.col("seeds") >= support).select("pattern", (F.col("sum") / (F.col("n") + smooth)).alias("confidence"))
-        scores = edges.where("NOT seed").join(patterns, "pattern").groupBy("value").agg(F.avg("confidence").alias("score"))
-        scores = cut(scores, "pii-scores")
-    return scores.where(F.col("score") >= least).select("value")
+    held = edges.sparkSession.createDataFrame([], "value string, held double")
+    while True:
+        scores = None
+        for _ in range(rounds):
+            known = edges.join(held, "value", "left")
+            known = known.withColumn("score", F.lit(0.0)) if scores is None else known.join(scores, "value", "left")
+            own = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("held", "score", F.lit(0.0)))
+            patterns = known.groupBy("pattern").agg(F.sum(own).alias("sum"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") | F.col("held").isNotNull()).alias("known"))
+            patterns = patterns.where(F.col("known") >= support).select("pattern", (F.col("sum") / (F.col("n") + smooth)).alias("confidence"))
+            scores = edges.where("NOT seed").join(patterns, "pattern").groupBy("value").agg(F.avg("confidence").alias("score"))
+            scores = cut(scores, "pii-scores")
+        fresh = cut(scores.where(F.col("score") >= least).join(held, "value", "left_anti").select("value", F.col("score").alias("held")), "pii-fresh")
+        if fresh.isEmpty():
+            return held.select("value")
+        held = cut(held.unionAll(fresh), "pii-held")
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -245,6 +245,30 @@ def test_bootstrapped_identifiers(spark, none):
     assert pii.report(none).count() == 0 and pii.redact(none).columns == none.columns
 
 
+def test_identifiers_over_several_hops(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    rows = [(i, f"please write to user{i}@mail.example.com today, {word()}") for i in range(60)]
+    rows += [(100 + i, f"please write to ZX-{i}-77Q today, then {word()} {word()} staff badge ZX-{i}-77Q shown") for i in range(40)]
+    rows += [(200 + i, f"{word()} staff badge QQ-{i}-5 shown") for i in range(3)]  # no seed has this context
+    rows += [(300 + i, f"{word()} {word()} contact=user{i}@mail.example.com {word()}") for i in range(30)]
+    rows += [(400 + i, f"{word()} {word()} contact=KV-{i}-8 {word()}") for i in range(3)]
+    long = "Z9" * 150
+    rows += [(500, f"please write to {long}a today, {word()}"), (501, f"{word()} {word()} {long}b {word()}")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].count("id:") == 2 for i in range(100, 140))
+    assert all("id:22:" in got[i] for i in range(200, 203))
+    assert all("id:28:" in got[i] for i in range(400, 403))
+    assert "id:16:" in got[500] and got[501] == ""
+
+
+def test_contexts_are_whole_words():
+    found = pii.instances("x" * 500 + " " + "y" * 90 + " A-1234 " + "z" * 90 + " end", [])
+    assert found[0][4] == pii.instances("x" * 500 + "  " + "y" * 90 + " A-1234 " + "z" * 90, [])[0][4]
+    assert found[0][4] != pii.instances("x" * 499 + " " + "y" * 90 + " A-1234 " + "z" * 90, [])[0][4]
+    assert found[0][4] != pii.instances("x" * 500 + " " + "y" * 90 + " A-1234 " + "z" * 89, [])[0][4]
+
+
 def brute_components(rows, n, num, den) -> dict:
     sets = {}
     for i, t in rows:
