@@ -10,16 +10,19 @@ training rows set aside for that, each language's logits get a logistic calibrat
 that 0.5 is the threshold in every language. The lang column only names the classes on which
 the guesser is fitted; labels, lang, source and doc_id are no inputs of a score.
 
-The classifier is fitted on a bounded sample (sample labelled rows of each label, and
-sample_bytes of text); every document is scored whole.
+The classifier is fitted on a bounded sample (sample labelled rows of each label, and half of
+sample_bytes of text for each); labelled documents of more than LONGEST bytes are passed over in training.
+Every document is scored whole.
 
 Cases: null and empty texts get the score of a text without words; without both labels in the
 training rows every score is the share of toxic rows among them (0 if there are none), at
-most 0.49; repeated rows get equal scores; extra columns don't matter.
+most 0.49, and a warning says so; if both labels are there but training can't use them as their texts are longer
+than LONGEST, fit fails; repeated rows get equal scores; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import slices, texts_of
+from .common import cut, slices, texts_of
 
 BUCKETS = 1 << 26
 PREFIXES = (3, 4, 5)
 WIDTHS = (1, 2, 3)
+LONGEST = 256 << 10  # bytes of all rows of a document that training may use
+LEAST = 20  # labelled documents
 STRIP = ".,;:!?\"'()[]"
 
 
@@ -267,23 +272,35 @@ def constant(share: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 2000, sample_bytes: int = 12 << 20, train_rows=None) -> Model:
-    """Fit on at most `sample` training rows of each label, first by the hash of their id, with at most sample_bytes of text in whole texts."""
+    """Fit on at most `sample` training rows of each label, first by the hash of their id, as long as a label's texts, whole, stay in half of sample_bytes."""
     keep = ~held_out() if train_rows is None else train_rows
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).join(known, "doc_id").groupBy("doc_id", "label").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    sizes = cut(sizes, "toxicity-sizes")  # numbers of labelled documents
+    longest = min(LONGEST, sample_bytes // 2)
+    fits = sizes.where((F.col("bytes") <= longest) & (F.col("n") <= longest))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("label = 1").orderBy(*order).limit(sample).unionAll(known.where("label = 0").orderBy(*order).limit(sample))
+    tops = [fits.where(F.col("label") == c).orderBy(*order).limit(sample).toPandas() for c in (0, 1)]
+    tops = [t[(t["bytes"] + t["n"]).cumsum() <= sample_bytes // 2] for t in tops]
+    if sum(map(len, tops)) < LEAST or not all(map(len, tops)):
+        return _without_classifier(sizes, label)
+    ids = [(i, c) for c, t in enumerate(tops) for i in t["doc_id"].tolist()]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(ids, f"doc_id {kind}, label int")
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows of two numbers
-    total = F.sum(F.octet_length("text").cast("long"))
-    sizes = rows.groupBy("label").agg(total.alias("bytes")).toPandas()
-    limit = sample_bytes / max(1, float(sizes["bytes"].sum())) if len(sizes) else 1.0
-    if limit < 1:  # long samples: a share of the ids by their hash
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(limit * 1_000_000))
     got = rows.toPandas().sort_values(["doc_id", "text"])
-    toxic = got["label"].to_numpy(np.float32)
-    if len(got) < 20 or toxic.min() == toxic.max():
-        return constant(float(toxic.mean()) if len(got) else 0.0)
-    return train(got["text"].tolist(), toxic, got["lang"].tolist())
+    return train(got["text"].tolist(), got["label"].to_numpy(np.float32), got["lang"].tolist())
+
+
+def _without_classifier(sizes: DataFrame, label: str) -> Model:
+    """The constant model of too few labelled documents; an error if there are enough, but too long ones."""
+    have = {r["label"]: (r["docs"], r["toxic"]) for r in sizes.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("label").alias("toxic")).collect()}
+    docs, toxic = (sum(x) for x in zip(*have.values(), strict=True)) if have else (0, 0)
+    if docs >= LEAST and len(have) == 2:
+        raise ValueError(f"{label}: of {docs} labelled documents too few have at most {LONGEST} bytes for training")
+    warnings.warn(f"{label}: {docs} labelled documents of {len(have)} labels are no base for a classifier; all documents get one score", stacklevel=3)
+    return constant(toxic / docs if docs else 0.0)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

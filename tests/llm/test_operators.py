@@ -404,6 +404,22 @@ def test_toxicity_edges(docs, none, labels):
     assert toxicity.keep(docs, labels).count() == sum(r["predicted"] == 0 for r in rows)
 
 
+def test_toxicity_sample_with_a_long_text(spark, docs, labels):
+    t, y = labelled_texts(400)
+    t[3] = "word " * 4_000_000  # one long labelled text leaves the others in the sample
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    model = toxicity.fit(df, known)
+    s = model.scores(pa.array([x for i, x in enumerate(t) if i != 3]))
+    assert ((s >= 0.5) == (np.delete(y, 3) == 1)).mean() > 0.9
+    small = toxicity.fit(df, known, sample_bytes=40_000)
+    assert len(small.kept) and not np.array_equal(small.calibration[:, 0], [0.0])
+    with pytest.warns(UserWarning, match="2 labelled documents"):
+        toxicity.fit(docs, labels)
+    with pytest.raises(ValueError, match="of [0-9]+ labelled"):
+        toxicity.fit(df.withColumn("text", F.repeat(F.lit("long text "), 40_000)), known)
+
+
 def test_cotraining(docs, none, labels):
     rng = np.random.default_rng(2)
     y = (rng.random(300) < 0.7).astype(float)
