@@ -12,13 +12,16 @@ anew with neutral containers and more kinds of boilerplate from other pages' wor
 labeller doesn't depend on one template.
 
 Cases: a null or empty html, or one without text, gives an empty text; broken markup is read as far as it
-goes; repeated rows get equal texts; very long pages are labelled whole; extra columns don't matter.
+goes: an open head ends where the body's elements or text begin, and an unclosed noscript, select or object hides nothing
+from the next block element on; without article or main in any page containers named as text say what is text,
+and without these all is text but what the markup says is something else; repeated rows get equal texts; very long pages are labelled whole; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,6 +36,8 @@ from .common import slices
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title svg iframe object textarea select".split())
+UNSURE = frozenset("noscript select object".split())  # of HIDDEN, those that hide all up to their own end tag only
+HEAD_TAGS = frozenset("base link meta noscript script style template title head html".split())
 TEXT_TAGS = frozenset(("article", "main"))
 OTHER_TAGS = frozenset("nav header footer aside form button menu dialog".split())
 # Words in class or id names of what is no main text.
@@ -52,6 +57,7 @@ class Blocks(HTMLParser):
         self.found: list[tuple[tuple, str, int]] = []
         self.parts: list[str] = []
         self.hidden = self.links = self.linked = 0
+        self.unsure: list[list] = []  # place in the path, blocks before it, blocks before the first block element in it
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -59,17 +65,43 @@ class Blocks(HTMLParser):
             self.found.append((tuple(self.path), text, self.linked))
         self.parts, self.linked = [], 0
 
+    def end(self, at: int, own: bool = False) -> None:
+        """End the path's elements from at on; own: by the end tag of the one at at."""
+        while self.unsure and self.unsure[-1][0] >= at:
+            place, first, block = self.unsure.pop()
+            last = len(self.found) if block is None or own and place == at else block
+            del self.found[first:last]
+            for other in self.unsure:
+                if other[2] is not None and other[2] > first:
+                    other[2] = max(first, other[2] - (last - first))
+        self.hidden -= sum(t in HIDDEN and t not in UNSURE for t, _ in self.path[at:])
+        del self.path[at:]
+
+    def end_head(self, at: int) -> None:
+        self.flush()
+        self.end(at)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
+        if tag == "body" or tag not in HEAD_TAGS and self.path and self.path[-1][0] == "head":
+            for at, (t, _) in enumerate(self.path):
+                if t == "head":
+                    self.end_head(at)
+                    break
         if tag in VOID:
             return
+        if self.unsure and tag not in INLINE and tag not in HIDDEN and tag not in ("option", "optgroup"):
+            for x in self.unsure:
+                x[2] = len(self.found) if x[2] is None else x[2]
         if tag == "p" and self.path and self.path[-1][0] == "p":  # a paragraph ends where the next begins
             self.path.pop()
-        names = tuple(NAME.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)))[:6]
+        names = tuple(NAME.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)))
         if tag not in INLINE:
             self.path.append((tag, names))
-        self.hidden += tag in HIDDEN
+        if tag in UNSURE:
+            self.unsure.append([len(self.path) - 1, len(self.found), None])
+        self.hidden += tag in HIDDEN and tag not in UNSURE
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -83,11 +115,12 @@ class Blocks(HTMLParser):
         self.flush()
         for at in range(len(self.path) - 1, -1, -1):
             if self.path[at][0] == tag:
-                self.hidden -= sum(t in HIDDEN for t, _ in self.path[at:])
-                del self.path[at:]
+                self.end(at, own=True)
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.path[-1][0] == "head" and data.strip():
+            self.end_head(len(self.path) - 1)
         if not self.hidden:
             self.parts.append(data)
             self.linked += len(data) * bool(self.links)
@@ -98,36 +131,63 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
     parser.feed(html)
     parser.close()
     parser.flush()
+    parser.end(0)
     return parser.found
 
 
-def meaning(path: tuple) -> int:
-    """1: main text, 0: something else, -1: the markup doesn't say."""
+def meaning(path: tuple, named: bool = False) -> int:
+    """1: main text, 0: something else, -1: the markup doesn't say; named: containers named as text count as main text."""
     out = -1
     for tag, names in path:
         if tag in OTHER_TAGS or OTHER_NAMES.intersection(names):
             if not (tag == "header" and out == 1):
                 return 0
-        if tag in TEXT_TAGS:
+        if tag in TEXT_TAGS or named and TEXT_NAMES.intersection(names):
             out = 1
     return out
 
 
+@lru_cache(1 << 16)
+def element(tag: str, names: tuple[str, ...]) -> np.ndarray:
+    """The hashed vector of a tag and its name words."""
+    out = np.zeros(PATH)
+    for k, token in enumerate((tag, *names)):
+        for j in (0, 1):
+            h = xxhash.xxh32_intdigest(token, j)
+            out[h % PATH] += (1.0 if h & 1 << 20 else -1.0) * (1.5 if k else 1.0)
+    return out
+
+
+def ancestors(path: tuple) -> np.ndarray:
+    """The sum over the whole path; weights fall with the distance, which for elements with names or a role counts such elements only."""
+    if not path:
+        return np.zeros(PATH)
+    back = path[::-1]
+    tells = np.array([bool(names) or tag in OTHER_TAGS or tag in TEXT_TAGS for tag, names in back])
+    distance = np.where(tells, np.cumsum(tells) - 1, np.arange(len(back)))
+    return (1 / (1 + 0.5 * distance)) @ np.stack([element(*x) for x in back])
+
+
+@lru_cache(1 << 18)
+def word_code(word: str) -> int:
+    """Where a word counts: the first WORD places are positive, the others negative."""
+    h = xxhash.xxh32_intdigest(word, 7)
+    return h % WORD + (0 if h & 1 << 20 else WORD)
+
+
 def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
-    """A row for each block: hashed path, hashed words and sizes."""
+    """A row for each block: hashed path, hashed words and sizes, all of the whole path and text."""
     out = np.zeros((len(found), PATH + WORD + SIZES), np.float32)
+    known: dict[tuple, np.ndarray] = {}
     for i, (path, text, linked) in enumerate(found):
-        for depth, (tag, names) in enumerate(reversed(path[-6:])):
-            for k, token in enumerate((tag, *names)):
-                for j in (0, 1):
-                    h = xxhash.xxh32_intdigest(token, j)
-                    out[i, h % PATH] += (1.0 if h & 1 << 20 else -1.0) * (1.5 if k else 1.0) / (1 + 0.5 * depth)
-        words = text[:2000].lower().split(" ")
-        for w in words[:24]:
-            h = xxhash.xxh32_intdigest(w, 7)
-            out[i, PATH + h % WORD] += (0.3 if h & 1 << 20 else -0.3) / max(1, min(24, len(words))) ** 0.5
+        if path not in known:
+            known[path] = ancestors(path)
+        out[i, :PATH] = known[path]
+        words = text.lower().split(" ")
+        codes = np.bincount(list(map(word_code, words)), minlength=2 * WORD)
+        out[i, PATH : PATH + WORD] = 0.3 * (codes[:WORD] - codes[WORD:]) / len(words) ** 0.5
         n = len(text)
-        out[i, PATH + WORD :] = (np.log1p(n) / 6, linked / max(1, n), np.log1p(len(words)) / 4, text[-1] in ".!?", text[:1].isupper(), sum(c in ".,;:" for c in text[:400]) / 20, i / max(1, len(found)), np.log1p(len(found)) / 6)
+        out[i, PATH + WORD :] = (np.log1p(n) / 6, linked / max(1, n), np.log1p(len(words)) / 4, text[-1] in ".!?", text[:1].isupper(), np.log1p(sum(map(text.count, ".,;:"))) / 4, i / max(1, len(found)), np.log1p(len(found)) / 6)
     return out
 
 
@@ -226,55 +286,62 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes
 
 
-def rendered(found: list, others: list[str], rng: np.random.Generator) -> tuple[list, list[int]]:
-    """The page's labelled blocks in containers of another template, with boilerplate made of others' words."""
-    known = [(p, t, n, meaning(p)) for p, t, n in found if meaning(p) >= 0]
+def rendered(found: list, others: list[str], rng: np.random.Generator, named: bool = False) -> tuple[list, list[int]]:
+    """The page's labelled blocks in containers of another template, with boilerplate made of others' words, both also deeply nested."""
+    known = [(p, t, n, meaning(p, named)) for p, t, n in found if meaning(p, named) >= 0]
     text = [(p[-1:], t, n) for p, t, n, y in known if y == 1]
     names = sorted(OTHER_NAMES)
     tag = ("article", "main", "section", "div")[rng.integers(4)]
     own = (tag, (sorted(TEXT_NAMES)[rng.integers(len(TEXT_NAMES))],) if tag in ("section", "div") or rng.random() < 0.3 else ())
     root = (("html", ()), ("body", ()))
 
+    def wrappers() -> tuple:
+        """None, or up to a dozen neutral elements."""
+        plain = ("div", "ul", "li", "section", "td")
+        return tuple((plain[rng.integers(len(plain))], ()) for _ in range(int(rng.integers(1, 13)))) if rng.random() < 0.4 else ()
+
     def aside(k: int) -> list:
         out = []
         for _ in range(k):
             kind = ("div", (names[rng.integers(len(names))],)) if rng.random() < 0.7 else (sorted(OTHER_TAGS)[rng.integers(len(OTHER_TAGS))], ())
             leaf = (("p", ()), ("li", ()), ("div", ()), ("ul", ()))[rng.integers(4)]
+            inside = (kind, *wrappers(), leaf)
             for _ in range(int(rng.integers(1, 6))):
                 words = others[rng.integers(len(others))].split(" ")
                 a = int(rng.integers(len(words)))
-                piece = " ".join(words[a : a + int(rng.integers(1, 30))])
-                out.append(((*root, kind, leaf), piece, len(piece) * int(rng.random() < 0.5)))
+                piece = " ".join(words[a : a + int(rng.integers(1, 30))] if rng.random() < 0.6 else words)  # readers write whole paragraphs too
+                out.append(((*root, *inside), piece, len(piece) * int(rng.random() < 0.3)))
         return out
 
     before, after = aside(int(rng.integers(0, 4))), aside(int(rng.integers(0, 4)))
-    middle, labels = [], []
+    middle, labels, own = [], [], (own, *wrappers())
     for leaf, t, n in text:
         if rng.random() < 0.04:
             inner = aside(1)
-            middle += [((*root, own, *p[2:]), piece, k) for p, piece, k in inner]
+            middle += [((*root, *own, *p[2:]), piece, k) for p, piece, k in inner]
             labels += [0] * len(inner)
-        middle.append(((*root, own, *leaf), t, n))
+        middle.append(((*root, *own, *leaf), t, n))
         labels.append(1)
     return before + middle + after, [0] * len(before) + labels + [0] * len(after)
 
 
-def train(pages: list[str], rounds: int = 10, batch: int = 32, seed: int = 3, most_blocks: int = 120) -> Labeller:
-    """Fit on the pages as they are and as rendered anew; of a longer page windows of most_blocks blocks."""
+def train(pages: list[str], rounds: int = 10, batch: int = 32, seed: int = 3, most_blocks: int = 120) -> Labeller | None:
+    """Fit on the pages as they are and as rendered anew; of a longer page windows of most_blocks blocks. None if no page says what is text."""
     rng = np.random.default_rng(seed)
     model = Labeller(seed)
     found = [b for b in map(blocks, pages) if b]
     others = [t for b in found for p, t, _ in b[:8]] or ["text"]
     data = []
+    named = not any(meaning(p) == 1 for b in found for p, _, _ in b)
+    if named and not any(meaning(p, True) == 1 for b in found for p, _, _ in b):
+        return None
     for b in found:
-        for own, y in ((b, [meaning(p) for p, _, _ in b]), rendered(b, others, rng), rendered(b, others, rng)):
+        for own, y in ((b, [meaning(p, named) for p, _, _ in b]), rendered(b, others, rng, named), rendered(b, others, rng, named)):
             if not own:
                 continue
             v = vectors(own)
             for a in range(0, len(own), most_blocks):
                 data.append((v[a : a + most_blocks], np.array(y[a : a + most_blocks])))
-    if not any((y == 1).any() for _, y in data):
-        return model
     m, v, t = {k: np.zeros_like(w) for k, w in model.w.items()}, {k: np.zeros_like(w) for k, w in model.w.items()}, 0
     for r in range(rounds):
         order = rng.permutation(len(data))
@@ -294,23 +361,25 @@ def train(pages: list[str], rounds: int = 10, batch: int = 32, seed: int = 3, mo
     return model
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 150) -> Labeller:
-    """Train on at most `sample` pages, first by the hash of their key."""
-    full = pages.where(F.length(html) > 0).select(F.xxhash64(key, html).alias("mark"), F.col(html).alias("html"))
-    chosen = full.select("mark").distinct().orderBy(F.xxhash64("mark"), "mark").limit(sample)  # marks alone are compared, so no task sends pages
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 150) -> Labeller | None:
+    """Train on at most `sample` pages, those that say what is text before others, then by the hash of their key."""
+    tags, names = (f"(?i)<({'|'.join(sorted(TEXT_TAGS))})[\\s>/]", f"(?i)(class|id|role)\\s*=[^>]*\\b({'|'.join(sorted(TEXT_NAMES))})\\b")
+    says = F.when(F.col(html).rlike(tags), 2).when(F.col(html).rlike(names), 1).otherwise(0)
+    full = pages.where(F.length(html) > 0).select(F.xxhash64(key, html).alias("mark"), says.alias("says"), F.col(html).alias("html"))
+    chosen = full.select("mark", "says").distinct().orderBy(F.desc("says"), F.xxhash64("mark"), "mark").limit(sample).select("mark")  # marks alone are compared, so no task sends pages
     rows = full.join(F.broadcast(chosen), "mark").groupBy("mark").agg(F.first("html").alias("html"))
     return train([r[0] for r in sorted((r["html"], r["mark"]) for r in rows.collect())])
 
 
-def extract(pages: DataFrame, model: Labeller) -> DataFrame:
-    """(page_id, url, text, n_chars): the joined main text of every page."""
+def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
+    """(page_id, url, text, n_chars): the joined main text of every page; without a model all that isn't marked as something else."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
     names = ["page_id", "url"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 2 << 20):
             found = [blocks(h) for h in batch.column("html").to_pylist()]
-            marks = shared.value.label([vectors(b) for b in found])
+            marks = [[meaning(p) != 0 for p, _, _ in b] for b in found] if shared.value is None else shared.value.label([vectors(b) for b in found])
             texts = [" ".join(t for (_, t, _), keep in zip(b, m, strict=True) if keep) for b, m in zip(found, marks, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
