@@ -3,7 +3,8 @@
 A chunk is what stands between white space (see chunks). Chunks that end in a comma or full
 stop behind an ASCII letter are looked up without it, as both pre-tokenizers cut there. A
 chunk of Latin letters only is one pre-token, so it goes straight to the library's BPE
-model; all others go through the library's whole pipeline.
+model; all others go through the library's whole pipeline. A text with the string of an
+added token goes whole to the library, which gives it that token's id.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import chunks
 from .common import single_threaded
@@ -34,7 +36,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.ordinary = Tokenizer.from_file(path)  # for chunks, which have no added tokens
+        self.ordinary.encode_special_tokens = True
         self.word_ends, self.letters = word_ends, byte_letters()
         self.cut = chunks.words if word_ends else chunks.spaced
         self.cache = chunks.Cache(self._make, limit)
@@ -42,8 +46,8 @@ class Encoder:
         self.newline = self._plain(["\n"])[0]
         self.empty = np.empty(0, np.uint32)
 
-    def _plain(self, names: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(names, add_special_tokens=False)]
+    def _plain(self, names: list[str], tool=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (tool or self.ordinary).encode_batch_fast(names, add_special_tokens=False)]
 
     def _spelled(self, name: str) -> str | None:
         """The one pre-token that name is, as the model spells it, or None."""
@@ -76,8 +80,17 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text the end of its own."""
-        cut = self.cut(texts)
-        return cut.gather(self.cache.get(cut.names))
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        cut = self.cut(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts) if marked.any() else texts)
+        flat, ends = cut.gather(self.cache.get(cut.names))
+        if not marked.any():
+            return flat, ends
+        parts = np.split(flat, ends[:-1])
+        for i in np.flatnonzero(marked).tolist():
+            parts[i] = self._plain([texts[i].as_py()], self.tool)[0]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 _known: dict[tuple[str, bool], Encoder] = {}
