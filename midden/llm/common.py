@@ -1,22 +1,26 @@
-"""Shared helpers of the corpus operators: shared scratch storage and bounded Arrow batches."""
+"""Shared helpers of the corpus operators: shared scratch storage, bounded Arrow batches, and fits in one task."""
 
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor shares: spark.checkpoint.dir; where that is unset, as on one machine, an own one."""
+    """Folder that every executor shares: spark.checkpoint.dir; where that is unset on one machine, an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="midden-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -26,18 +30,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage and read it back, so that what follows neither recomputes it nor loses it with an executor."""
+def cut(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write df to shared storage and read it back, so that what follows neither recomputes it nor loses it with an executor.
+
+    instead: an earlier result of cut that nothing reads any more once this one is written; its files are deleted.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        forget(instead)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a result of cut."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_one_task(rows: DataFrame, make: Callable[[pa.Table], Any]) -> Any:
+    """make(rows as an Arrow table), called in one executor task; only what it returns comes to the driver.
+
+    For fits on samples that the caller has bounded. A lost executor's task runs again, so make has to sort the rows itself.
+    """
+    kinds = rows.limit(0).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), kinds)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(table))], pa.binary())], ["made"])
+
+    made = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(bytes(made[0]["made"])) if made else make(kinds.empty_table())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Whether a row is held out of training."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
 def texts_of(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """The key columns and the text under the name text, null as empty."""
     return df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"))

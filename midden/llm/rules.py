@@ -3,7 +3,7 @@
 Sequential covering: on labelled rows a rule, a conjunction of threshold conditions, is
 grown by information gain on two thirds of what is left, pruned on the other third, and what
 it covers is set aside; it ends when no rule is precise enough on the pruning rows. The list
-becomes one ordered Spark conditional expression.
+becomes one ordered Spark conditional expression. Rows that are held out (see common.held_out) aren't learned from.
 
 Cases: a null or empty text has zero statistics; labels may miss, repeat or be null (null
 ones are left out); without usable labels the list is empty and rejects nothing; repeated
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held_out, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_stops", "n_commas", "n_bars", "n_marks")
 STATS = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>"
@@ -58,6 +58,9 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
     if not same.any():
         return 0
     at = np.flatnonzero(np.isin(mixed, order[1:][same]))
+    found: dict[tuple, int] = {}  # windows of equal hashes are compared by their words
+    of = [found.setdefault(tuple(words[i : i + window]), len(found)) for i in at.tolist()]
+    at = at[np.bincount(of)[of] > 1]
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
@@ -201,8 +204,8 @@ def base_fails(stats: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 20_000) -> list[Rule]:
-    """Learn from at most sample labelled documents, by the hash of their id; only their statistics come to the driver."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
+    """Learn from at most sample labelled documents that aren't held out, by the hash of their id; only their statistics come to the driver."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
     got = with_statistics(rows, "stats", carry=["doc_id", "label"]).select("doc_id", "label", "stats.*").toPandas().sort_values(["doc_id", *COUNTS])
