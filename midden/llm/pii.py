@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, and more identifiers found by bootstrapping from their contexts.
 
-Seeds are the fixed patterns' matches. Every word with a digit or an at sign is an instance;
-its lexical patterns are the words beside it and the name that stands before an = or : in
-it. Spark scores the graph of patterns and instances in rounds: a pattern's score is
-the smoothed mean of its instances' scores, an instance's that of its patterns, seeds stay at 1. Instances
-with high-confidence patterns of their own are accepted, speak for further patterns as seeds do, with the score they
-were accepted at, and so on until no new one is accepted. They become spans of kind "id".
+Seeds are the fixed patterns' matches, each of its kind, and values that are assigned to a credential's name
+(kind "id"). Every word with a digit or an at sign is an instance. Its lexical patterns are the words beside it, the name that
+is assigned to it (name=value, name: value, name = value) and, of long mixed strings, their form. Spark scores the
+graph of patterns and instances in hops: a pattern's confidence for a kind is the
+share of its instances that are known to be of that kind (seeds count 1, accepted ones what they were
+accepted at; the smoothing lowers it where there are few), an instance's score that of its best pattern, as one telling context
+among rare words is enough. Instances of a score of at least `least` are accepted, speak for further patterns
+in the next hop, and so on until a hop accepts none. As confidences are shares of one kind, a context that
+meets all kinds alike, like any common word, never speaks for one. Accepted instances become spans of kind "id".
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; without seeds
-nothing is added; overlapping matches of different kinds are all given; extra columns pass.
+nothing is added; overlapping matches of different kinds are all given; extra columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts_of
+from .common import cut, forget, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "id")
+OTHER = 4
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +39,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 INSTANCE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 EDGE = "\"'()[]{}<>,.;:!?|*#$%&"
-NAMED = re.compile(r"([A-Za-z_]+[=:])(.+)")
+NAMED = re.compile(r"([A-Za-z_][A-Za-z_-]*)([=:]+)(.+)")
+# Names of credentials, as written in lower case without - and _.
+CREDENTIALS = frozenset("token accesstoken authtoken apitoken apikey accesskey secretkey privatekey secret clientsecret password passwd passphrase".split())
+SEED_LENGTH = 8  # of a value assigned to a credential's name, to be a seed
+FORM_LENGTH = 16  # of a mixed string, to have its form as a pattern
+MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -81,12 +90,12 @@ def key(word: str, longest: int) -> str:
     return word if len(word) <= longest else " " + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def words_before(text: str, end: int) -> list[str]:
-    """The last two words before end, whole."""
+def words_before(text: str, end: int, most: int = 3) -> list[str]:
+    """The last words before end, whole."""
     size = 80
-    while len(words := text[max(0, end - size) : end].lower().split()) < 3 and size < end:
+    while len(words := text[max(0, end - size) : end].lower().split()) <= most and size < end:
         size *= 2
-    return [key(w, 80) for w in words[-2:]]
+    return [key(w, 80) for w in words[-most:]]
 
 
 def word_after(text: str, start: int) -> list[str]:
@@ -97,8 +106,22 @@ def word_after(text: str, start: int) -> list[str]:
     return [key(w, 80) for w in words[:1]]
 
 
-def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, value, whether it is a seed, lexical patterns) of every word with a digit or an at sign."""
+def name_before(before: list[str]) -> str:
+    """The name to which what follows the words is assigned, or nothing."""
+    if before and before[-1] in ("=", ":", ":="):
+        return before[-2].strip(EDGE + "=") if len(before) > 1 else ""
+    return before[-1].strip(EDGE + "=") if before and before[-1][-1:] in ("=", ":") else ""
+
+
+def form(value: str) -> str:
+    """Hexadecimal or mixed, and the length, of a long string of letters and digits; nothing for other values."""
+    if len(value) < FORM_LENGTH or not MIXED.fullmatch(value):
+        return ""
+    return f"{'hex' if set(value.lower()) <= set('0123456789abcdef') else 'mixed'}{len(value)}"
+
+
+def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[str]]]:
+    """(start, end, value, kind as a seed or -1, lexical patterns) of every word with a digit or an at sign; an instance over spans of several kinds has the first one's."""
     out: list = []
     if not base and not DIGIT.search(text) and "@" not in text:
         return out
@@ -107,21 +130,37 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         word = m[0]
         start = m.start() + len(word) - len(word.lstrip(EDGE))
         end = m.end() - (len(word) - len(word.rstrip(EDGE)))
+        if end <= start:
+            continue
         while at < len(base) and base[at][2] <= start:
             at += 1
-        seed = any(a < end and start < b for a, _, b in base[at : at + 4])
+        kind, i = -1, at
+        while i < len(base) and base[i][0] < end:
+            if base[i][2] > start:
+                kind = base[i][1]
+                break
+            i += 1
         before, after = words_before(text, m.start()), word_after(text, m.end())
-        patterns = ["<" + w for w in before[-1:]] + ["<<" + " ".join(before)] * (len(before) == 2) + [">" + w for w in after]
-        if (n := NAMED.fullmatch(text[start:end])):
-            patterns.append("=" + key(n[1].lower(), 80))
-            start += len(n[1])
-        if end - start >= 4:
-            out.append((start, end, key(text[start:end], 200), seed, patterns))
+        patterns = ["<" + w for w in before[-1:]] + ["<<" + " ".join(before[-2:])] * (len(before) > 1) + [">" + w for w in after]
+        name = name_before(before)
+        if n := NAMED.fullmatch(text[start:end]):
+            inner = n[3].lstrip(EDGE)
+            if inner.rstrip(EDGE):
+                name, start = n[1], end - len(inner)
+                end -= len(inner) - len(inner.rstrip(EDGE))
+        value = text[start:end]
+        if name:
+            patterns.append("=" + key(name.lower(), 80))
+            if kind < 0 and len(value) >= SEED_LENGTH and name.lower().replace("_", "").replace("-", "") in CREDENTIALS:
+                kind = OTHER
+        if shape := form(value):
+            patterns.append("~" + shape)
+        out.append((start, end, key(value, 200), kind, patterns))
     return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_INSTANCE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+_INSTANCE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("seed", pa.int32()), ("patterns", pa.list_(pa.string()))])
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -139,42 +178,44 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = texts_of(docs, "doc_id").withColumn("mark", F.xxhash64("text"))
-    return marked.mapInArrow(run, f"doc_id {kind}, mark long, base {SPANS}, found array<struct<start:bigint,end:bigint,value:string,seed:boolean,patterns:array<string>>>")
+    return marked.mapInArrow(run, f"doc_id {kind}, mark long, base {SPANS}, found array<struct<start:bigint,end:bigint,value:string,seed:int,patterns:array<string>>>")
 
 
-def accepted(scanned: DataFrame, rounds: int = 3, smooth: float = 3.0, least: float = 0.6, support: int = 3) -> DataFrame:
+def accepted(scanned: DataFrame, least: float = 0.5, smooth: float = 3.0, support: int = 5) -> DataFrame:
     """(value): the instances that aren't seeds and that the scored graph takes for identifiers.
 
-    support: seeds and instances accepted before that a pattern must have met to speak for others. Each hop scores the
-    graph anew in rounds; hops end when none accepts anything, as then the next would score the same.
+    support: known instances of one kind that a pattern must have met to speak for that kind. A hop needs one pass over the
+    edges, as what isn't known yet counts as 0; hops end when one accepts nothing, as then the next would score the same.
     """
     each = scanned.where(F.size("found") > 0).select(F.explode("found").alias("x"))
-    edges = each.select("x.value", "x.seed", F.explode("x.patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    seed = F.when(F.col("x.seed") >= 0, F.col("x.seed"))
+    edges = each.select("x.value", seed.alias("kind"), F.explode("x.patterns").alias("pattern")).groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
     edges = cut(edges, "pii-edges")
-    held = edges.sparkSession.createDataFrame([], "value string, held double")
+    held = cut(edges.sparkSession.createDataFrame([], "value string, held double, as int"), "pii-held")
     while True:
-        scores = None
-        for _ in range(rounds):
-            known = edges.join(held, "value", "left")
-            known = known.withColumn("score", F.lit(0.0)) if scores is None else known.join(scores, "value", "left")
-            own = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("held", "score", F.lit(0.0)))
-            patterns = known.groupBy("pattern").agg(F.sum(own).alias("sum"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") | F.col("held").isNotNull()).alias("known"))
-            patterns = patterns.where(F.col("known") >= support).select("pattern", (F.col("sum") / (F.col("n") + smooth)).alias("confidence"))
-            scores = edges.where("NOT seed").join(patterns, "pattern").groupBy("value").agg(F.avg("confidence").alias("score"))
-            scores = cut(scores, "pii-scores")
-        fresh = cut(scores.where(F.col("score") >= least).join(held, "value", "left_anti").select("value", F.col("score").alias("held")), "pii-fresh")
-        if fresh.isEmpty():
+        known = edges.join(held, "value", "left").withColumn("of", F.coalesce("kind", "as"))
+        kinds = [F.when(F.col("of") == k, F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("held"))) for k in range(len(KINDS))]
+        sums = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{k}") for k, c in enumerate(kinds)), *(F.count(c).alias(f"c{k}") for k, c in enumerate(kinds)))
+        shares = F.array(*(F.when(F.col(f"c{k}") >= support, F.struct((F.col(f"s{k}") / (F.col("n") + smooth)).alias("share"), F.lit(-k).alias("as"))) for k in range(len(KINDS))))
+        telling = sums.select("pattern", F.array_max(shares).alias("best")).where(F.col("best.share") >= least)
+        scores = edges.where("kind IS NULL").join(telling, "pattern").groupBy("value").agg(F.max("best").alias("best"))
+        fresh = cut(scores.join(edges.where("kind IS NOT NULL").select("value").distinct(), "value", "left_anti").join(held, "value", "left_anti").select("value", F.col("best.share").alias("held"), (-F.col("best.as")).alias("as")), "pii-fresh")
+        done = fresh.isEmpty()
+        if not done:
+            held = cut(held.unionAll(fresh), "pii-held", instead=held)
+        forget(fresh)
+        if done:
             return held.select("value")
-        held = cut(held.unionAll(fresh), "pii-held")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, base, spans): the fixed patterns' spans, and all spans, of every row."""
+    """(doc_id, mark, base, spans): the fixed patterns' spans, and all spans, of every row; seeds that no fixed pattern matches, and what is accepted, have the kind id."""
     scanned = cut(scan(docs), "pii-scan")
     values = accepted(scanned)
-    places = scanned.where(F.exists("found", lambda x: ~x.seed)).select("doc_id", "mark", F.explode("found").alias("x")).where("NOT x.seed")
-    places = places.select("doc_id", "mark", F.col("x.value").alias("value"), F.struct(F.col("x.start").alias("start"), F.lit(4).alias("kind"), F.col("x.end").alias("end")).alias("span"))
-    added = places.join(values, "value").groupBy("doc_id", "mark").agg(F.collect_set("span").alias("added"))  # at most a text's words
+    places = scanned.where(F.exists("found", lambda x: (x.seed < 0) | (x.seed == OTHER))).select("doc_id", "mark", F.explode("found").alias("x")).where(f"x.seed < 0 OR x.seed = {OTHER}")
+    places = places.select("doc_id", "mark", "x.value", "x.seed", F.struct(F.col("x.start").alias("start"), F.lit(OTHER).alias("kind"), F.col("x.end").alias("end")).alias("span"))
+    added = places.where(f"seed = {OTHER}").select("doc_id", "mark", "span").unionAll(places.where("seed < 0").join(values, "value").select("doc_id", "mark", "span"))
+    added = added.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("added"))  # at most a text's words
     rows = scanned.select("doc_id", "mark", "base").alias("l").join(added.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark")), "left")
     both = F.concat(F.col("l.base"), F.coalesce("r.added", F.array().cast(SPANS)))
     return rows.select("l.doc_id", "l.mark", "l.base", F.array_sort(both).alias("spans"))
@@ -187,25 +228,26 @@ def joined(column: str):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, personal) for every document; personal: 1 if it has any span."""
     rows = find(docs)
     counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {i})) AS BIGINT)").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return rows.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.expr(f"CAST(size(filter(spans, s -> s.kind = {OTHER})) AS BIGINT)").alias("n_id"), (F.size("spans") > 0).cast("int").alias("personal"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; n_chars, if it is a column, follows."""
     names = docs.columns
+    mark, own = ("_".join(["_", *names, x]) for x in ("mark", "spans"))  # longer than every column's name
     spans = find(docs).where(F.size("spans") > 0).select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"])
-    left = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit("")))).alias("l")
-    on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__mark") == F.col("r.mark"))
-    rows = left.join(spans.alias("r"), on, "left").select(*(F.col(f"l.`{c}`") for c in names), F.col("r.spans").alias("__spans"))
+    left = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit("")))).alias("l")
+    on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.`{mark}`") == F.col("r.mark"))
+    rows = left.join(spans.alias("r"), on, "left").select(*(F.col(f"l.`{c}`") for c in names), F.col("r.spans").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_redacted(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            texts = [_redacted(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column(own).to_pylist(), strict=True)]
             new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
-            changed = pc.is_valid(batch.column("__spans"))
+            changed = pc.is_valid(batch.column(own))
             cols = [pc.if_else(changed, pa.array(new[c], batch.column(c).type), batch.column(c)) if c in new else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
