@@ -1,25 +1,28 @@
 """Main text of web pages by a recurrent block labeller: a bidirectional LSTM in numpy.
 
 A page becomes its leaf blocks in order: runs of text between block-level tags, without
-what head, scripts, styles and comments hold. The LSTM reads for each block hashed vectors of its tag path
+what head, scripts, styles and comments hold; HTML's implied end tags are applied. The LSTM reads for each block hashed vectors of its tag path
 (names, classes, ids) and of its words, and some sizes; forward and backward states
 together label the block, so every label depends on the whole page.
 
 Labels for training come from the markup's own meaning: what stands in article or main is text, what
 stands in menus, headers, footers, asides, forms, or in containers named so is not.
-Training pages are a bounded sample (sample pages by the hash of their id). Each is also rendered
-anew with neutral containers and more kinds of boilerplate from other pages' words, so that the
+Training pages are a bounded sample (sample pages of at most LONGEST bytes by the hash of their id), and training runs in one executor task. Each is also rendered
+anew with other containers and more kinds of boilerplate from other pages' words, some of them without any telling name, so that the
 labeller doesn't depend on one template.
 
 Cases: a null or empty html, or one without text, gives an empty text; broken markup is read as far as it
-goes: an open head ends where the body's elements or text begin, and an unclosed noscript, select or object hides nothing
+goes, in time that grows with its length: an open head ends where the body's elements or text begin, items, cells, rows, options and paragraphs end where
+HTML says they do, and an unclosed noscript, select or object hides nothing
 from the next block element on; without article or main in any page containers named as text say what is text,
-and without these all is text but what the markup says is something else; repeated rows get equal texts; very long pages are labelled whole; extra columns don't matter.
+and without these all is text but what the markup says is something else; repeated rows, and rows without an id, are labelled like others;
+very long pages are labelled whole; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_one_task, slices
 
 # Element names by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -44,17 +47,77 @@ OTHER_TAGS = frozenset("nav header footer aside form button menu dialog".split()
 OTHER_NAMES = frozenset("ad ads advert advertisement banner promo sponsor sponsored nav navbar menu header masthead footer sidebar aside widget related share social comment comments reply replies cookie consent notice popup modal breadcrumb breadcrumbs form subscribe newsletter login pagination copyright tags".split())
 TEXT_NAMES = frozenset("content article post entry story body main text".split())
 
+# Elements that a start tag ends, and the elements beyond which it doesn't look for them, as HTML's optional end tags say.
+IMPLIED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "tr": (frozenset(("tr", "caption", "colgroup")), frozenset(("table",))),
+    "thead": (frozenset(("thead", "tbody", "tfoot", "caption", "colgroup")), frozenset(("table",))),
+    "tbody": (frozenset(("thead", "tbody", "tfoot", "caption", "colgroup")), frozenset(("table",))),
+    "tfoot": (frozenset(("thead", "tbody", "tfoot", "caption", "colgroup")), frozenset(("table",))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+# Start tags that end an open paragraph.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+# Elements in which an end tag or an implied one doesn't look for elements outside.
+SCOPES = frozenset("table td th caption button object select template html".split())
+
 PATH, WORD, SIZES, HIDDEN_SIZE = 24, 12, 8, 24
+INPUT = 2 * PATH + WORD + SIZES
+LONGEST = 1 << 20  # bytes of a page that training may use
 NAME = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An element within its parents; what its path means and its path's vector follow from those of its parent."""
+
+    __slots__ = ("parent", "tag", "names", "says", "named", "near", "tells")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...] = ()):
+        self.parent, self.tag, self.names = parent, tag, names
+        self.says, self.named = (_meaning(-1 if parent is None else (parent.says, parent.named)[k], tag, names, bool(k)) for k in (0, 1))
+        own = element(tag, names)
+        near, tells = (np.zeros(PATH), np.zeros(PATH)) if parent is None else (parent.near, parent.tells)
+        # Telling elements fade by each telling one nearer to the text, others by each element.
+        if names or tag in OTHER_TAGS or tag in TEXT_TAGS:
+            self.near, self.tells = NEAR * near, own + TELLS * tells
+        else:
+            self.near, self.tells = own + NEAR * near, tells
+
+
+NEAR, TELLS = 0.5, 0.7
+
+
+def _meaning(before: int, tag: str, names: tuple[str, ...], named: bool) -> int:
+    """1: main text, 0: something else, -1: the markup doesn't say; named: containers named as text count as main text."""
+    if before == 0 or (tag in OTHER_TAGS or OTHER_NAMES.intersection(names)) and not (tag == "header" and before == 1):
+        return 0
+    return 1 if tag in TEXT_TAGS or named and TEXT_NAMES.intersection(names) else before
+
+
+def node(*path: tuple[str, tuple[str, ...]]) -> Node | None:
+    """The last element of a path of (tag, names)."""
+    out = None
+    for tag, names in path:
+        out = Node(out, tag, names)
+    return out
+
+
+Block = tuple[Node | None, str, int]
+
+
 class Blocks(HTMLParser):
-    """(path, text, link characters) of leaf blocks; a path holds (tag, name words) from the root."""
+    """(element, text, link characters) of leaf blocks."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, tuple[str, ...]]] = []
-        self.found: list[tuple[tuple, str, int]] = []
+        self.path: list[Node] = []
+        self.open: Counter[str] = Counter()
+        self.found: list[Block] = []
         self.parts: list[str] = []
         self.hidden = self.links = self.linked = 0
         self.unsure: list[list] = []  # place in the path, blocks before it, blocks before the first block element in it
@@ -62,7 +125,7 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append((tuple(self.path), text, self.linked))
+            self.found.append((self.path[-1] if self.path else None, text, self.linked))
         self.parts, self.linked = [], 0
 
     def end(self, at: int, own: bool = False) -> None:
@@ -74,38 +137,51 @@ class Blocks(HTMLParser):
             for other in self.unsure:
                 if other[2] is not None and other[2] > first:
                     other[2] = max(first, other[2] - (last - first))
-        self.hidden -= sum(t in HIDDEN and t not in UNSURE for t, _ in self.path[at:])
+        for x in self.path[at:]:
+            self.hidden -= x.tag in HIDDEN and x.tag not in UNSURE
+            self.open[x.tag] -= 1
         del self.path[at:]
 
-    def end_head(self, at: int) -> None:
-        self.flush()
-        self.end(at)
+    def last(self, tags: frozenset[str], limits: frozenset[str]) -> int:
+        """The place of the innermost element of tags within limits, or -1."""
+        if any(self.open[t] for t in tags):
+            for at in range(len(self.path) - 1, -1, -1):
+                if self.path[at].tag in tags:
+                    return at
+                if self.path[at].tag in limits:
+                    break
+        return -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
-        if tag == "body" or tag not in HEAD_TAGS and self.path and self.path[-1][0] == "head":
-            for at, (t, _) in enumerate(self.path):
-                if t == "head":
-                    self.end_head(at)
-                    break
+        if self.open["head"] and (tag == "body" or tag not in HEAD_TAGS and self.path[-1].tag == "head"):
+            at = self.last(frozenset(("head",)), frozenset())
+            self.flush()
+            self.end(at)
+        if tag in ENDS_P and (at := self.last(frozenset(("p",)), SCOPES)) >= 0:
+            self.end(at)
+        if tag in IMPLIED and (at := self.last(*IMPLIED[tag])) >= 0:
+            self.end(at)
         if tag in VOID:
             return
         if self.unsure and tag not in INLINE and tag not in HIDDEN and tag not in ("option", "optgroup"):
             for x in self.unsure:
                 x[2] = len(self.found) if x[2] is None else x[2]
-        if tag == "p" and self.path and self.path[-1][0] == "p":  # a paragraph ends where the next begins
-            self.path.pop()
-        names = tuple(NAME.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)))
         if tag not in INLINE:
-            self.path.append((tag, names))
+            names = tuple(NAME.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)))
+            self.path.append(Node(self.path[-1] if self.path else None, tag, names))
+            self.open[tag] += 1
         if tag in UNSURE:
             self.unsure.append([len(self.path) - 1, len(self.found), None])
         self.hidden += tag in HIDDEN and tag not in UNSURE
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag not in INLINE:
+        if tag in VOID or tag in INLINE:
+            self.handle_starttag(tag, attrs)
+            self.links -= tag == "a"
+        else:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
@@ -113,20 +189,19 @@ class Blocks(HTMLParser):
         if tag in INLINE:
             return
         self.flush()
-        for at in range(len(self.path) - 1, -1, -1):
-            if self.path[at][0] == tag:
-                self.end(at, own=True)
-                return
+        if (at := self.last(frozenset((tag,)), frozenset())) >= 0:
+            self.end(at, own=True)
 
     def handle_data(self, data: str) -> None:
-        if self.hidden and self.path[-1][0] == "head" and data.strip():
-            self.end_head(len(self.path) - 1)
+        if self.hidden and self.path[-1].tag == "head" and data.strip():
+            self.flush()
+            self.end(len(self.path) - 1)
         if not self.hidden:
             self.parts.append(data)
             self.linked += len(data) * bool(self.links)
 
 
-def blocks(html: str) -> list[tuple[tuple, str, int]]:
+def blocks(html: str) -> list[Block]:
     parser = Blocks()
     parser.feed(html)
     parser.close()
@@ -135,16 +210,8 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
     return parser.found
 
 
-def meaning(path: tuple, named: bool = False) -> int:
-    """1: main text, 0: something else, -1: the markup doesn't say; named: containers named as text count as main text."""
-    out = -1
-    for tag, names in path:
-        if tag in OTHER_TAGS or OTHER_NAMES.intersection(names):
-            if not (tag == "header" and out == 1):
-                return 0
-        if tag in TEXT_TAGS or named and TEXT_NAMES.intersection(names):
-            out = 1
-    return out
+def meaning(place: Node | None, named: bool = False) -> int:
+    return -1 if place is None else place.named if named else place.says
 
 
 @lru_cache(1 << 16)
@@ -158,16 +225,6 @@ def element(tag: str, names: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def ancestors(path: tuple) -> np.ndarray:
-    """The sum over the whole path; weights fall with the distance, which for elements with names or a role counts such elements only."""
-    if not path:
-        return np.zeros(PATH)
-    back = path[::-1]
-    tells = np.array([bool(names) or tag in OTHER_TAGS or tag in TEXT_TAGS for tag, names in back])
-    distance = np.where(tells, np.cumsum(tells) - 1, np.arange(len(back)))
-    return (1 / (1 + 0.5 * distance)) @ np.stack([element(*x) for x in back])
-
-
 @lru_cache(1 << 18)
 def word_code(word: str) -> int:
     """Where a word counts: the first WORD places are positive, the others negative."""
@@ -175,19 +232,18 @@ def word_code(word: str) -> int:
     return h % WORD + (0 if h & 1 << 20 else WORD)
 
 
-def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
+def vectors(found: list[Block]) -> np.ndarray:
     """A row for each block: hashed path, hashed words and sizes, all of the whole path and text."""
-    out = np.zeros((len(found), PATH + WORD + SIZES), np.float32)
-    known: dict[tuple, np.ndarray] = {}
-    for i, (path, text, linked) in enumerate(found):
-        if path not in known:
-            known[path] = ancestors(path)
-        out[i, :PATH] = known[path]
+    out = np.zeros((len(found), INPUT), np.float32)
+    for i, (place, text, linked) in enumerate(found):
+        if place is not None:
+            out[i, :PATH], out[i, PATH : 2 * PATH] = place.near, place.tells
         words = text.lower().split(" ")
         codes = np.bincount(list(map(word_code, words)), minlength=2 * WORD)
-        out[i, PATH : PATH + WORD] = 0.3 * (codes[:WORD] - codes[WORD:]) / len(words) ** 0.5
+        signed = codes[:WORD] - codes[WORD:]
+        out[i, 2 * PATH : 2 * PATH + WORD] = signed / max(1.0, float(signed @ signed) ** 0.5)
         n = len(text)
-        out[i, PATH + WORD :] = (np.log1p(n) / 6, linked / max(1, n), np.log1p(len(words)) / 4, text[-1] in ".!?", text[:1].isupper(), np.log1p(sum(map(text.count, ".,;:"))) / 4, i / max(1, len(found)), np.log1p(len(found)) / 6)
+        out[i, 2 * PATH + WORD :] = (np.log1p(n) / 6, linked / max(1, n), np.log1p(len(words)) / 4, text[-1] in ".!?", text[:1].isupper(), np.log1p(sum(map(text.count, ".,;:"))) / 4, i / max(1, len(found)), np.log1p(len(found)) / 6)
     return out
 
 
@@ -196,7 +252,7 @@ class Labeller:
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        d, h = PATH + WORD + SIZES, HIDDEN_SIZE
+        d, h = INPUT, HIDDEN_SIZE
         self.w = {}
         for name in ("f", "b"):
             self.w[f"{name}x"] = rng.normal(0, d**-0.5, (d, 4 * h)).astype(np.float32)
@@ -280,53 +336,63 @@ class Labeller:
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in pages])
-    x = np.zeros((int(sizes.max()), len(pages), PATH + WORD + SIZES), np.float32)
+    x = np.zeros((int(sizes.max()), len(pages), INPUT), np.float32)
     for k, p in enumerate(pages):
         x[: len(p), k] = p
     return x, sizes
 
 
-def rendered(found: list, others: list[str], rng: np.random.Generator, named: bool = False) -> tuple[list, list[int]]:
-    """The page's labelled blocks in containers of another template, with boilerplate made of others' words, both also deeply nested."""
-    known = [(p, t, n, meaning(p, named)) for p, t, n in found if meaning(p, named) >= 0]
-    text = [(p[-1:], t, n) for p, t, n, y in known if y == 1]
+def rendered(found: list[Block], others: list[str], rng: np.random.Generator, named: bool = False) -> tuple[list[Block], list[int]]:
+    """The page's labelled blocks in containers of another template, with boilerplate made of others' words, both also deeply nested.
+
+    Some renderings have no telling name at all; their boilerplate is short and mostly links, as nothing else could tell it.
+    """
+    text = [(p, t, n) for p, t, n in found if meaning(p, named) == 1]
     names = sorted(OTHER_NAMES)
+    bare = rng.random() < 0.12
     tag = ("article", "main", "section", "div")[rng.integers(4)]
-    own = (tag, (sorted(TEXT_NAMES)[rng.integers(len(TEXT_NAMES))],) if tag in ("section", "div") or rng.random() < 0.3 else ())
-    root = (("html", ()), ("body", ()))
+    kind = (tag, (sorted(TEXT_NAMES)[rng.integers(len(TEXT_NAMES))],) if tag in ("section", "div") or rng.random() < 0.3 else ())
+    root = node(("html", ()), ("body", ()))
+
+    def bare_name() -> tuple[str, tuple[str, ...]]:
+        return "div", ("".join(chr(97 + rng.integers(26)) for _ in range(int(rng.integers(1, 6)))),) if rng.random() < 0.7 else ()
 
-    def wrappers() -> tuple:
-        """None, or up to a dozen neutral elements."""
+    def wrapped(place: Node | None) -> Node | None:
+        """place, or an element up to a dozen neutral elements within it."""
         plain = ("div", "ul", "li", "section", "td")
-        return tuple((plain[rng.integers(len(plain))], ()) for _ in range(int(rng.integers(1, 13)))) if rng.random() < 0.4 else ()
+        for _ in range(int(rng.integers(1, 13)) if rng.random() < 0.4 else 0):
+            place = Node(place, plain[rng.integers(len(plain))])
+        return place
 
-    def aside(k: int) -> list:
-        out = []
+    def aside(k: int, within: Node | None) -> list[Block]:
+        out: list[Block] = []
         for _ in range(k):
             kind = ("div", (names[rng.integers(len(names))],)) if rng.random() < 0.7 else (sorted(OTHER_TAGS)[rng.integers(len(OTHER_TAGS))], ())
-            leaf = (("p", ()), ("li", ()), ("div", ()), ("ul", ()))[rng.integers(4)]
-            inside = (kind, *wrappers(), leaf)
+            place = Node(wrapped(Node(within, *(bare_name() if bare else kind))), ("p", "li", "div", "ul")[rng.integers(4)])
             for _ in range(int(rng.integers(1, 6))):
                 words = others[rng.integers(len(others))].split(" ")
                 a = int(rng.integers(len(words)))
-                piece = " ".join(words[a : a + int(rng.integers(1, 30))] if rng.random() < 0.6 else words)  # readers write whole paragraphs too
-                out.append(((*root, *inside), piece, len(piece) * int(rng.random() < 0.3)))
+                short = bare or rng.random() < 0.6
+                piece = " ".join(words[a : a + int(rng.integers(1, 6 if bare else 30))] if short else words)  # readers write whole paragraphs too
+                out.append((place, piece, len(piece) * int(rng.random() < (0.9 if bare else 0.3))))
         return out
 
-    before, after = aside(int(rng.integers(0, 4))), aside(int(rng.integers(0, 4)))
-    middle, labels, own = [], [], (own, *wrappers())
-    for leaf, t, n in text:
-        if rng.random() < 0.04:
-            inner = aside(1)
-            middle += [((*root, *own, *p[2:]), piece, k) for p, piece, k in inner]
+    before, after = aside(int(rng.integers(0, 4)), root), aside(int(rng.integers(0, 4)), root)
+    middle: list[Block] = []
+    labels: list[int] = []
+    own = wrapped(Node(root, *(bare_name() if bare else kind)))
+    for p, t, n in text:
+        if rng.random() < 0.04 and not bare:
+            inner = aside(1, own)
+            middle += inner
             labels += [0] * len(inner)
-        middle.append(((*root, *own, *leaf), t, n))
+        middle.append((Node(own, p.tag, p.names) if p is not None else own, t, n))
         labels.append(1)
     return before + middle + after, [0] * len(before) + labels + [0] * len(after)
 
 
-def train(pages: list[str], rounds: int = 10, batch: int = 32, seed: int = 3, most_blocks: int = 120) -> Labeller | None:
-    """Fit on the pages as they are and as rendered anew; of a longer page windows of most_blocks blocks. None if no page says what is text."""
+def train(pages: list[str], rounds: int = 18, batch: int = 32, seed: int = 3, most_blocks: int = 120, renderings: int = 600) -> Labeller | None:
+    """Fit on the pages as they are and as rendered anew, about `renderings` times in all; of a longer page windows of most_blocks blocks. The weights are the mean over the last third of the rounds. None if no page says what is text."""
     rng = np.random.default_rng(seed)
     model = Labeller(seed)
     found = [b for b in map(blocks, pages) if b]
@@ -336,13 +402,14 @@ def train(pages: list[str], rounds: int = 10, batch: int = 32, seed: int = 3, mo
     if named and not any(meaning(p, True) == 1 for b in found for p, _, _ in b):
         return None
     for b in found:
-        for own, y in ((b, [meaning(p, named) for p, _, _ in b]), rendered(b, others, rng, named), rendered(b, others, rng, named)):
+        for own, y in ((b, [meaning(p, named) for p, _, _ in b]), *(rendered(b, others, rng, named) for _ in range(-(-renderings // len(found))))):
             if not own:
                 continue
             v = vectors(own)
             for a in range(0, len(own), most_blocks):
                 data.append((v[a : a + most_blocks], np.array(y[a : a + most_blocks])))
-    m, v, t = {k: np.zeros_like(w) for k, w in model.w.items()}, {k: np.zeros_like(w) for k, w in model.w.items()}, 0
+    m, v, mean = ({k: np.zeros_like(w) for k, w in model.w.items()} for _ in range(3))
+    t, late = 0, 0
     for r in range(rounds):
         order = rng.permutation(len(data))
         order = order[np.argsort([len(data[i][0]) // 8 for i in order], kind="stable")]
@@ -357,18 +424,23 @@ def train(pages: list[str], rounds: int = 10, batch: int = 32, seed: int = 3, mo
             for k, g in model.gradients(x, sizes, y).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                model.w[k] = (model.w[k] - (0.01 if r < rounds * 2 // 3 else 0.002) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                model.w[k] = (model.w[k] - (0.01 if r < rounds * 2 // 3 else 0.003) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            if r >= rounds * 2 // 3:
+                late += 1
+                for k, w in model.w.items():
+                    mean[k] += (w - mean[k]) / late
+    model.w = mean
     return model
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 150) -> Labeller | None:
-    """Train on at most `sample` pages, those that say what is text before others, then by the hash of their key."""
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 200) -> Labeller | None:
+    """Train on at most `sample` pages of up to LONGEST bytes, those that say what is text before others, then by the hash of their key."""
     tags, names = (f"(?i)<({'|'.join(sorted(TEXT_TAGS))})[\\s>/]", f"(?i)(class|id|role)\\s*=[^>]*\\b({'|'.join(sorted(TEXT_NAMES))})\\b")
     says = F.when(F.col(html).rlike(tags), 2).when(F.col(html).rlike(names), 1).otherwise(0)
-    full = pages.where(F.length(html) > 0).select(F.xxhash64(key, html).alias("mark"), says.alias("says"), F.col(html).alias("html"))
+    full = pages.where((F.octet_length(html) > 0) & (F.octet_length(html) <= LONGEST)).select(F.xxhash64(key, html).alias("mark"), says.alias("says"), F.col(html).alias("html"))
     chosen = full.select("mark", "says").distinct().orderBy(F.desc("says"), F.xxhash64("mark"), "mark").limit(sample).select("mark")  # marks alone are compared, so no task sends pages
     rows = full.join(F.broadcast(chosen), "mark").groupBy("mark").agg(F.first("html").alias("html"))
-    return train([r[0] for r in sorted((r["html"], r["mark"]) for r in rows.collect())])
+    return in_one_task(rows, lambda t: train([h for h, _ in sorted(zip(t["html"].to_pylist(), t["mark"].to_pylist(), strict=True))]))
 
 
 def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
