@@ -6,8 +6,11 @@ Segments are spans whose frame energy rose over an upper threshold and has not y
 fallen under a lower one. Features are stored as an Arrow stream of fixed-shape tensors
 (FRAMES x MELS, the last one padded by zeros) with the time span of each.
 
+Resampling and spectra go over BLOCK frames at a time, so beside a text's payload, its stored form and its
+tensors (0.4 bytes for each byte) a long text needs some 20 MB of work space, whatever its length.
+
 Cases: a null or empty text is 64 zero bytes; signals shorter than a frame are padded to
-one; equal texts give equal bytes and features; extra columns don't matter.
+one; equal texts give equal bytes and features; very long texts are one row with more tensors; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from .common import slices, texts_of
 RATE, UP, DOWN, TAPS = 16_000, 3, 8, 24
 FRAME, HOP, MELS, FRAMES = 240, 120, 32, 32
 UPPER_DB, LOWER_DB = 1.0, -1.0
+BLOCK = 4096  # frames
 
 
 def payload_of(data: bytes) -> bytes:
@@ -59,16 +63,27 @@ def phases(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     return h.reshape(taps, up).T.astype(np.float32).copy()
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """len(x) * up / down samples, rounded up; each phase is one product of strided windows."""
+def samples(payload: np.ndarray) -> np.ndarray:
+    """8-bit samples as numbers from -1 to 1."""
+    return (payload.astype(np.float32) - 128) / 128
+
+
+def resample(x: np.ndarray, first: int = 0, last: int | None = None, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Of the len(x) * up / down samples, rounded up, those from first to last; each phase is one product of strided windows. x: numbers or 8-bit samples."""
     h = phases(up, down)
     taps = h.shape[1]
     n = -(-len(x) * up // down)
-    padded = np.concatenate((np.zeros(taps // 2, np.float32), x, np.zeros(taps + down, np.float32)))
+    last = n if last is None else min(last, n)
+    first -= first % up  # a phase starts at the same place in every block
+    begin = first * down // up - taps // 2
+    end = begin + (last - first) * down // up + taps + down
+    part = x[max(0, begin) : max(0, end)]
+    part = samples(part) if part.dtype == np.uint8 else part
+    padded = np.concatenate((np.zeros(max(0, -begin), np.float32), part, np.zeros(max(0, end - len(x)), np.float32)))
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    out = np.empty(n, np.float32)
-    for i in range(min(up, n)):
-        count = -(-(n - i) // up)
+    out = np.empty(last - first, np.float32)
+    for i in range(min(up, len(out))):
+        count = -(-(len(out) - i) // up)
         out[i::up] = windows[i * down // up :: down][:count] @ h[(i * down) % up][::-1]
     return out
 
@@ -160,7 +175,15 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
 
 
 def mel_of(payload: bytes) -> np.ndarray:
-    return log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
+    """Log-mel frames of 8-bit samples, BLOCK frames at a time; blocks start at multiples of HOP * BLOCK, so frames don't depend on the cut."""
+    x = np.frombuffer(payload, np.uint8)
+    n = -(-len(x) * UP // DOWN)
+    frames = max(1, 1 + (n - FRAME) // HOP)
+    out = np.empty((frames, MELS), np.float32)
+    for a in range(0, frames, BLOCK):
+        b = min(a + BLOCK, frames)
+        out[a:b] = log_mel(resample(x, a * HOP, (b - 1) * HOP + FRAME))
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
