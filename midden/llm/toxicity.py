@@ -12,6 +12,9 @@ the guesser is fitted; labels, lang, source and doc_id are no inputs of a score.
 
 The classifier is fitted on a bounded sample (sample labelled rows of each label, and half of
 sample_bytes of text for each); labelled documents of more than LONGEST bytes are passed over in training.
+It runs in one executor task. At its peak that holds about 30 bytes for each byte of the sample (word places, and a few
+arrays of 8 bytes for each pair of a text and a distinct word), so some 400 MB for the 12 MB of the
+default; only the weights, 40 bytes for each bucket that two texts share, come to the driver.
 Every document is scored whole.
 
 Cases: null and empty texts get the score of a text without words; without both labels in the
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import cut, slices, texts_of
+from .common import cut, forget, held_out, in_one_task, slices, texts_of
 
 BUCKETS = 1 << 26
 PREFIXES = (3, 4, 5)
@@ -43,11 +46,6 @@ LEAST = 20  # labelled documents
 STRIP = ".,;:!?\"'()[]"
 
 
-def held_out(key: str = "doc_id"):
-    """Whether a row is held out of training."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
-
-
 def word_buckets(word: str) -> list[int]:
     """The hashed rows of a word, -1 where it is too short for a prefix."""
     word = word.lower().strip(STRIP)
@@ -59,7 +57,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Texts as rows of distinct words, with two words of padding between texts."""
+    """Texts as rows of distinct words, with two words of padding before each, so that no filter reaches into the next text."""
 
     def __init__(self, texts: pa.Array):
         cut = chunks.words(texts)
@@ -68,8 +66,8 @@ class Words:
         sizes = np.diff(cut.ends, prepend=0)
         self.pad = len(self.names)
         self.starts = np.concatenate(([0], cut.ends[:-1])) + 2 * np.arange(n) if n else np.empty(0, np.int64)
-        self.rows = np.full(int(sizes.sum()) + 2 * n, self.pad, np.int64)
-        self.rows[np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(n), sizes)] = cut.index
+        self.rows = np.full(int(sizes.sum()) + 2 * n, self.pad, np.int32)
+        self.rows[np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(1, n + 1), sizes)] = cut.index
         self.n = n
 
     def buckets(self) -> np.ndarray:
@@ -150,20 +148,23 @@ def _platt(z: np.ndarray, y: np.ndarray, pull: float = 0.1) -> tuple[float, floa
     return float(beta[0] / scale), float(beta[1] - beta[0] * mid / scale)
 
 
-def train(texts: list[str], toxic: np.ndarray, languages: list[str], rounds: int = 6, batch: int = 64, rate: float = 0.1, seed: int = 7) -> Model:
+def train(texts: list[str] | pa.Array, toxic: np.ndarray, languages: list[str], rounds: int = 6, batch: int = 64, rate: float = 0.1, seed: int = 7) -> Model:
     """The model of labelled texts; every fifth is set aside for the calibration."""
-    words = Words(pa.array(texts, pa.large_string()))
+    words = Words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     buckets = words.buckets()
     # Rows for buckets that at least two texts have, with smoothed log-odds of toxic texts.
-    text_of = np.repeat(np.arange(words.n), np.diff(np.append(words.starts, len(words.rows))))
-    pairs = np.unique(text_of * (len(words.names) + 1) + words.rows)
-    owner, word = np.divmod(pairs, len(words.names) + 1)
+    text_of = np.repeat(np.arange(words.n, dtype=np.int32), np.diff(np.append(words.starts, len(words.rows))))
+    pairs = np.unique(text_of.astype(np.int64) * (len(words.names) + 1) + words.rows)
+    owner, word = (x.astype(np.int32) for x in np.divmod(pairs, len(words.names) + 1))
+    del pairs
     aside = np.arange(words.n) % 5 == 0
     kept, p, n = _document_counts(owner, word, buckets, toxic, aside)
+    del owner, word
     model = Model(kept, seed=seed)
     of = [max(1, int(((toxic == c) & ~aside).sum())) for c in (0, 1)]
     model.rows[:-1, 0] = np.clip(np.log(((p + 0.5) / of[1]) / ((n + 0.5) / of[0])), -1, 4) / 4
-    places = model.places(buckets)
+    places = model.places(buckets).astype(np.int32)
+    del buckets
 
     model.languages = sorted(set(languages))
     by = np.array([model.languages.index(x) for x in languages], np.int64)
@@ -188,7 +189,7 @@ def _document_counts(owner: np.ndarray, word: np.ndarray, buckets: np.ndarray, t
     parts = []
     for c in range(buckets.shape[1]):
         column = buckets[word, c]
-        flat = np.unique(owner[column >= 0] * BUCKETS + column[column >= 0])
+        flat = np.unique(owner[column >= 0].astype(np.int64) * BUCKETS + column[column >= 0])
         text, bucket = np.divmod(flat, BUCKETS)
         kept, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
         use = ~aside[text]
@@ -289,8 +290,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     chosen = docs.sparkSession.createDataFrame(ids, f"doc_id {kind}, label int")
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows of two numbers
-    got = rows.toPandas().sort_values(["doc_id", "text"])
-    return train(got["text"].tolist(), got["label"].to_numpy(np.float32), got["lang"].tolist())
+    model = in_one_task(rows, _train_table)
+    forget(sizes)
+    return model
+
+
+def _train_table(rows: pa.Table) -> Model:
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
+    return train(rows["text"].combine_chunks(), rows["label"].to_numpy().astype(np.float32), rows["lang"].to_pylist())
 
 
 def _without_classifier(sizes: DataFrame, label: str) -> Model:
