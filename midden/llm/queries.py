@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import audio, bpe, cotrain, html_blocks, jaccard, orc_tokens, packing, pii, rules, toxicity
 from .common import table
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Every pair of documents that share a shingle is counted, and labels spread along the links.
+    "op10_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 3 THEN [array_to_string(x, ' ')] ELSE list_distinct([x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] for i in generate_series(1, len(x) - 2)]) END AS own FROM w),
+n AS (SELECT doc_id, CAST(len(own) AS BIGINT) AS n FROM s), g AS (SELECT doc_id, unnest(own) AS shingle FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= 90 * (x.n + y.n - common)),
+r(doc_id, label) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.label FROM r JOIN e ON e.u = r.doc_id)
+SELECT doc_id, any_value(n.n) AS n_shingles, min(label) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
+}
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
