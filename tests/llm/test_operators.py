@@ -16,7 +16,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from midden.llm import audio, bpe, chunks, components, cotrain, html_blocks, jaccard, orc_tokens, packing, pii, queries, rules, tokens, toxicity
+from midden.llm import audio, bpe, cells, chunks, components, html_blocks, jaccard, orc_tokens, packing, pii, queries, rules, tokens, toxicity
 from midden.llm.common import slices, texts_of
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, n int, stats string, length string, kept string, score string, label int, mark string, cid string, found string, base string"
@@ -303,16 +303,59 @@ def near_copies() -> list:
     return rows
 
 
-@pytest.mark.parametrize("n,num,den,leaf", [(3, 90, 100, 512), (5, 80, 100, 512), (3, 80, 100, 9)])
-def test_jaccard_components(spark, monkeypatch, n, num, den, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
-    monkeypatch.setattr(jaccard, "PIVOTS", 4 if leaf < 100 else 16)
-    monkeypatch.setattr(jaccard, "COMMON", 3 if leaf < 100 else 12)
+@pytest.mark.parametrize("n,num,den,small", [(3, 90, 100, False), (5, 80, 100, False), (3, 80, 100, True), (3, 90, 100, True)])
+def test_jaccard_components(spark, monkeypatch, n, num, den, small):
+    if small:  # every step of large regions on a small table
+        monkeypatch.setattr(jaccard, "COMMON", 3)
+        for name, value in (("CELL", 4), ("PIVOTS", 2), ("LEVELS", 2), ("BLOCK", 5), ("SALT_ROWS", 7)):
+            monkeypatch.setattr(cells, name, value)
     rows = near_copies()
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, num, den).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, num, den)
 
 
+def test_links_come_from_pivots(spark, monkeypatch):
+    """Links of a large region of sets, through pivots, windows and the rest."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(4):
+        base = np.unique(rng.integers(0, 1 << 62, 120))
+        for _ in range(25):
+            own = base.copy()
+            own[rng.choice(len(own), rng.integers(0, 9), replace=False)] = rng.integers(0, 1 << 62, 1)
+            sets.append(np.unique(own))
+    for name, value in (("CELL", 10), ("PIVOTS", 4), ("LEVELS", 1), ("SALT_ROWS", 16)):
+        monkeypatch.setattr(cells, name, value)
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "cid long, shingles binary")
+    members = table.select(F.lit(7).cast("long").alias("region"), "cid")
+    links = [(r["u"], r["v"]) for r in cells.exact_links(members, table, 90, 100).collect()]
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    # Besides links there are pairs of pivots that a member is linked with; both give the same components.
+    assert links and all(any(alike(sets[u], sets[x]) and alike(sets[v], sets[x]) for x in range(100)) for u, v in links)
+    want = spark.createDataFrame([(i, j) for i in range(100) for j in range(i) if alike(sets[i], sets[j])], "u long, v long")
+    labels = lambda edges: {r["node"]: r["component"] for r in components.components(edges).where("node <> -1").collect()}
+    assert labels(spark.createDataFrame(links, "u long, v long")) == labels(want)
+
+
+def test_cells_compare_inside_windows_only(monkeypatch):
+    rng = np.random.default_rng(4)
+    pool = np.arange(400)
+    sets = [np.sort(rng.choice(pool, 100 + k, replace=False)) for k in range(12)] + [np.arange(k, 200 + k) for k in range(0, 60, 5)]
+    counted = []
+    real = cells.common_counts
+    monkeypatch.setattr(cells, "common_counts", lambda a, others: counted.append(len(others)) or real(a, others))
+    got = cells.cell_links(sets, 80, 100)
+    label = list(range(len(sets)))
+    for i, j in got:
+        label = [label[i] if x == label[j] else x for x in label]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) * 100 >= 80 * len(np.union1d(sets[i], sets[j])):
+                assert label[i] == label[j]
+    assert all(len(np.intersect1d(sets[i], sets[j])) * 100 >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in got)
+    assert sum(counted) < len(sets) * (len(sets) - 1) // 2
+
+
 def test_jaccard_edges(spark, docs, none):
     got = jaccard.join(docs, 3, 90, 100).collect()
     assert len(got) == docs.count() and jaccard.join(none, 3, 90, 100).count() == 0
@@ -328,7 +371,26 @@ def test_sketches_bound_from_below():
     for _ in range(200):
         a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 300)))
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, 5))))
-        assert jaccard.apart_at_least(jaccard.sketch(a, 9, 10), jaccard.sketch(b, 9, 10)) <= len(np.setxor1d(a, b))
+        both = cells.Sketches(pa.array([b"x" * 8, jaccard.sketch(a, 9, 10), jaccard.sketch(b, 9, 10)], pa.binary()).slice(1))
+        rows = both.rows(np.array([0, 1]), int(both.size.min()))
+        assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_pairs_by_brute_force():
+    rng = np.random.default_rng(9)
+    sets, cell = [], []
+    for k in range(30):
+        base = np.unique(rng.integers(0, 1 << 62, rng.integers(5, 80)))
+        for _ in range(rng.integers(1, 6)):
+            keep = base[rng.random(len(base)) < 0.95]
+            sets.append(keep if len(keep) else base)
+            cell.append(k // 3)
+    n = np.array(list(map(len, sets)))
+    bits = cells.Sketches(pa.array([jaccard.sketch(s, 9, 10) for s in sets], pa.binary()))
+    i, j = cells.near_pairs(np.array(cell), n, np.zeros(len(n), int), bits, 90, 100)
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    want = {(a, b) for b in range(len(n)) for a in range(b) if cell[a] == cell[b] and len(np.intersect1d(sets[a], sets[b])) * 100 >= 90 * len(np.union1d(sets[a], sets[b]))}
+    assert want <= got and all(a < b and cell[a] == cell[b] for a, b in got) and len(got) < len(n) * 8
 
 
 def test_components_of_a_path(spark):
@@ -354,7 +416,7 @@ def test_html_blocks(spark):
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     model = html_blocks.Labeller(1)
-    x, sizes = html_blocks._padded([rng.normal(size=(k, html_blocks.PATH + html_blocks.WORD + html_blocks.SIZES)).astype(np.float32) for k in (3, 5)])
+    x, sizes = html_blocks._padded([rng.normal(size=(k, html_blocks.INPUT)).astype(np.float32) for k in (3, 5)])
     y = np.array([[1, 0], [0, 1], [1, 1], [-1, 0], [-1, 1]])
     grad = model.gradients(x, sizes, y)
 
@@ -420,18 +482,6 @@ def test_toxicity_sample_with_a_long_text(spark, docs, labels):
         toxicity.fit(df.withColumn("text", F.repeat(F.lit("long text "), 40_000)), known)
 
 
-def test_cotraining(docs, none, labels):
-    rng = np.random.default_rng(2)
-    y = (rng.random(300) < 0.7).astype(float)
-    a = np.stack((y + rng.normal(0, 0.4, 300), np.ones(300)), axis=1)
-    b = np.stack((y + rng.normal(0, 0.8, 300), np.ones(300)), axis=1)
-    model = cotrain.CoTrained([a[:100], b[:100]], y[:100], [a[100:200], b[100:200]])
-    assert ((model.scores([a[200:], b[200:]])[0] >= 0.5) == y[200:]).mean() > 0.85 and model.passed[0] > 0
-    rows = cotrain.judge(docs, labels).collect()
-    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
-    assert cotrain.judge(none, labels).count() == 0
-
-
 def test_held_out_toxic_documents(spark):
     docs_, labels_ = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.judge(docs_, labels_).join(labels_, "doc_id").where("held_out").collect()
