@@ -40,13 +40,6 @@ def plain_name(name: Column) -> Column:
     return name.rlike("^[A-Za-z0-9_-]+$")
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All windows of k letters in order, upper case; none of a shorter text."""
-    up = F.upper(seq)
-    starts = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(up, i, F.lit(k)))
-
-
 def canonical(kmer: Column) -> Column:
     """The smaller of a k-mer and its reverse complement."""
     return F.least(kmer, revcomp(kmer))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,23 @@ def fragments(lengths: DataFrame, breaks: DataFrame, least: int) -> DataFrame:
 def detection(rows: DataFrame, by: list[str], p: Column) -> DataFrame:
     """1 - product of (1 - p), by a sum of logarithms."""
     return rows.groupBy(*by).agg((1 - F.exp(F.sum(F.log(1 - p)))).alias("detected"))
+
+
+def overlapping(spans: DataFrame, key: str, start: str, end: str, share: float) -> DataFrame:
+    """(i, j, overlap): all pairs whose common part is at least `share` of what both span.
+
+    Such spans' lengths differ by 1 / share at most and their starts by less than a length, so spans are dealt by the class of their
+    length's logarithm and by their start in units of the class's length: an equi-join on neighbouring cells finds every pair.
+    """
+    step = -math.log(share)
+    size = F.greatest(F.col(end) - F.col(start), F.lit(0)) + 1e-9
+    kind = F.floor(F.log(size) / step).cast("long")
+    unit = lambda k: F.exp((k + 1) * F.lit(step)) * (1 / share)
+    own = spans.select(F.col(key).alias("k"), F.col(start).alias("a"), F.col(end).alias("b"), kind.alias("kind"))
+    here = own.select("*", F.floor(F.col("a") / unit(F.col("kind"))).cast("long").alias("cell"))
+    there = own.withColumn("kind", F.explode(F.array(*(F.col("kind") + d for d in (-2, -1, 0, 1, 2)))))
+    there = there.withColumn("cell", F.explode(F.array(*(F.floor(F.col("a") / unit(F.col("kind"))).cast("long") + d for d in (-1, 0, 1)))))
+    x, y = here.alias("x"), there.alias("y")
+    pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.k") < F.col("y.k")))
+    ratio = (F.least("x.b", "y.b") - F.greatest("x.a", "y.a")) / (F.greatest("x.b", "y.b") - F.least("x.a", "y.a"))
+    return pairs.where(ratio >= share).select(F.col("x.k").alias("i"), F.col("y.k").alias("j"), ratio.alias("overlap"))

@@ -44,11 +44,28 @@ def tier_vector(quality: DataFrame) -> DataFrame:
     return quality.agg(*counts)
 
 
-def partition_score(quality: DataFrame, by: list[str]) -> DataFrame:
-    """Score of a whole partition: 1e6 a high-quality bin, 1e4 a medium, 1e2 a near-high, and a soft term."""
-    c, x = F.col("completeness"), F.col("contamination")
-    score = 1e6 * F.count_if((c >= 90) & (x < 5)) + 1e4 * F.count_if((c >= 50) & (x < 10)) + 1e2 * F.count_if((c >= 75) & (c < 90) & (x < 5)) + F.sum(c - 5.0 * x) / 1e4
-    return quality.groupBy(*by).agg(score.alias("score")) if by else quality.agg(score.alias("score"))
+def partition_score(hits: DataFrame, total: int, by: tuple[str, ...] = (), bin_: str = "bin", contig: str = "contig", marker: str = "marker", least: int = 5) -> DataFrame:
+    """(by, score) of partitions, bins of `least` contigs or more: 1e6 a high-quality one, 1e4 a medium, 1e2 a near-high, each bin once, and a soft term; shares of `total` markers.
+
+    Contigs without a marker are rows with a null one, as they count for a bin's size.
+    """
+    keys = [*by, bin_]
+    sizes = hits.groupBy(*keys).agg(F.count_distinct(contig).alias("size")).where(F.col("size") >= least)
+    copies = hits.where(F.col(marker).isNotNull()).groupBy(*keys, marker).agg(F.count(F.lit(1)).alias("copies"))
+    rows = sizes.join(copies, keys, "left").groupBy(*keys).agg((F.count("copies") / total).alias("c"), ((F.coalesce(F.sum("copies"), F.lit(0)) - F.count("copies")) / total).alias("x"))
+    c, x = F.col("c"), F.col("x")
+    kind = F.when((c >= 0.75) & (x <= 0.05), 1e6).when((c >= 0.5) & (x <= 0.1), 1e4).when((c >= 0.3) & (x <= 0.05), 1e2).otherwise(0.0)
+    score = (F.sum(kind) + F.sum(c - 5.0 * x) / 1e4).alias("score")
+    return rows.groupBy(*by).agg(score) if by else rows.agg(score)
+
+
+def best_domain(hits: DataFrame, domains: DataFrame, bin_: str = "bin", marker: str = "marker") -> DataFrame:
+    """(bin, domain, completeness, contamination): of the domains (marker, domain) the one with the greatest completeness, then the least contamination."""
+    total = domains.groupBy("domain").agg(F.count(F.lit(1)).alias("total"))
+    rows = marker_counts(hits.join(domains, marker), bin_, marker).join(domains, marker).groupBy(bin_, "domain").agg(F.count(F.lit(1)).alias("found"), F.sum("copies").alias("copies")).join(total, "domain")
+    share = rows.select(bin_, "domain", (100.0 * F.col("found") / F.col("total")).alias("completeness"), (100.0 * (F.col("copies") - F.col("found")) / F.col("total")).alias("contamination"))
+    best = share.groupBy(bin_).agg(F.min(F.struct(-F.col("completeness"), F.col("contamination"), F.col("domain"))).alias("m"))
+    return best.select(bin_, "m.domain", (-F.col("m.col1")).alias("completeness"), "m.contamination")
 
 
 def n50(lengths: DataFrame, group: list[str], length: str = "length", tie: str = "contig") -> DataFrame:
@@ -72,7 +89,9 @@ def weakest_carriers(hits: DataFrame, weight: str, bin_: str = "bin", contig: st
 
 
 def seed_marker(hits: DataFrame, contig: str = "contig", marker: str = "marker", qlen: str = "qlen") -> DataFrame:
-    """The marker whose number of contigs is the upper median of all, the shortest of those, ties by name."""
+    """The marker whose number of contigs is the upper median of all, the shortest of those, ties by name; the median comes from counts of equal numbers."""
     counts = hits.groupBy(marker).agg(F.count_distinct(contig).alias("n"), F.min(qlen).alias(qlen))
-    middle = counts.agg(F.expr("sort_array(collect_list(n))[CAST(count(1) DIV 2 AS INT)]").alias("middle"))  # one number a marker
+    equal = counts.groupBy("n").agg(F.count(F.lit(1)).alias("markers"))  # as many rows as different numbers
+    run = equal.withColumn("cum", F.sum("markers").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    middle = run.join(F.broadcast(equal.agg(F.expr("sum(markers) DIV 2").alias("half"))), F.col("cum") > F.col("half")).agg(F.min("n").alias("middle"))  # one row each
     return counts.join(F.broadcast(middle), F.col("n") == F.col("middle")).orderBy(qlen, marker).limit(1).select(marker, "n", qlen)

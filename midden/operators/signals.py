@@ -28,14 +28,16 @@ def drops(rows: DataFrame, group: list[str], order: list[str], value: str, share
     return against_neighbours(rows, group, order, value).where((F.col("around") > 0) & (F.col(value) <= (1 - share) * F.col("around")))
 
 
-def smoothed_shift(rows: DataFrame, group: list[str], order: list[str], k: str, n: str, least_n: int = 30, least: float = 0.08) -> DataFrame:
-    """Rates pooled over five rows, kept where the next differs from the last by `least` and both rest on least_n observations."""
+def smoothed_shift(rows: DataFrame, group: list[str], order: list[str], k: str, n: str, least_n: int = 30, least: float = 0.08, half: int = 2, gap: int = 1) -> DataFrame:
+    """Rates pooled over 2 half + 1 rows on either side, centred half + gap rows away, kept where they differ by `least` and both rest on least_n observations; groups of seven rows or more."""
     w = Window.partitionBy(*group).orderBy(*order)
-    five = w.rowsBetween(-2, 2)
-    pooled = rows.withColumn("pk", F.sum(k).over(five)).withColumn("pn", F.sum(n).over(five))
-    rate = pooled.withColumn("rate", F.when(F.col("pn") > 0, F.col("pk") / F.col("pn")))
-    near = rate.select("*", F.lag("rate").over(w).alias("last"), F.lead("rate").over(w).alias("next"), F.least(F.lag("pn").over(w), F.lead("pn").over(w)).alias("support"))
-    return near.where((F.col("support") >= least_n) & (F.abs(F.col("next") - F.col("last")) >= least))
+    size, away = 2 * half + 1, half + gap
+    sides = {"before": w.rowsBetween(-away - half, -away + half), "after": w.rowsBetween(away - half, away + half)}
+    at = rows.withColumn("at", F.row_number().over(w)).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    for name, over in sides.items():
+        at = at.withColumn(f"n_{name}", F.sum(n).over(over)).withColumn(name, F.sum(k).over(over) / F.col(f"n_{name}"))
+    inside = (F.col("rows") >= size + 2 * gap) & (F.col("at") > away) & (F.col("at") <= F.col("rows") - away)
+    return at.where(inside & (F.least("n_before", "n_after") >= least_n) & (F.abs(F.col("after") - F.col("before")) >= least))
 
 
 def votes(signals: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -53,12 +55,34 @@ def histogram(rows: DataFrame, value: Column, low: float, high: float, bins: int
     return rows.where((value >= low) & (value < high)).groupBy(at.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def valleys(hist: DataFrame) -> DataFrame:
-    """Buckets whose three-bucket mean is below both neighbours'; hist has a row a bucket."""
-    w = Window.orderBy("bucket")
-    smooth = hist.withColumn("mean", F.avg("n").over(w.rowsBetween(-1, 1)))
-    near = smooth.select("bucket", "n", "mean", F.lag("mean").over(w).alias("left"), F.lead("mean").over(w).alias("right"))
-    return near.where((F.col("mean") < F.col("left")) & (F.col("mean") < F.col("right"))).select("bucket", "n", "mean")
+def smoothed_histogram(hist: DataFrame, bins: int) -> DataFrame:
+    """(bucket, n, mean, left, right): all buckets from 0 to bins - 1, empty ones too, with the means over three buckets of each and its neighbours."""
+    spark = hist.sparkSession
+    every = spark.range(bins).select(F.col("id").cast("int").alias("bucket")).join(hist, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    w = Window.orderBy("bucket")  # bins rows
+    smooth = every.withColumn("mean", F.avg("n").over(w.rowsBetween(-1, 1)))
+    return smooth.select("bucket", "n", "mean", F.lag("mean").over(w).alias("left"), F.lead("mean").over(w).alias("right"))
+
+
+def valleys(hist: DataFrame, bins: int) -> DataFrame:
+    """Buckets whose three-bucket mean is below both neighbours'."""
+    return smoothed_histogram(hist, bins).where((F.col("mean") < F.col("left")) & (F.col("mean") < F.col("right"))).select("bucket", "n", "mean")
+
+
+def peaks(hist: DataFrame, bins: int, least: float = 0.05) -> DataFrame:
+    """Buckets whose three-bucket mean is above both neighbours' and above `least` of the greatest."""
+    smooth = smoothed_histogram(hist, bins)
+    top = smooth.agg(F.max("mean").alias("top"))
+    return smooth.join(F.broadcast(top)).where((F.col("mean") > F.col("left")) & (F.col("mean") > F.col("right")) & (F.col("mean") > least * F.col("top"))).select("bucket", "n", "mean")
+
+
+def thresholds(rows: DataFrame, p: Column, bins: int = 20) -> DataFrame:
+    """(modern, ancient): one row; the deepest valley of the lower and of the upper half of a histogram of posteriors, within [.05, .45] and [.55, .95]; .2 and .8 without valleys."""
+    at = F.least(F.lit(bins - 1), F.floor(p * bins).cast("int"))
+    v = valleys(rows.groupBy(at.alias("bucket")).agg(F.count(F.lit(1)).alias("n")), bins)
+    middle = lambda b: (b + 0.5) / bins
+    low, high = (F.min(F.when(side, F.struct("mean", "bucket")))["bucket"] for side in (F.col("bucket") < bins // 2, F.col("bucket") >= bins // 2))
+    return v.agg(F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(0.45), middle(low))), F.lit(0.2)).alias("modern"), F.coalesce(F.greatest(F.lit(0.55), F.least(F.lit(0.95), middle(high))), F.lit(0.8)).alias("ancient"))
 
 
 def merged_intervals(rows: DataFrame, group: list[str], start: str = "start", end: str = "end") -> DataFrame:

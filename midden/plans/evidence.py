@@ -31,25 +31,6 @@ def standardised(spark, sf):
     return evidence.standardised(read(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderkey", r6(F.col("z")).alias("z"))
 
 
-DI = f"{DNA}, x AS (SELECT doc_id, s[i:i + 1] AS xy, count(*) AS n FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 1)) AS i FROM d) GROUP BY ALL)"
-
-
-def _dinucleotides(spark, sf):
-    return dna(spark, sf).select("doc_id", F.explode(sq.kmers(F.col("s"), 2)).alias("xy")).groupBy("doc_id", "xy").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {DI} SELECT doc_id, xy, n, round(n::DOUBLE * sum(n) OVER (PARTITION BY doc_id) / (sum(n) OVER (PARTITION BY doc_id, xy[1]) * sum(n) OVER (PARTITION BY doc_id, xy[2])), 6) AS rho FROM x""")
-def dinucleotide_odds(spark, sf):
-    return evidence.rho(_dinucleotides(spark, sf), ["doc_id"]).withColumn("rho", r6(F.col("rho")))
-
-
-@query(f"""WITH {DI}, r AS (SELECT doc_id, xy, n::DOUBLE * sum(n) OVER (PARTITION BY doc_id) / (sum(n) OVER (PARTITION BY doc_id, xy[1]) * sum(n) OVER (PARTITION BY doc_id, xy[2])) AS rho FROM x),
-m AS (SELECT xy, avg(rho) AS mean FROM r GROUP BY 1) SELECT doc_id, round(sum(abs(rho - mean)) / 16, 6) AS distance FROM r JOIN m USING (xy) GROUP BY 1""")
-def karlin_distance(spark, sf):
-    r = evidence.rho(_dinucleotides(spark, sf), ["doc_id"])
-    mean = r.groupBy("xy").agg(F.avg("rho").alias("mean"))
-    return r.join(F.broadcast(mean), "xy").groupBy("doc_id").agg(r6(F.sum(F.abs(F.col("rho") - F.col("mean"))) / 16).alias("distance"))  # 16 rows are broadcast
-
 
 @query(f"""WITH {DNA}, c AS (SELECT doc_id, length(s) AS n, length(s) - length(replace(s, 'G', '')) AS g, length(s) - length(replace(s, 'C', '')) AS c, length(s) - length(replace(s, 'A', '')) AS a, length(s) - length(replace(s, 'T', '')) AS t, (length(s) - length(replace(s, 'CG', ''))) / 2 AS cg FROM d)
 SELECT doc_id, round(CASE WHEN g + c > 0 THEN (g - c)::DOUBLE / (g + c) END, 6) AS gc_skew, round(CASE WHEN a + t > 0 THEN (a - t)::DOUBLE / (a + t) END, 6) AS at_skew, round(CASE WHEN g * c > 0 THEN cg * n / (g * c)::DOUBLE END, 6) AS cpg FROM c""")
@@ -69,24 +50,8 @@ def gc_shift(spark, sf):
     return p.select("doc_id", F.col("pos").cast("long").alias("pos"), r6(F.abs(sq.count_of(s.substr(F.col("pos") + 1, F.lit(500)), "GC") - sq.count_of(s.substr(F.col("pos") - 499, F.lit(500)), "GC")) / 500).alias("shift"))
 
 
-@query(f"""WITH {DNA}, k AS (SELECT doc_id, i, s[i:i + 14] AS k FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 14)) AS i FROM d)),
-w AS (SELECT doc_id, i, min(k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS c FROM k)
-SELECT doc_id, m AS minimizer, count(*) AS windows FROM w WHERE c = 10 GROUP BY ALL""")
-def minimizers(spark, sf):
-    k = dna(spark, sf).select("doc_id", F.posexplode(sq.kmers(F.col("s"), 15)).alias("i", "k"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(0, 9)
-    rows = k.select("doc_id", F.min("k").over(w).alias("minimizer"), F.count(F.lit(1)).over(w).alias("c")).where("c = 10")
-    return rows.groupBy("doc_id", "minimizer").agg(F.count(F.lit(1)).alias("windows"))
 
 
-@query(f"""WITH {DNA}, k AS (SELECT DISTINCT doc_id, s[i:i + 7] AS k FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 7)) AS i FROM d)), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
-x AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM k a JOIN k b ON a.k = b.k AND b.doc_id = a.doc_id + 1 GROUP BY ALL) SELECT i, j, c AS shared, round(c::DOUBLE / (x1.n + x2.n - c), 6) AS jaccard FROM x JOIN n x1 ON i = x1.doc_id JOIN n x2 ON j = x2.doc_id""")
-def kmer_jaccard(spark, sf):
-    k = dna(spark, sf).select("doc_id", F.explode(F.array_distinct(sq.kmers(F.col("s"), 8))).alias("k"))
-    n = k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    x = k.withColumnRenamed("doc_id", "i").join(k.select((F.col("doc_id") - 1).alias("i"), "k"), ["i", "k"]).groupBy("i").agg(F.count(F.lit(1)).alias("shared"))
-    both = x.withColumn("j", F.col("i") + 1).join(n.withColumnsRenamed({"doc_id": "i", "n": "ni"}), "i").join(n.withColumnsRenamed({"doc_id": "j", "n": "nj"}), "j")
-    return both.select("i", "j", "shared", r6(F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared"))).alias("jaccard"))
 
 
 @query("""WITH c AS (SELECT user_id % 40 AS bin, event_type AS category, count(*) AS k FROM events GROUP BY ALL), g AS (SELECT category, sum(k) / (SELECT sum(k) FROM c) AS q FROM c GROUP BY 1), b AS (SELECT DISTINCT bin FROM c), n AS (SELECT bin, sum(k) AS n FROM c GROUP BY 1),
@@ -107,11 +72,6 @@ def kolmogorov_distance(spark, sf):
 GENO = ", ".join(f"sum(CASE WHEN l_returnflag = '{a}' THEN ln(1 - e) ELSE ln(e / 2) END) AS {a}" for a in "ANR")
 
 
-@query(f"""WITH o AS (SELECT l_partkey AS pos, l_returnflag, pow(10, -(5 + l_linenumber) / 10.0::DOUBLE) AS e FROM lineitem), s AS (SELECT pos, count(*) AS depth, {GENO} FROM o GROUP BY 1)
-SELECT pos, depth, CASE WHEN greatest(A, N, R) = A THEN 'A' WHEN greatest(A, N, R) = N THEN 'N' ELSE 'R' END AS call, round(1 / (exp(A - greatest(A, N, R)) + exp(N - greatest(A, N, R)) + exp(R - greatest(A, N, R))), 4) AS posterior FROM s WHERE 1 / (exp(A - greatest(A, N, R)) + exp(N - greatest(A, N, R)) + exp(R - greatest(A, N, R))) >= 0.7""")
-def genotype_calls(spark, sf):
-    o = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("pos"), "l_returnflag", F.pow(F.lit(10.0), -(5 + F.col("l_linenumber")) / 10.0).alias("e"))
-    return evidence.genotypes(o, ["pos"], "l_returnflag", F.col("e"), ["A", "N", "R"]).where("posterior >= 0.7").select("pos", "depth", "call", F.round("posterior", 4).alias("posterior"))
 
 
 CUTS = f"""{SYM}, {LAB}, x AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), n AS (SELECT a.label AS lu, b.label AS lv, w FROM x JOIN lab a ON u = a.node JOIN lab b ON v = b.node), t AS (SELECT sum(w) AS total FROM n),
@@ -142,16 +102,11 @@ def bin_confidence(spark, sf):
     return evidence.nearest_centroids(p, 1000, 2, 50.0)
 
 
-@query(f"""WITH {POS}, w AS (SELECT bin, position, sum(k) OVER f AS pk, sum(n) OVER f AS pn FROM o WINDOW f AS (PARTITION BY bin ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-x AS (SELECT bin, position, lag(pk / pn) OVER p AS l, lead(pk / pn) OVER p AS r, least(lag(pn) OVER p, lead(pn) OVER p) AS support, count(*) OVER p AS c FROM w WINDOW p AS (PARTITION BY bin ORDER BY position))
-SELECT bin, position, round(l, 6) AS last, round(r, 6) AS next FROM x WHERE l IS NOT NULL AND r IS NOT NULL AND support >= 30 AND abs(r - l) >= 0.03""")
-def damage_shift(spark, sf):
-    return signals.smoothed_shift(_positions(spark, sf), ["bin"], ["position"], "k", "n", 30, 0.03).select("bin", "position", r6(F.col("last")).alias("last"), r6(F.col("next")).alias("next"))
 
 
-@query(f"WITH {ISL}, p AS (SELECT l_suppkey AS contig, l_partkey AS pos FROM lineitem WHERE l_quantity > 49) SELECT DISTINCT p.contig, pos FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.contig = p.contig AND pos BETWEEN s AND e)")
+@query(f"WITH {ISL}, p AS (SELECT l_suppkey AS contig, l_partkey + CAST(l_quantity AS BIGINT) AS pos FROM lineitem) SELECT DISTINCT p.contig, pos FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.contig = p.contig AND pos BETWEEN s AND e)")
 def masked_positions(spark, sf):
-    p = read(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos")).distinct()
+    p = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("pos")).distinct()
     return p.join(signals.covered(p, _intervals(spark, sf), ["contig"]), ["contig", "pos"], "left_anti")
 
 
@@ -198,10 +153,6 @@ def detection_rate(spark, sf):
     return evidence.detection(e, ["user_id"], F.least(F.lit(0.99), F.col("value") / 1000)).withColumn("detected", r6(F.col("detected")))
 
 
-@query("""WITH w AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a, b, count(*) AS n FROM w WHERE b IS NOT NULL GROUP BY ALL) SELECT a AS was, b AS became, n, round(n / sum(n) OVER (PARTITION BY a), 6) AS p FROM c""")
-def transition_matrix(spark, sf):
-    w = reads(spark, sf).select(F.col("event_type").alias("was"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("became")).where("became IS NOT NULL")
-    return w.groupBy("was", "became").agg(F.count(F.lit(1)).alias("n")).withColumn("p", r6(F.col("n") / F.sum("n").over(Window.partitionBy("was"))))
 
 
 @query("SELECT user_id, props, max_by(event_id, (ts, event_id)) AS event_id, count(*) AS seen FROM events GROUP BY ALL")
@@ -209,20 +160,26 @@ def last_observation(spark, sf):
     return reads(spark, sf).groupBy("user_id", "props").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("seen"))
 
 
-@query(f"WITH {POS} SELECT bin, round(max((k + 0.5) / (n + 1)) FILTER (position = 2), 6) AS third, round(avg((k + 0.5) / (n + 1)) FILTER (position >= 10), 6) AS late, CASE WHEN avg((k + 0.5) / (n + 1)) FILTER (position >= 10) > 0.3 * max((k + 0.5) / (n + 1)) FILTER (position = 2) THEN 'single' ELSE 'double' END AS library FROM o GROUP BY 1")
-def library_type(spark, sf):
-    from ..operators.damage import pooled_rates
+@query(f"""WITH o AS (SELECT l_partkey AS pos, l_returnflag, pow(10, -(5 + l_linenumber) / 10.0::DOUBLE) AS e FROM lineitem), s AS (SELECT pos, count(*) AS depth, {GENO} FROM o GROUP BY 1)
+SELECT pos, depth, CASE WHEN greatest(A, N, R) = A THEN 'A' WHEN greatest(A, N, R) = N THEN 'N' ELSE 'R' END AS call, round(1 / (exp(A - greatest(A, N, R)) + exp(N - greatest(A, N, R)) + exp(R - greatest(A, N, R))), 4) AS posterior FROM s""")
+def genotype_calls(spark, sf):
+    o = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("pos"), "l_returnflag", F.pow(F.lit(10.0), -(5 + F.col("l_linenumber")) / 10.0).alias("e"))
+    return evidence.genotypes(o, ["pos"], "l_returnflag", F.col("e"), ["A", "N", "R"]).select("pos", "depth", "call", F.round("posterior", 4).alias("posterior"))
+
+
+SHIFT = ", ".join(f"sum(n) OVER (PARTITION BY bin ORDER BY position ROWS BETWEEN {a}) AS n{c}, sum(k) OVER (PARTITION BY bin ORDER BY position ROWS BETWEEN {a}) AS k{c}" for c, a in (("b", "5 PRECEDING AND 1 PRECEDING"), ("a", "1 FOLLOWING AND 5 FOLLOWING")))
+
+
+@query(f"""WITH {POS}, w AS (SELECT bin, position, row_number() OVER (PARTITION BY bin ORDER BY position) AS i, count(*) OVER (PARTITION BY bin) AS c, {SHIFT} FROM o)
+SELECT bin, position, round(kb::DOUBLE / nb, 6) AS before, round(ka::DOUBLE / na, 6) AS after FROM w WHERE c >= 7 AND i > 3 AND i <= c - 3 AND least(nb, na) >= 30 AND abs(ka::DOUBLE / na - kb::DOUBLE / nb) >= 0.03""")
+def damage_shift(spark, sf):
+    return signals.smoothed_shift(_positions(spark, sf), ["bin"], ["position"], "k", "n", 30, 0.03).select("bin", "position", r6(F.col("before")).alias("before"), r6(F.col("after")).alias("after"))
+
 
-    rate = pooled_rates(_positions(spark, sf), ["bin"])
-    third, late = F.max(F.when(F.col("position") == 2, F.col("rate"))), F.avg(F.when(F.col("position") >= 10, F.col("rate")))
-    return rate.groupBy("bin").agg(third.alias("third"), late.alias("late")).select("bin", r6(F.col("third")).alias("third"), r6(F.col("late")).alias("late"), F.when(F.col("late") > 0.3 * F.col("third"), "single").otherwise("double").alias("library"))
+QUARTILES = """q AS (SELECT l_suppkey AS bin, quantile_disc(l_partkey, 0.25) AS a, quantile_disc(l_partkey, 0.75) AS b FROM lineitem GROUP BY 1)"""
 
 
-@query("""WITH q AS (SELECT l_suppkey AS bin, quantile_disc(l_partkey, 0.25) AS a, quantile_disc(l_partkey, 0.75) AS b FROM lineitem GROUP BY 1)
-SELECT x.bin AS i, y.bin AS j, round((least(x.b, y.b) - greatest(x.a, y.a))::DOUBLE / (greatest(x.b, y.b) - least(x.a, y.a)), 6) AS overlap FROM q x JOIN q y ON x.bin < y.bin AND x.bin // 10 = y.bin // 10 WHERE (least(x.b, y.b) - greatest(x.a, y.a))::DOUBLE / (greatest(x.b, y.b) - least(x.a, y.a)) >= 0.8""")
+@query(f"""WITH {QUARTILES} SELECT x.bin AS i, y.bin AS j, round((least(x.b, y.b) - greatest(x.a, y.a))::DOUBLE / (greatest(x.b, y.b) - least(x.a, y.a)), 6) AS overlap FROM q x JOIN q y ON x.bin < y.bin WHERE (least(x.b, y.b) - greatest(x.a, y.a))::DOUBLE / (greatest(x.b, y.b) - least(x.a, y.a)) >= 0.8""")
 def coverage_overlap(spark, sf):
-    q = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("bin")).agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY l_partkey)").cast("long").alias("a"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY l_partkey)").cast("long").alias("b")).withColumn("block", F.floor(F.col("bin") / 10))
-    x, y = q.alias("x"), q.alias("y")
-    both = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.bin") < F.col("y.bin")))
-    share = (F.least("x.b", "y.b") - F.greatest("x.a", "y.a")) / (F.greatest("x.b", "y.b") - F.least("x.a", "y.a"))
-    return both.where(share >= 0.8).select(F.col("x.bin").alias("i"), F.col("y.bin").alias("j"), r6(share).alias("overlap"))
+    q = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("bin")).agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY l_partkey)").cast("long").alias("a"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY l_partkey)").cast("long").alias("b"))
+    return evidence.overlapping(q, "bin", "a", "b", 0.8).withColumn("overlap", r6(F.col("overlap")))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import damage as fd
-from ..operators import damage as agg
-from ..operators import graph, iterate, knn, quality, signals
+from ..operators import damage_model, graph, iterate, knn, quality, signals
 
 
 def best_partition(parts: DataFrame, hits: DataFrame, sets: DataFrame) -> DataFrame:
@@ -15,12 +14,12 @@ def best_partition(parts: DataFrame, hits: DataFrame, sets: DataFrame) -> DataFr
 
     parts: (resolution, seed, node, label); hits: (contig, marker); sets: (set_id, marker).
     """
-    key = F.concat_ws("/", "resolution", "seed")
-    named = parts.select(key.alias("run"), F.col("node").alias("contig"), F.concat_ws("/", key, "label").alias("bin"))
-    q = quality.set_quality(named.join(hits, "contig"), sets).withColumn("run", F.regexp_extract("bin", r"^(.*)/[^/]*$", 1))
-    best = quality.partition_score(q, ["run"]).orderBy(F.desc("score"), "run").limit(1).select("run")
-    bins = named.join(F.broadcast(best), "run")  # one row
-    return bins.select("contig", F.regexp_extract("bin", r"([^/]*)$", 1).cast("long").alias("bin"))
+    total = sets.select("marker").distinct().count()
+    named = parts.select("resolution", "seed", F.col("node").alias("contig"), F.col("label").alias("bin"))
+    scores = quality.partition_score(named.join(hits, "contig", "left"), max(1, total), ("resolution", "seed"))
+    runs = parts.select("resolution", "seed").distinct().join(scores, ["resolution", "seed"], "left")
+    best = runs.orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "resolution", "seed").limit(1).select("resolution", "seed")
+    return named.join(F.broadcast(best), ["resolution", "seed"]).select("contig", "bin")  # one row is broadcast
 
 
 def bins_of_embeddings(embeddings: DataFrame, hits: DataFrame, sets: DataFrame, k: int = 20, ratio: int = 50, bandwidth: float = 1.0, resolutions: tuple = (0.5, 1.0, 2.0), seeds: tuple = (1, 2, 3)) -> DataFrame:
@@ -53,12 +52,10 @@ def consensus_of_runs(labels: DataFrame, embeddings: DataFrame, hits: DataFrame,
 
 
 def damage_of_bins(observations: DataFrame, bins: DataFrame) -> DataFrame:
-    """(bin, n, p, ct1, damage_class, decay, amplitude); observations: (contig, position, k, n, p), positions 0-based from the 5' end, p the reads' posterior."""
+    """The report of damage_model.bin_report; observations: (contig, end, position, k, n, p), positions 0-based from the end 5 or 3, p the posterior of the contig's reads."""
     named = observations.join(bins, "contig")
-    rates = agg.pooled_rates(named, ["bin"])
-    first = F.col("position") == 0
-    profile = named.groupBy("bin", "contig").agg(F.sum(F.when(first, F.col("k")).otherwise(0)).alias("k1"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("n1"), F.avg("p").alias("p"), F.sum("n").alias("n"))
-    return agg.bin_damage(profile, "bin").join(agg.decay_fit(rates, ["bin"]), "bin")
+    contigs = named.groupBy("bin", "contig").agg(F.avg("p").alias("p"), F.sum("n").alias("n"))
+    return damage_model.bin_report(named.select("bin", "end", "position", "k", "n"), contigs)
 
 
 def chimeric_breakpoints(windows: DataFrame, least_families: int = 2) -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import damage as fd
-from ..functions import kernels
-from ..functions import sequence as sq
 from ..operators import damage, graph, iterate, knn, quality, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,10 +77,6 @@ def tier_vector(spark, sf):
     return quality.tier_vector(quality.set_quality(hits(spark, sf), _sets(spark, sf)))
 
 
-@query(f"""WITH {SETQ} SELECT round(1e6 * count(*) FILTER (completeness >= 90 AND contamination < 5) + 1e4 * count(*) FILTER (completeness >= 50 AND contamination < 10)
- + 1e2 * count(*) FILTER (completeness >= 75 AND completeness < 90 AND contamination < 5) + sum(completeness - 5 * contamination) / 1e4, 6) AS score FROM q""")
-def partition_score(spark, sf):
-    return quality.partition_score(quality.set_quality(hits(spark, sf), _sets(spark, sf)), []).select(r6(F.col("score")).alias("score"))
 
 
 @query(f"WITH {HITS}, m AS (SELECT bin, marker, count(DISTINCT contig) AS n, min(contig) AS contig FROM hits GROUP BY ALL) SELECT DISTINCT bin, contig FROM m WHERE n = 1")
@@ -282,21 +276,8 @@ def pooled_rates(spark, sf):
     return damage.pooled_rates(_positions(spark, sf), ["bin"]).withColumn("rate", r6(F.col("rate")))
 
 
-@query(f"""WITH {POS}, r AS (SELECT bin, position, (k + 0.5::DOUBLE) / (n + 1) AS rate FROM o), f AS (SELECT bin, regr_slope(ln(rate - 0.01), position) AS s, regr_intercept(ln(rate - 0.01), position) AS b, count(*) AS c FROM r WHERE position < 5 AND rate > 0.01 GROUP BY 1)
-SELECT bin, round(CASE WHEN c >= 2 AND s < 0 THEN least(2, -s) ELSE 0.5 END, 6) AS decay, round(CASE WHEN c >= 2 AND s < 0 THEN least(1, exp(b)) ELSE 0.1 END, 6) AS amplitude FROM (SELECT DISTINCT bin FROM r) LEFT JOIN f USING (bin)""")
-def decay_fit(spark, sf):
-    rates = damage.pooled_rates(_positions(spark, sf), ["bin"])
-    return damage.decay_fit(rates, ["bin"]).select("bin", r6(F.col("decay")).alias("decay"), r6(F.col("amplitude")).alias("amplitude"))
 
 
-@query(f"""WITH {POST}, c AS (SELECT user_id, avg(p) AS p, count(*) AS n FROM p GROUP BY 1), k AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS k1, count(*) AS n1 FROM events GROUP BY 1),
-s AS (SELECT user_id % 20 AS bin, sum(p * n) AS pn, sum(n) AS n, sum(k1) AS k1, sum(n1) AS n1 FROM c JOIN k USING (user_id) GROUP BY 1)
-SELECT bin, CAST(n AS BIGINT) AS n, round(pn / n, 6) AS p, round((k1 + 0.5) / (n1 + 1), 6) AS ct1, CASE WHEN pn / n > 0.5 AND (k1 + 0.5) / (n1 + 1) > 0.02 THEN 'ancient' WHEN pn / n < 0.2 THEN 'modern' ELSE 'mixed' END AS damage_class FROM s""")
-def bin_damage(spark, sf):
-    p = _posterior(spark, sf).groupBy("user_id").agg(F.avg("p").alias("p"), F.count(F.lit(1)).alias("n"))
-    k = reads(spark, sf).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("k1"), F.count(F.lit(1)).alias("n1"))
-    rows = damage.bin_damage(p.join(k, "user_id").withColumn("bin", F.col("user_id") % 20), "bin")
-    return rows.select("bin", "n", r6(F.col("p")).alias("p"), r6(F.col("ct1")).alias("ct1"), "damage_class")
 
 
 @query("""WITH c AS (SELECT user_id % 40 AS bin, event_type AS category, count(*) AS k FROM events GROUP BY ALL), g AS (SELECT category, sum(k) AS c FROM c GROUP BY 1), o AS (SELECT bin, sum(k) AS n FROM c GROUP BY 1), t AS (SELECT sum(k) AS t FROM c)
@@ -348,12 +329,23 @@ def breakpoint_votes(spark, sf):
     return signals.votes(found, ["user_id", "event_id"]).where("families >= 2")
 
 
-@query("""WITH h AS (SELECT CAST(floor(o_totalprice * 20 / 500000) AS INT) AS bucket, count(*) AS n FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 500000 GROUP BY 1),
+
+
+@query("""WITH h AS (SELECT b.i AS bucket, count(o.at) AS n FROM (SELECT unnest(generate_series(0, 19)) AS i) b LEFT JOIN (SELECT CAST(floor(o_totalprice * 20 / 500000) AS INT) AS at FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 500000) o ON o.at = b.i GROUP BY 1),
 s AS (SELECT bucket, n, avg(n) OVER (ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM h), x AS (SELECT *, lag(mean) OVER (ORDER BY bucket) AS l, lead(mean) OVER (ORDER BY bucket) AS r FROM s)
-SELECT bucket, n, round(mean, 6) AS mean FROM x WHERE mean < l AND mean < r""")
+SELECT CAST(bucket AS INT) AS bucket, n, round(mean, 6) AS mean FROM x WHERE mean < l AND mean < r""")
 def hist_valleys(spark, sf):
     h = signals.histogram(read(spark, sf, "orders"), F.col("o_totalprice"), 0, 500000, 20)
-    return signals.valleys(h).withColumn("mean", r6(F.col("mean")))
+    return signals.valleys(h, 20).withColumn("mean", r6(F.col("mean")))
+
+
+@query("""WITH h AS (SELECT b.i AS bucket, count(o.at) AS n FROM (SELECT unnest(generate_series(0, 49)) AS i) b LEFT JOIN (SELECT least(49, CAST(floor(value / 5) AS INT)) AS at FROM events WHERE value >= 0) o ON o.at = b.i GROUP BY 1),
+s AS (SELECT bucket, n, avg(n) OVER (ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM h), x AS (SELECT *, lag(mean) OVER (ORDER BY bucket) AS l, lead(mean) OVER (ORDER BY bucket) AS r, max(mean) OVER () AS top FROM s)
+SELECT CAST(bucket AS INT) AS bucket, n, round(mean, 6) AS mean FROM x WHERE mean > l AND mean > r AND mean > 0.05 * top""")
+def hist_peaks(spark, sf):
+    v = read(spark, sf, "events").where("value >= 0")
+    h = v.groupBy(F.least(F.lit(49), F.floor(F.col("value") / 5).cast("int")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return signals.peaks(h, 50).withColumn("mean", r6(F.col("mean")))
 
 
 @query("""WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL)
@@ -362,12 +354,12 @@ def fragment_stats(spark, sf):
     return damage.fragment_stats(reads(spark, sf), ["event_type"], "value").select("event_type", "n", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"), "median")
 
 
-ISL = """i AS (SELECT l_suppkey AS contig, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_quantity < 3), x AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+ISL = """i AS (SELECT l_suppkey AS contig, l_partkey AS s, l_partkey + l_linenumber AS e FROM lineitem), x AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
 y AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM x), m AS (SELECT contig, island, min(s) AS s, max(e) AS e FROM y GROUP BY ALL)"""
 
 
 def _intervals(spark, sf):
-    i = read(spark, sf, "lineitem").where("l_quantity < 3").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    i = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_linenumber")).alias("end"))
     return signals.merged_intervals(i, ["contig"])
 
 
@@ -376,9 +368,9 @@ def merged_intervals(spark, sf):
     return _intervals(spark, sf)
 
 
-@query(f"WITH {ISL}, p AS (SELECT l_suppkey AS contig, l_partkey AS pos FROM lineitem WHERE l_quantity > 49) SELECT p.contig, pos FROM p WHERE EXISTS (SELECT 1 FROM m WHERE m.contig = p.contig AND pos BETWEEN s AND e)")
+@query(f"WITH {ISL}, p AS (SELECT l_suppkey AS contig, l_partkey + CAST(l_quantity AS BIGINT) AS pos FROM lineitem) SELECT p.contig, pos FROM p WHERE EXISTS (SELECT 1 FROM m WHERE m.contig = p.contig AND pos BETWEEN s AND e)")
 def covered_positions(spark, sf):
-    p = read(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"))
+    p = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("pos"))
     return signals.covered(p, _intervals(spark, sf), ["contig"])
 
 
@@ -389,38 +381,10 @@ def dna(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
 
 
-@query(f"WITH {DNA} SELECT doc_id, length(s) AS length, CASE WHEN length(s) > 0 THEN round((length(s) - length(translate(s, 'GC', '')))::DOUBLE / length(s), 6) END AS gc FROM d")
-def gc_fraction(spark, sf):
-    return dna(spark, sf).select("doc_id", F.length("s").cast("long").alias("length"), r6(sq.gc_fraction(F.col("s"))).alias("gc"))
-
-
-@query(f"WITH {DNA} SELECT doc_id, substr(reverse(translate(s, 'ACGT', 'TGCA')), 1, 32) AS rc FROM d")
-def revcomp_prefix(spark, sf):
-    return dna(spark, sf).select("doc_id", F.substring(sq.revcomp(F.col("s")), 1, 32).alias("rc"))
-
-
-KM = f"{DNA}, k AS (SELECT doc_id, upper(s[i:i + 3]) AS k FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 3)) AS i FROM d)), c AS (SELECT doc_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM k GROUP BY ALL)"
 
 
-def _tnf(spark, sf):
-    return dna(spark, sf).select("doc_id", F.explode(sq.kmers(F.col("s"), 4)).alias("k")).groupBy("doc_id", sq.canonical(F.col("k")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {KM} SELECT doc_id, kmer, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS l2 FROM c")
-def tetranucleotides(spark, sf):
-    return _tnf(spark, sf).withColumn("l2", r6(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))))
-
-
-@query(f"WITH {KM} SELECT kmer, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
-def canonical_kmers(spark, sf):
-    return _tnf(spark, sf).groupBy("kmer").agg(F.sum("n").alias("n"))
-
-
-@query(f"WITH {KM}, t AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c) SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM t GROUP BY 1")
-def kmer_entropy(spark, sf):
-    p = _tnf(spark, sf).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
-    return p.groupBy("doc_id").agg(r6(-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
-
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, len(string_split(url, '/')) AS parts FROM pages""")
 def name_strip(spark, sf):
@@ -448,11 +412,5 @@ def consensus_communities(spark, sf):
     return iterate.communities(_symmetric(spark, sf), [0.5, 1.0, 2.0], [1, 2, 3])
 
 
-@query()
-def chaos_game(spark, sf):
-    return dna(spark, sf).select("doc_id", kernels.cgr9("s").alias("cgr"), kernels.lz("s").alias("lz"), kernels.hurst_of("s").alias("hurst"))
 
 
-@query()
-def minhash_signatures(spark, sf):
-    return dna(spark, sf).select("doc_id", kernels.minhash128(sq.kmers(F.col("s"), 21)).alias("signature"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from midden import sources
 from midden.functions import damage as fd
-from midden.functions import kernels
+from midden.functions import fractal, kmers
 from midden.functions import sequence as sq
-from midden.operators import damage, graph, iterate, knn, quality, signals
+from midden.operators import damage, damage_model, graph, iterate, knn, quality, signals
 
 
 def one(spark, column, **values):
@@ -62,7 +63,7 @@ def test_cutoff_of_four(spark):
 
 def test_decay_fit(spark):
     rows = [(0, z, 0.01 + 0.2 * math.exp(-0.5 * z)) for z in range(5)] + [(1, z, 0.01) for z in range(5)]
-    got = {r["bin"]: (r["decay"], r["amplitude"]) for r in damage.decay_fit(spark.createDataFrame(rows, ["bin", "position", "rate"]), ["bin"]).collect()}
+    got = {r["bin"]: (r["decay"], r["amplitude"]) for r in damage_model.decay_line(spark.createDataFrame(rows, ["bin", "position", "rate"]), ["bin"]).collect()}
     assert got[0] == pytest.approx((0.5, 0.2)) and got[1] == (0.5, 0.1)
 
 
@@ -80,7 +81,6 @@ def test_sequences(spark):
     assert one(spark, sq.revcomp(F.col("s")), s="AACGTN") == "NACGTT"
     assert one(spark, sq.gc_fraction(F.col("s")), s="GGCATN") == pytest.approx(0.6)
     assert one(spark, sq.gc_fraction(F.col("s")), s="NNN") is None
-    assert one(spark, sq.kmers(F.col("s"), 4), s="acg") == []
     assert len(sq.canonical_kmers(4)) == 136
     assert one(spark, sq.contig_of_gene(F.col("s")), s="k_1_10_99_+") == "k_1"
     assert one(spark, sq.strip_version(F.col("s")), s="PF00001.21") == "PF00001"
@@ -107,9 +107,96 @@ def test_label_propagation_splits_cliques(spark):
     assert len({got[i] for i in range(4)}) == 1 and got[0] != got[10]
 
 
-def test_kernels():
-    assert kernels.lz_phrases("AAAA") == 3 and kernels.cgr_nine("") == [0.0] * 9
-    assert kernels.minhash([]) == [] and kernels.minhash(["a", "b"]) == kernels.minhash(["b", "a", "a"])
+def brute_lz(s: str) -> float:
+    known, at, n = set(), 0, 0
+    while at < len(s):
+        best = 1
+        for size in range(1, min(len(s) - at, 100) + 1):
+            if s[at : at + size] in known:
+                best = size
+                continue
+            known.add(s[at : at + size])
+            break
+        at += best
+        n += 1
+    return math.log(n) / math.log(len(s))
+
+
+def random_dna(n: int, seed: int = 1) -> str:
+    return "".join("ACGT"[i] for i in np.random.default_rng(seed).integers(0, 4, n))
+
+
+def test_kernels_by_brute_force():
+    s = random_dna(700)
+    code = kmers.bases(s)
+    assert fractal.lz(s) == pytest.approx(brute_lz(s)) and fractal.lz("A") == 0.5 and fractal.lz("") == 0.0
+    x, y, walk = 0.5, 0.5, []
+    for c in s:
+        cx, cy = {"A": (0, 0), "C": (1, 0), "G": (1, 1), "T": (0, 1)}[c]
+        x, y = (x + cx) / 2, (y + cy) / 2
+        walk.append((x, y))
+    assert np.allclose(fractal.points(code, fractal.WALK_CORNERS), walk, atol=1e-15)
+    assert kmers.counts(code, 4).sum() == 697 and len(kmers.counts(code, 4)) == 136
+    swap = str.maketrans("ACGT", "TGCA")
+    want = {}
+    for i in range(697):
+        k = min(s[i : i + 4], s[i : i + 4][::-1].translate(swap))
+        want[k] = want.get(k, 0) + 1
+    assert dict(zip(sq.canonical_kmers(4), kmers.counts(code, 4).tolist(), strict=True)) == {k: want.get(k, 0) for k in sq.canonical_kmers(4)}
+    assert len(kmers.syncmer_codes(code)) and kmers.minhash_of(np.array([3, 5, 5])) == kmers.minhash_of(np.array([5, 3]))
+    assert kmers.windows(kmers.bases("ACNGT"), 2)[1].tolist() == [True, False, False, True] and len(kmers.windows(kmers.bases("A"), 2)[0]) == 0
+    assert np.allclose(kmers.clr_of(np.array([1, 2, 5])).sum(), 0)
+
+
+def brute_fluctuation(profile: list, w: int) -> float:
+    total, valid = 0.0, 0
+    for a in range(len(profile) - w + 1):
+        part = np.array(profile[a : a + w])
+        line = np.polyfit(np.arange(w), part, 1)
+        r = part - np.polyval(line, np.arange(w))
+        r = r - r.mean()
+        other = r * np.where(np.arange(w) % 2 == 0, 1, -1)
+        va, vb = (r @ r) / (w - 1), (other @ other) / (w - 1)
+        if va < 1e-12:
+            continue
+        ra, rb = (r @ r + r[1:] @ r[:-1]) / ((2 * w - 1) * va), (other @ other - other[1:] @ other[:-1]) / ((2 * w - 1) * vb)
+        v = (ra + (1 + 3 * ra) / w + rb + (1 + 3 * rb) / w) * (1 - 1 / (2 * w)) * (va + vb) / 2
+        if v > 0:
+            total, valid = total + v, valid + 1
+    return math.sqrt(total / (w * valid))
+
+
+def test_exponents_by_brute_force():
+    x = np.random.default_rng(2).normal(size=150)
+    profile = np.cumsum(x - x.mean())
+    assert fractal.fluctuation(profile, 13)[0] == pytest.approx(brute_fluctuation(profile.tolist(), 13))
+    assert abs(fractal.dfa(np.random.default_rng(3).normal(size=2000))) < 0.2  # the fluctuation is by window, so noise has no slope
+    rs = []
+    for w in fractal.HURST_WINDOWS[:5]:
+        own = []
+        for a in range(0, len(x) - w + 1, w // 2):
+            part = x[a : a + w]
+            run = np.cumsum(part - part.mean())
+            own.append((run.max() - run.min()) / part.std(ddof=1))
+        rs.append((math.log(w), math.log(np.mean(own)), math.sqrt(len(own))))
+    lx, ly, lw = map(np.array, zip(*rs, strict=True))
+    slope = np.polyfit(lx, ly, 1, w=np.sqrt(lw))[0]
+    assert fractal.hurst(x) == pytest.approx(slope)
+    assert len(fractal.complexity(random_dna(12_000))) == 14 and fractal.complexity("ACG") == [0.0] * 14
+    assert len(fractal.geometric(kmers.bases(random_dna(300)))) == 32 and fractal.cgr_distance(kmers.bases("ACGT" * 50), kmers.bases("ACGT" * 50)) == 0
+    assert fractal.nine(kmers.bases(random_dna(499))) == [0.0] * 9 and len(fractal.window_metrics(random_dna(2600))) == 4
+    with_n = kmers.bases(random_dna(600) + "N" + random_dna(600, 5))
+    assert len(fractal.nine(with_n)) == 9 and len(fractal.cgr_features(with_n)) == 26
+
+
+def test_a_long_sequence_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    code = kmers.bases(random_dna(1_000_000))
+    assert kmers.counts(code, 4).sum() == 999_997 and len(kmers.entropies(code)) == 5 and len(kmers.syncmer_codes(code)) > 50_000
+    fractal.nine(code)
+    assert time.process_time() - began < 20
 
 
 def test_fasta_round_trip(spark, tmp_path):

@@ -44,10 +44,11 @@ def test_consensus_of_runs(spark):
 
 
 def test_damage_of_bins(spark):
-    obs = [(c, z, int(1000 * (0.01 + (0.2 if c < 2 else 0.0) * 0.6**z)), 1000, 0.9 if c < 2 else 0.1) for c in range(4) for z in range(10)]
+    obs = [(c, e, z, int(1000 * (0.01 + (0.2 if c < 2 else 0.0) * 0.6**z)), 1000, 0.9 if c < 2 else 0.1) for c in range(4) for e in (5, 3) for z in range(20)]
     bins = spark.createDataFrame([(c, c // 2) for c in range(4)], "contig long, bin int")
-    got = {r["bin"]: r["damage_class"] for r in pipelines.damage_of_bins(spark.createDataFrame(obs, "contig long, position int, k long, n long, p double"), bins).collect()}
-    assert got == {0: "ancient", 1: "modern"}
+    rows = {r["bin"]: r for r in pipelines.damage_of_bins(spark.createDataFrame(obs, "contig long, end int, position int, k long, n long, p double"), bins).collect()}
+    assert {k: r["damage_class"] for k, r in rows.items()} == {0: "ancient", 1: "modern"}
+    assert abs(rows[0]["decay5"] - 0.5) <= 0.1 and abs(rows[0]["amplitude3"] - 0.2) <= 0.03 and rows[1]["amplitude5"] < 0.01
 
 
 def test_chimeric_breakpoints(spark):

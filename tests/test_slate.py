@@ -5,6 +5,7 @@ from __future__ import annotations
 import comparing
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from midden import registry
 from midden.plans import slate
@@ -30,8 +31,8 @@ def test_pagerank_sums_to_one(spark):
 
 
 def test_communities_cover_all_nodes(spark):
-    rows = slate.consensus_communities(spark, SMALL).groupBy("resolution", "seed").count().collect()
-    assert len(rows) == 9 and len({r["count"] for r in rows}) == 1
+    rows = slate.consensus_communities(spark, SMALL).groupBy("resolution", "seed").agg(F.count("*").alias("nodes"), F.countDistinct("label").alias("labels")).collect()
+    assert len(rows) == 9 and len({r["nodes"] for r in rows}) == 1 and all(1 <= r["labels"] < r["nodes"] for r in rows) and max(r["labels"] for r in rows) > 3
 
 
 def test_entry_and_registry(spark):
