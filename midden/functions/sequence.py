@@ -52,6 +52,16 @@ def canonical_kmers(k: int) -> list[str]:
     return sorted({min(x, x[::-1].translate(swap)) for x in every})
 
 
+# Markers that count as others.
+ALIASES = {"TIGR00388": "TIGR00389", "TIGR00471": "TIGR00472", "TIGR00408": "TIGR00409", "TIGR02386": "TIGR02387"}
+
+
+def marker_alias(marker: Column) -> Column:
+    """The marker under which another one counts, else itself."""
+    names = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, marker), marker)
+
+
 def strip_version(accession: Column) -> Column:
     """PF00001.21 to PF00001."""
     return F.regexp_replace(accession, r"^(PF\d+)\.\d+$", "$1")

@@ -28,20 +28,27 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
     def best(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy()
-        x = np.array(table.column("v").to_pylist(), np.float64)
+        col = table.column("v").combine_chunks()
+        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
         q, p, qi, pi = x[ask], x[~ask], ids[ask], ids[~ask]
-        out_i, out_j, out_d = [], [], []
-        for at in range(0, len(q), 512):
-            part = q[at : at + 512]
-            d = np.stack([((p - row) ** 2).sum(axis=1) for row in part])
-            d[qi[at : at + 512, None] == pi[None, :]] = np.inf
-            for row, i in zip(d, qi[at : at + 512], strict=True):
-                order = np.lexsort((pi, row))[:k]
-                order = order[np.isfinite(row[order])]
-                out_i.append(np.full(len(order), i))
-                out_j.append(pi[order])
-                out_d.append(row[order])
-        flat = [np.concatenate(c) if c else np.empty(0) for c in (out_i, out_j, out_d)]
+        square, near_ = (p * p).sum(axis=1), min(k, len(p))
+        out = []
+        for at in range(0, len(q) if near_ else 0, 256):
+            part = q[at : at + 256]
+            # Products find all that can be among the k nearest; these alone are measured exactly.
+            rough = (part * part).sum(axis=1)[:, None] + square[None] - 2 * (part @ p.T)
+            rough[qi[at : at + 256, None] == pi[None, :]] = np.inf
+            slack = 1e-9 * ((part * part).sum(axis=1) + square.max())
+            rows, cols = np.nonzero(rough <= (np.partition(rough, near_ - 1, axis=1)[:, near_ - 1] + slack)[:, None])
+            keep = np.isfinite(rough[rows, cols])
+            rows, cols = rows[keep], cols[keep]
+            exact = ((part[rows] - p[cols]) ** 2).sum(axis=1)
+            order = np.lexsort((pi[cols], exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            own = place < k
+            out.append((qi[at : at + 256][rows[own]], pi[cols[own]], exact[own]))
+        flat = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
         return pa.table({"i": pa.array(flat[0].astype(np.int64)), "j": pa.array(flat[1].astype(np.int64)), "d": pa.array(flat[2].astype(np.float64))})
 
     near = asks.unionAll(base).groupBy("a", "b").applyInArrow(best, "i long, j long, d double")

@@ -45,7 +45,7 @@ def aligned_pairs(seq: bytes, cigar: str, md: str) -> tuple[np.ndarray, np.ndarr
 
 
 def observations(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
-    """(qname, contig, ref, base, q, d5, d3, length) of every aligned A, C, G or T of mapped primary reads (qname, contig, flag, mapq, cigar, seq, qual, md).
+    """(qname, contig, ref, base, q, d5, d3, length) of every aligned A, C, G or T of mapped primary reads (qname, contig, flag, mapq, cigar, seq, qual array, md).
 
     Reverse reads are turned to the molecule's strand. Reads without CIGAR or MD have none; a missing quality is 30.
     """
@@ -57,7 +57,7 @@ def observations(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
             for flag, cigar, seq, qual, md in zip(*(batch.column(c).to_pylist() for c in ("flag", "cigar", "seq", "qual", "md")), strict=True):
                 text = (seq or "").encode()
                 place, ref, read = aligned_pairs(text, cigar or "", md or "") if md else (np.empty(0, np.int64),) * 3
-                q = np.frombuffer(qual.encode(), np.uint8)[place].astype(np.int32) - 33 if qual and len(qual) == len(text) else np.full(len(place), 30, np.int32)
+                q = np.array(qual, np.int32)[place] if qual is not None and len(qual) == len(text) else np.full(len(place), 30, np.int32)
                 d5, d3 = place + 1, len(text) - place
                 if flag & 16:
                     ref, read = (np.frombuffer(x.astype(np.uint8).tobytes().translate(_SWAP), np.uint8) for x in (ref, read))
@@ -77,6 +77,14 @@ def observations(reads: DataFrame, least_mapq: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "qname string, contig string, ref string, base string, q int, d5 int, d3 int, length int")
 
 
+def positions_in_reads(reads: DataFrame, positions: DataFrame, by: list[str], size: int = 256) -> DataFrame:
+    """The columns of reads (by, start, end, ...) beside each position (by, pos) in [start, end): an equi-join on buckets of `size` letters that a read touches."""
+    touched = F.sequence(F.floor(F.col("start") / size), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / size))
+    dealt = reads.where("end > start").withColumn("_bucket", F.explode(touched))
+    at = positions.withColumn("_bucket", F.floor(F.col("pos") / size))
+    return dealt.join(at, [*by, "_bucket"]).where("pos >= start AND pos < end").drop("_bucket")
+
+
 def terminal_counts(obs: DataFrame, by: list[str], positions: int = 15, least_q: int = 0) -> DataFrame:
     """(by, end, position, k, n): from each end, 0-based, how many reference C (5') or G (3') there are, and how many of them are read as T or A."""
     use = obs.where(F.col("q") >= least_q)

@@ -230,3 +230,22 @@ SELECT bin, domain, round(completeness, 6) AS completeness, round(contamination,
 def best_domain(spark, sf):
     domains = read(spark, sf, "part").select(F.col("p_partkey").alias("marker"), (F.col("p_size") % 2).alias("domain"))
     return quality.best_domain(hits(spark, sf), domains).withColumns({c: r6(F.col(c)) for c in ("completeness", "contamination")})
+
+
+@query("""WITH r AS (SELECT l_suppkey AS contig, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_discount AS x FROM lineitem), p AS (SELECT DISTINCT l_suppkey AS contig, l_partkey + 7 AS pos FROM lineitem)
+SELECT contig, pos, count(*) AS depth, round(avg(x), 6) AS mean FROM r JOIN p USING (contig) WHERE pos >= s AND pos < e GROUP BY ALL""")
+def reads_at_positions(spark, sf):
+    lines = read(spark, sf, "lineitem")
+    reads_ = lines.select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_discount").alias("x"))
+    positions = lines.select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") + 7).alias("pos")).distinct()
+    return rd.positions_in_reads(reads_, positions, ["contig"], 64).groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), r6(F.avg("x")).alias("mean"))
+
+
+@query()
+def damage_model_shifts(spark, sf):
+    """Held against models of the pooled segments by brute force in the tests."""
+    lines = read(spark, sf, "lineitem")
+    top = lines.agg((F.max("l_partkey") + 1).alias("top"))  # one row
+    hit = F.col("l_orderkey") % F.when(F.col("l_partkey") * 2 < F.col("top"), 3 + F.col("l_linenumber")).otherwise(40) == 0
+    rows = lines.join(F.broadcast(top)).groupBy((F.col("l_suppkey") % 2).alias("contig"), F.expr("l_partkey * 20 DIV top").alias("window"), F.when(F.col("l_orderkey") % 2 == 0, 5).otherwise(3).alias("end"), (F.col("l_linenumber") - 1 + F.col("l_orderkey") % 3 * 7).alias("position")).agg(F.count_if(hit).alias("k"), F.count(F.lit(1)).alias("n"))
+    return dm.model_shifts(rows, ["contig"]).select("contig", "window", *(r6(F.col(c)).alias(c) for c in ("p_before", "p_after", "amplitude_gap")))

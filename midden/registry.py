@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import ancient, evidence, sequences, slate
+from .plans import ancient, evidence, repairs, sequences, slate
 
-assert ancient and evidence and sequences  # they register their queries with the slate
+assert ancient and evidence and repairs and sequences  # they register their queries with the slate
 
 FLAGSHIP = "set_quality"
 QUERIES = dict(slate.QUERIES)
