@@ -2,6 +2,11 @@
 
 Near duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8
 or more; of each group the smallest id stays. The last stage gives the packed pieces.
+
+Cases, in every stage: an empty table gives an empty one with the same columns; a null text counts as an empty one, which is
+never toxic, fails the quality base (under 10 words), and is linked with nothing; rows that are repeated are
+judged alike, so all of them stay or go, and what shares the smallest id of a group stays; other columns, null or not, pass through. Classifiers
+are fitted on labelled rows that aren't held out.
 """
 
 from __future__ import annotations
@@ -14,22 +19,27 @@ from midden.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that score as toxic; without usable labels all stay."""
     return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that pass the base (10 words, at most 20 of 100 words in repeated windows) and that no learned rule rejects."""
     return rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group, and all that is linked with nothing; rows without an id stay."""
     return jaccard.one_of_each(docs, n=5, num=80, den=100)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs, each, with personal data replaced by its kind in brackets; n_chars follows, null texts stay null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: where it stands in which sequence of at most 4,096 tokens; a null text is its end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
 

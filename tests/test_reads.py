@@ -168,3 +168,15 @@ def test_removals_by_hand(spark):
     order = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "none", 3)], "bin int, contig string, rank int")
     got = {r["rank"]: (r["completeness"], r["contamination"]) for r in repair.prefix_quality(hits, sets, order).collect()}
     assert got[1] == (100.0, 0.0) and got[2] == (50.0, 0.0) and got[3] == (50.0, 0.0)
+
+
+def test_principal_components(spark):
+    from midden.operators import reduce
+
+    x = np.random.default_rng(3).normal(size=(200, 6)) @ np.diag([5, 3, 1, 0.5, 0.2, 0.1]) + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>").repartition(5)
+    pca = reduce.principal_components(df, "v", 2)
+    values = np.linalg.svd(x - x.mean(axis=0))[1][:2] ** 2 / 199
+    assert np.allclose(pca.variances, values) and np.allclose(pca.mean, x.mean(axis=0))
+    got = {r["id"]: r["p"] for r in df.select("id", pca.project(F.col("v")).alias("p")).collect()}
+    assert got[900] is None and np.allclose(np.array([got[i] for i in range(200)]).var(axis=0, ddof=1), values)
