@@ -77,3 +77,24 @@ def damage_compatibility(spark, sf):
 @query("""SELECT o_orderkey, round(-0.5 * (ln(2 * pi() * 4.0::DOUBLE) + pow(o_totalprice / 50000 - 3, 2) / 4), 6) AS log_density FROM orders""")
 def normal_log_density(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", r6(cleanup.natural_normal(F.col("o_totalprice") / 50000, 3.0, 4.0)).alias("log_density"))
+
+
+def _round(i: int) -> str:
+    d = [f"w{j} / sqrt(2 * pi() * v{j}) * exp(-pow(x - m{j}, 2) / (2 * v{j}))" for j in (0, 1)]
+    return f"""p{i + 1} AS (SELECT bin, any_value(n) AS n, sum(r0 * x) / sum(r0) AS m0, sum(r1 * x) / sum(r1) AS m1, greatest(1, sum(r0 * x * x) / sum(r0) - pow(sum(r0 * x) / sum(r0), 2)) AS v0, greatest(1, sum(r1 * x * x) / sum(r1) - pow(sum(r1 * x) / sum(r1), 2)) AS v1, sum(r0) / any_value(n) AS w0, sum(r1) / any_value(n) AS w1, sum(ln(t)) AS ll
+FROM (SELECT *, d0 / t AS r0, d1 / t AS r1 FROM (SELECT bin, n, x, {d[0]} AS d0, {d[1]} AS d1, d0 + d1 AS t FROM v JOIN p{i} USING (bin))) GROUP BY 1)"""
+
+
+MIX = "v AS (SELECT o_custkey % 5 AS bin, CASE WHEN o_orderkey % 3 = 0 THEN 60.0 ELSE 20.0 END + o_totalprice / 40000 AS x FROM orders), s AS (SELECT bin, list_sort(list(x)) AS l, count(*) AS n FROM v GROUP BY 1), p0 AS (SELECT bin, n, l[1 + n // 3] AS m0, l[1 + 2 * n // 3] AS m1, 100.0::DOUBLE AS v0, 100.0::DOUBLE AS v1, 0.5::DOUBLE AS w0, 0.5::DOUBLE AS w1 FROM s)"
+
+
+def _mixed(spark, sf):
+    return read(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("bin"), "o_orderkey", (F.when(F.col("o_orderkey") % 3 == 0, 60.0).otherwise(20.0) + F.col("o_totalprice") / 40000).alias("x"))
+
+
+@query(f"WITH {MIX}, {', '.join(map(_round, range(4)))} SELECT bin, round(m0, 5) AS m0, round(m1, 5) AS m1, round(v0, 4) AS v0, round(v1, 4) AS v1, round(w0, 6) AS w0, round(ll, 4) AS ll FROM p4")
+def depth_mixtures(spark, sf):
+    from ..operators import mixtures
+
+    rows = mixtures.fits(_mixed(spark, sf), ["bin"], "x", 2, 4, 0.0).where("k = 2")
+    return rows.select("bin", F.round("m0", 5).alias("m0"), F.round("m1", 5).alias("m1"), F.round("v0", 4).alias("v0"), F.round("v1", 4).alias("v1"), r6(F.col("w0")).alias("w0"), F.round("ll", 4).alias("ll"))

@@ -180,3 +180,18 @@ def test_principal_components(spark):
     assert np.allclose(pca.variances, values) and np.allclose(pca.mean, x.mean(axis=0))
     got = {r["id"]: r["p"] for r in df.select("id", pca.project(F.col("v")).alias("p")).collect()}
     assert got[900] is None and np.allclose(np.array([got[i] for i in range(200)]).var(axis=0, ddof=1), values)
+
+
+def test_mixtures_find_their_number(spark):
+    from midden.operators import mixtures
+
+    rng = np.random.default_rng(5)
+    rows = [("one", float(v)) for v in rng.normal(50, 3, 200)] + [("two", float(v)) for v in np.concatenate((rng.normal(20, 2, 150), rng.normal(60, 2, 100)))] + [("few", 1.0)] * 4
+    df = spark.createDataFrame(rows, "g string, x double")
+    fitted = mixtures.fits(df, ["g"], "x", 2, 15)
+    assert {r["g"]: r["k"] for r in mixtures.preferred(fitted, ["g"]).collect()} == {"one": 1, "two": 2, "few": 1}
+    two = fitted.where("g = 'two' AND k = 2")
+    r = two.first()
+    assert sorted((r["m0"], r["m1"])) == pytest.approx([20, 60], abs=1) and r["w0"] + r["w1"] == pytest.approx(1)
+    out = mixtures.parts(df, two, ["g"], "x", 2).groupBy("part").agg(F.count("*").alias("n"), F.max("x").alias("top")).collect()
+    assert {(r["part"], r["n"]) for r in out} == {(0, 150), (1, 100)}
