@@ -391,19 +391,33 @@ def name_strip(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"), F.size(F.split("url", "/")).cast("long").alias("parts"))
 
 
-@query()
+LEN = "b AS (SELECT user_id AS g, CASE WHEN value > 0 THEN -pow(value - 120, 2) / (2 * 40.0::DOUBLE * 40) - ln(40.0::DOUBLE) ELSE -100 END - CASE WHEN value > 0 THEN -pow(value - 40, 2) / (2 * 25.0::DOUBLE * 25) - ln(25.0::DOUBLE) ELSE -100 END AS diff FROM events WHERE value IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {LEN}, r(g, it, share, old) AS (SELECT DISTINCT g, 0, 0.5::DOUBLE, NULL::DOUBLE FROM b UNION ALL SELECT g, it + 1, greatest(1e-6, least(1 - 1e-6, avg(1 / (1 + exp(greatest(-500, least(500, diff))) / (share / (1 - share)))))), any_value(share) FROM r JOIN b USING (g) WHERE it < 50 AND (it < 2 OR abs(share - old) >= 1e-4) GROUP BY g, it),
+n AS (SELECT g, count(*) AS n FROM b GROUP BY 1) SELECT g AS user_id, round(arg_max(share, it), 6) AS share, any_value(n) AS n, CAST(max(it) AS INT) AS rounds FROM r JOIN n USING (g) GROUP BY g""")
 def em_two_component(spark, sf):
     rows = reads(spark, sf).where("value IS NOT NULL").select("user_id", fd.length_log_likelihood(F.col("value"), 40.0, 25.0).alias("a"), fd.length_log_likelihood(F.col("value"), 120.0, 40.0).alias("b"))
-    return iterate.two_components(rows, "user_id", "a", "b")
+    return iterate.two_components(rows, "user_id", "a", "b").withColumn("share", r6(F.col("share")))
 
 
-@query()
+BOTH = f"{SYM}, x AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s)"
+
+
+@query(f"""WITH RECURSIVE {BOTH}, y AS (SELECT u, v, w FROM x UNION ALL SELECT u, u, max(w) FROM x GROUP BY u), r(it, node, label) AS (SELECT DISTINCT 0, u, u FROM x UNION ALL SELECT it + 1, node, arg_min(label, (-w, label)) FROM (SELECT it, y.u AS node, label, round(sum(w), 9) AS w FROM r JOIN y ON y.v = r.node WHERE it < 10 GROUP BY it, y.u, label) GROUP BY it, node)
+SELECT node, label FROM r WHERE it = 10""")
 def label_propagation(spark, sf):
     return iterate.label_propagation(_symmetric(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOTH}, o AS (SELECT u, sum(w) AS out FROM x GROUP BY 1), p AS (SELECT x.u, x.v, w / out AS p FROM x JOIN o USING (u)), h AS (SELECT vec_id AS node, CASE WHEN label = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM embeddings WHERE label = 0) ELSE 0 END AS home FROM embeddings),
+r(it, node, rank) AS (SELECT 0, node, home FROM h UNION ALL SELECT it + 1, node, 0.3 * home + 0.7 * (got + (1 - sum(got) OVER (PARTITION BY it)) * home) FROM (SELECT it, p.v AS node, sum(p * rank) AS got FROM r JOIN p ON p.u = r.node WHERE it < 60 GROUP BY it, p.v) JOIN h USING (node))
+SELECT node, round(rank, 4) AS rank FROM r WHERE it = 60""")
 def personalised_pagerank(spark, sf):
+    return _ranked(spark, sf).withColumn("rank", F.round("rank", 4))
+
+
+def _ranked(spark, sf):
     return iterate.personalised_pagerank(_symmetric(spark, sf), vectors(spark, sf).where("label = 0").select(F.col("vec_id").alias("node")))
 
 

@@ -27,7 +27,7 @@ def test_em_shares_are_probabilities(spark):
 
 
 def test_pagerank_sums_to_one(spark):
-    assert abs(sum(r["rank"] for r in slate.personalised_pagerank(spark, SMALL).collect()) - 1) < 1e-6
+    assert abs(sum(r["rank"] for r in slate._ranked(spark, SMALL).collect()) - 1) < 1e-6
 
 
 def test_communities_cover_all_nodes(spark):
