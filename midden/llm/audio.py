@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of
+from .common import map_arrow, slices, texts_of
 
 RATE, UP, DOWN, TAPS = 16_000, 3, 8, 24
 FRAME, HOP, MELS, FRAMES = 240, 120, 32, 32
@@ -154,7 +154,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             data = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(len, data), pa.int64()), pa.array([to_wav(payload_of(x)) for x in data], pa.binary())], [key, "n_bytes", "media"])
 
-    return texts_of(docs, key, text=text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(texts_of(docs, key, text=text), run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -171,7 +171,7 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
                 spans.append([{"start_ms": a * ms, "end_ms": b * ms} for a, b in segments(mel)])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(tensors, pa.binary()), pa.array(spans, span)], [key, "tensors", "segments"])
 
-    return media.select(key, column).mapInArrow(run, f"{key} {media.schema[key].dataType.simpleString()}, tensors binary, segments array<struct<start_ms:double,end_ms:double>>")
+    return map_arrow(media.select(key, column), run, f"{key} {media.schema[key].dataType.simpleString()}, tensors binary, segments array<struct<start_ms:double,end_ms:double>>")
 
 
 def mel_of(payload: bytes) -> np.ndarray:
@@ -204,4 +204,4 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return store(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(store(docs), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import chunks
-from .common import slices, texts_of
+from .common import map_arrow, slices, texts_of
 
 NONE = np.int64(1 << 40)
 
@@ -175,12 +175,12 @@ class Ranks:
             ids = np.delete(ids, at + 1)
         return ids.astype(np.uint32)
 
-    def encode_chunks(self, names: list[str]) -> list[np.ndarray]:
+    def encode_chunks(self, names: list[str]) -> list[bytes]:
         """The ids of chunks of text, each cut by the pattern; a pre-token that occurs again is encoded once."""
         known: dict[str, int] = {}
         parts = [[known.setdefault(p, len(known)) for p in self.pattern.findall(name)] for name in names]
-        ids = self.encode([p.encode() for p in known])
-        return [ids[p[0]] if len(p) == 1 else np.concatenate([ids[i] for i in p]) if p else np.empty(0, np.uint32) for p in parts]
+        ids = [x.tobytes() for x in self.encode([p.encode() for p in known])]
+        return [b"".join([ids[i] for i in p]) for p in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids: one gather from the tokens' bytes in a row."""
@@ -199,7 +199,7 @@ def ranks_of(path: str, pattern: str) -> tuple[Ranks, chunks.Cache]:
     """One table and one bounded cache of chunks for each Python worker."""
     if (path, pattern) not in _known:
         ranks = Ranks(path, pattern)
-        _known[path, pattern] = ranks, chunks.Cache(ranks.encode_chunks, 250_000)
+        _known[path, pattern] = ranks, chunks.Cache(ranks.encode_chunks)
     return _known[path, pattern]
 
 
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])
 
-    return texts_of(docs, key, text=text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return map_arrow(texts_of(docs, key, text=text), run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -229,7 +229,7 @@ def decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: s
                 done = [ranks.decode(np.asarray(x.values)) if x.is_valid else b"" for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, 64), pa.array(done, pa.binary())], [key, "bytes"])
 
-    return docs.selectExpr(key, f"`{ids}` AS ids").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, bytes binary")
+    return map_arrow(docs.selectExpr(key, f"`{ids}` AS ids"), run, f"{key} {docs.schema[key].dataType.simpleString()}, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,4 +250,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
                 back.append(hashlib.sha256(ranks.decode(own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts_of(docs, key, text=text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(texts_of(docs, key, text=text), run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

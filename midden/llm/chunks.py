@@ -34,10 +34,10 @@ class Chunked:
     def __init__(self, names: list[str], index: np.ndarray, ends: np.ndarray):
         self.names, self.index, self.ends = names, index, ends
 
-    def gather(self, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' values in a row, and for each text the end of its own; values has an array for each name."""
-        sizes = np.fromiter(map(len, values), np.int32, len(values))
-        pool = np.concatenate(values) if values else np.empty(0, np.uint32)
+    def gather(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and for each text the end of its own; values has the 32-bit ids of each name."""
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        pool = np.frombuffer(b"".join(values), np.uint32)
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         own = sizes[self.index]
         total = np.cumsum(own, dtype=np.int32)
@@ -88,14 +88,14 @@ def words(texts: pa.Array, lower: bool = True) -> Chunked:
 
 
 class Cache:
-    """Values by chunk in two generations of at most limit entries; what is used lives on, so memory is bounded."""
+    """Ids by chunk, as bytes, in two generations of at most limit entries of some 150 bytes; what is used lives on, so memory is bounded."""
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 100_000):
         self.make, self.limit = make, limit
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, names: list[str]) -> list:
+    def get(self, names: list[str]) -> list[bytes]:
         young, old = self.young, self.old
         out, missing = [], []
         for at, name in enumerate(names):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import pickle
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -42,14 +46,84 @@ def cut(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame
         forget(instead)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if scopes := _scopes():
+        scopes[-1].append(out)
     return out
 
 
+_own = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    """The thread's open scratch scopes."""
+    if not hasattr(_own, "scopes"):
+        _own.scopes = []
+    return _own.scopes
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a result of cut."""
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df.written_at)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for scope in _scopes():
+        scope[:] = [x for x in scope if x.written_at != df.written_at]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What cut writes inside is deleted at the end, but for results of cut handed to the function it gives; these belong to the scope around it.
+
+    The driver's collector runs then, so that Spark also deletes the shuffle files of what nothing refers to any more.
+    """
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes().append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        outer = [x for x in _scopes() if x is not own]
+        _own.scopes = outer
+        paths = {x.written_at for x in kept}
+        for x in own:
+            if x.written_at not in paths:
+                forget(x)
+            elif outer:
+                outer[-1].append(x)
+        own.clear()
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+BATCH_ROWS = 1000
+
+
+def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of BATCH_ROWS rows at most, as rows hold whole texts; workers give memory back when a task ends."""
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the system, as idle workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def in_one_task(rows: DataFrame, make: Callable[[pa.Table], Any]) -> Any:
@@ -63,7 +137,7 @@ def in_one_task(rows: DataFrame, make: Callable[[pa.Table], Any]) -> Any:
         table = pa.Table.from_batches(list(batches), kinds)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(table))], pa.binary())], ["made"])
 
-    made = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    made = map_arrow(rows.repartition(1), run, "made binary").collect()
     return pickle.loads(bytes(made[0]["made"])) if made else make(kinds.empty_table())
 
 

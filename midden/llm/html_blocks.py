@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_one_task, slices
+from .common import in_one_task, map_arrow, slices
 
 # Element names by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -456,4 +456,4 @@ def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in names)
-    return pages.select(*names, F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return map_arrow(pages.select(*names, F.coalesce("html", F.lit("")).alias("html")), run, f"{kinds}, text string, n_chars long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_path, slices, texts_of
+from .common import map_arrow, new_path, slices, texts_of
 
 SCHEMA = "doc_id long, n_tokens int, ids array<int>"
 
@@ -30,7 +30,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, word_ends:
     """Write doc_id, n_tokens and ids (with end_id) in ascending doc_id order; stripe_bytes and index_rows are ORC's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             rows = list(tokens.each(batch.column("text"), tokenizer, word_ends, end_id))
             sizes = np.fromiter(map(len, rows), np.int32, len(rows))
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
@@ -38,7 +38,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, word_ends:
 
     ordered = texts_of(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (
-        ordered.mapInArrow(run, SCHEMA)
+        map_arrow(ordered, run, SCHEMA)
         .write.option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", index_rows)
         .option("orc.bloom.filter.columns", "doc_id")
@@ -70,7 +70,7 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
 
     named = read(spark, folder).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-    rows = named.mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = map_arrow(named, run, "doc_id long, file string, n_tokens long, ids_crc32 long")
     within = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     files = read(spark, folder).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, -1)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, slices, texts_of
+from .common import cut, map_arrow, slices, texts_of
 
 PARTS = 4
 BUCKET_ROWS = 20_000
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, word_ends: b
     """(doc_id, piece, start, length, ids_crc32): every text's ids and the end id, cut at size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(tokens.each(batch.column("text"), tokenizer, word_ends, end_id)):
                 raw = ids.astype("<u4", copy=False)
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, word_ends: b
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts_of(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(texts_of(docs, "doc_id"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -199,7 +199,7 @@ def place(rows: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(places[at, 3] + rank - places[at, 1]), pa.array(places[at, 4])], [*names, "sequence_id", "offset"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ranked.select(*names, "rank").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked.select(*names, "rank"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096) -> DataFrame:

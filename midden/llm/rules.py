@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, map_arrow, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_stops", "n_commas", "n_bars", "n_marks")
 STATS = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>"
@@ -87,7 +87,7 @@ def with_statistics(docs: DataFrame, name: str, text: str = "text", carry: list[
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), col], [*names, name])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), f"`{name}` {STATS}"])
-    return docs.select(*(f"`{c}`" for c in names), F.coalesce(F.col(text), F.lit("")).alias(name)).mapInArrow(run, schema)
+    return map_arrow(docs.select(*(f"`{c}`" for c in names), F.coalesce(F.col(text), F.lit("")).alias(name)), run, schema)
 
 
 def features(get) -> dict:

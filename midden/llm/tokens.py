@@ -31,23 +31,22 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids by a file of the tokenizers library; word_ends: its vocabulary drops white space and case."""
 
-    def __init__(self, path: str, word_ends: bool, limit: int = 400_000):
+    def __init__(self, path: str, word_ends: bool, limit: int = 100_000):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
-        self.ordinary = Tokenizer.from_file(path)  # for chunks, which have no added tokens
-        self.ordinary.encode_special_tokens = True
         self.word_ends, self.letters = word_ends, byte_letters()
         self.cut = chunks.words if word_ends else chunks.spaced
         self.cache = chunks.Cache(self._make, limit)
         self.endings = {c: self._plain([c])[0] for c in ENDINGS}
         self.newline = self._plain(["\n"])[0]
-        self.empty = np.empty(0, np.uint32)
 
-    def _plain(self, names: list[str], tool=None) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in (tool or self.ordinary).encode_batch_fast(names, add_special_tokens=False)]
+    def _plain(self, names: list[str], added: bool = False) -> list[bytes]:
+        """The library's ids; added: with the added tokens' own, which chunks don't have."""
+        self.tool.encode_special_tokens = not added
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tool.encode_batch_fast(names, add_special_tokens=False)]
 
     def _spelled(self, name: str) -> str | None:
         """The one pre-token that name is, as the model spells it, or None."""
@@ -58,15 +57,15 @@ class Encoder:
             core = core.lower()
         return (lead + core).encode().decode("latin-1").translate(self.letters)
 
-    def _make(self, names: list[str]) -> list[np.ndarray]:
+    def _make(self, names: list[str]) -> list[bytes]:
         bare = [n[:-1] if n[-1:] in ENDINGS and len(n) > 1 and n[-2].isascii() and n[-2].isalpha() else n for n in names]
         starts = [b[:1] == "\n" and b[1:2].isalpha() and not self.word_ends for b in bare]
         core = [b[1:] if s else b for b, s in zip(bare, starts, strict=True)]
-        made: dict[str, np.ndarray] = {"": self.empty}
+        made: dict[str, bytes] = {"": b""}
         whole = []
         for c in dict.fromkeys(core):
             if c and (spelled := self._spelled(c)) is not None:
-                made[c] = np.array([t.id for t in self.tool.model.tokenize(spelled)], np.uint32)
+                made[c] = np.array([t.id for t in self.tool.model.tokenize(spelled)], np.uint32).tobytes()
             elif c:
                 whole.append(c)
         made.update(zip(whole, self._plain(whole), strict=True))
@@ -74,7 +73,7 @@ class Encoder:
         for name, b, s, c in zip(names, bare, starts, core, strict=True):
             ids = made[c]
             if s or len(b) != len(name):
-                ids = np.concatenate((self.newline if s else self.empty, ids, self.empty if len(b) == len(name) else self.endings[name[-1]]))
+                ids = (self.newline if s else b"") + ids + (b"" if len(b) == len(name) else self.endings[name[-1]])
             out.append(ids)
         return out
 
@@ -89,7 +88,7 @@ class Encoder:
             return flat, ends
         parts = np.split(flat, ends[:-1])
         for i in np.flatnonzero(marked).tolist():
-            parts[i] = self._plain([texts[i].as_py()], self.tool)[0]
+            parts[i] = np.frombuffer(self._plain([texts[i].as_py()], added=True)[0], np.uint32)
         return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 

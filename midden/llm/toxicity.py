@@ -12,8 +12,8 @@ the guesser is fitted; labels, lang, source and doc_id are no inputs of a score.
 
 The classifier is fitted on a bounded sample (sample labelled rows of each label, and half of
 sample_bytes of text for each); labelled documents of more than LONGEST bytes are passed over in training.
-It runs in one executor task. At its peak that holds about 30 bytes for each byte of the sample (word places, and a few
-arrays of 8 bytes for each pair of a text and a distinct word), so some 400 MB for the 12 MB of the
+It runs in one executor task. At its peak that holds about 15 bytes for each byte of the sample (word places, and a few
+arrays of 8 bytes for each pair of a text and a distinct word), some 170 MB for the 12 MB of the
 default; only the weights, 40 bytes for each bucket that two texts share, come to the driver.
 Every document is scored whole.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import cut, forget, held_out, in_one_task, slices, texts_of
+from .common import cut, forget, held_out, in_one_task, map_arrow, slices, texts_of
 
 BUCKETS = 1 << 26
 PREFIXES = (3, 4, 5)
@@ -71,7 +71,18 @@ class Words:
         self.n = n
 
     def buckets(self) -> np.ndarray:
-        return np.array([word_buckets(w) for w in self.names] + [[-1] * (1 + len(PREFIXES))], np.int64)
+        out = np.full((len(self.names) + 1, 1 + len(PREFIXES)), -1, np.int32)
+        for i, w in enumerate(self.names):
+            out[i] = word_buckets(w)
+        return out
+
+    def part(self, first: int, last: int) -> Words:
+        """The texts from first to last, with the same names."""
+        out = object.__new__(Words)
+        out.names, out.pad, out.n = self.names, self.pad, last - first
+        ends = np.append(self.starts, len(self.rows))
+        out.starts, out.rows = self.starts[first:last] - ends[first], self.rows[ends[first] : ends[last]]
+        return out
 
 
 class Model:
@@ -98,22 +109,23 @@ class Model:
         at = np.minimum(np.searchsorted(self.kept, buckets), len(self.kept) - 1) if len(self.kept) else np.zeros(buckets.shape, np.int64)
         return np.where(self.kept[at] == buckets, at, len(self.kept)) if len(self.kept) else at
 
-    def maxima(self, words: Words, places: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each width the largest filter values of each text, before the bias; and the words' vectors."""
-        vectors = self.rows[places].sum(axis=1)
-        vectors[words.pad] = 0
-        return [np.maximum.reduceat(z, words.starts, axis=0) for z in self.values(words, vectors)], vectors
+    def vectors(self, words: Words, places: np.ndarray) -> np.ndarray:
+        """The sum of the rows of each distinct word."""
+        out = self.rows[places[:, 0]]
+        for c in range(1, places.shape[1]):
+            out += self.rows[places[:, c]]
+        out[words.pad] = 0
+        return out
 
-    def values(self, words: Words, vectors: np.ndarray) -> Iterator[np.ndarray]:
-        for w, f in zip(WIDTHS, self.filters, strict=True):
+    def logits(self, words: Words, places: np.ndarray) -> np.ndarray:
+        vectors = self.vectors(words, places)
+        out = np.full(words.n, self.base, np.float32)
+        for w, f, bias, o in zip(WIDTHS, self.filters, self.bias, self.out, strict=True):
             z = (vectors @ f[0])[words.rows]
             for j in range(1, w):
                 z[:-j] += (vectors @ f[j])[words.rows[j:]]
-            yield z
-
-    def logits(self, words: Words, places: np.ndarray) -> np.ndarray:
-        tops, _ = self.maxima(words, places)
-        return self.base + sum(np.maximum(t + b, 0) @ o for t, b, o in zip(tops, self.bias, self.out, strict=True))
+            out += np.maximum(np.maximum.reduceat(z, words.starts, axis=0) + bias, 0) @ o
+        return out
 
     def language(self, words: Words, places: np.ndarray) -> np.ndarray:
         """The class of the largest sum of the words' log shares."""
@@ -154,8 +166,10 @@ def train(texts: list[str] | pa.Array, toxic: np.ndarray, languages: list[str],
     buckets = words.buckets()
     # Rows for buckets that at least two texts have, with smoothed log-odds of toxic texts.
     text_of = np.repeat(np.arange(words.n, dtype=np.int32), np.diff(np.append(words.starts, len(words.rows))))
-    pairs = np.unique(text_of.astype(np.int64) * (len(words.names) + 1) + words.rows)
-    owner, word = (x.astype(np.int32) for x in np.divmod(pairs, len(words.names) + 1))
+    pairs = text_of.astype(np.int64) << 32 | words.rows
+    pairs.sort()
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
+    owner, word = (pairs >> 32).astype(np.int32), pairs.astype(np.int32)
     del pairs
     aside = np.arange(words.n) % 5 == 0
     kept, p, n = _document_counts(owner, word, buckets, toxic, aside)
@@ -168,17 +182,19 @@ def train(texts: list[str] | pa.Array, toxic: np.ndarray, languages: list[str],
 
     model.languages = sorted(set(languages))
     by = np.array([model.languages.index(x) for x in languages], np.int64)
-    logs = np.zeros((len(kept) + 1, len(model.languages)))
+    logs = np.zeros((len(kept) + 1, len(model.languages)), np.float32)
     known = places[words.rows, 0]
     for c in range(len(model.languages)):
         logs[:, c] = np.bincount(known[by[text_of] == c], minlength=len(kept) + 1)
     logs[-1] = 0
     logs = np.log(logs + 0.1) - np.log(logs.sum(axis=0) + 0.1 * len(logs))
-    model.language_log = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+    model.language_log = logs - logs.mean(axis=1, keepdims=True)
     model.language_log[-1] = 0
+    del known, text_of, logs
 
     _descend(model, words, places, toxic, np.flatnonzero(~aside), rounds, batch, rate, seed)
-    z, guess = model.logits(words, places), model.language(words, places)
+    parts = [words.part(a, min(a + 256, words.n)) for a in range(0, words.n, 256)]
+    z, guess = (np.concatenate([f(p, places) for p in parts]) for f in (model.logits, model.language))
     overall = _platt(z[aside], toxic[aside])
     model.calibration = np.array([_platt(z[own], toxic[own]) if (own := aside & (guess == c)).sum() >= 40 and 5 <= toxic[own].sum() <= own.sum() - 5 else overall for c in range(len(model.languages))])
     return model
@@ -189,12 +205,15 @@ def _document_counts(owner: np.ndarray, word: np.ndarray, buckets: np.ndarray, t
     parts = []
     for c in range(buckets.shape[1]):
         column = buckets[word, c]
-        flat = np.unique(owner[column >= 0].astype(np.int64) * BUCKETS + column[column >= 0])
-        text, bucket = np.divmod(flat, BUCKETS)
+        flat = owner[column >= 0].astype(np.int64) * BUCKETS + column[column >= 0]
+        flat.sort()
+        flat = flat[np.concatenate(([True], flat[1:] != flat[:-1]))] if len(flat) else flat
+        text, bucket = (flat >> 26).astype(np.int32), (flat & (BUCKETS - 1)).astype(np.int32)
+        del flat, column
         kept, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
         use = ~aside[text]
-        p = np.bincount(inverse, weights=use & (toxic[text] == 1), minlength=len(kept))
-        n = np.bincount(inverse, weights=use & (toxic[text] == 0), minlength=len(kept))
+        p = np.bincount(inverse[use & (toxic[text] == 1)], minlength=len(kept))
+        n = np.bincount(inverse[use & (toxic[text] == 0)], minlength=len(kept))
         parts.append((kept[count >= 2], p[count >= 2], n[count >= 2]))
     kept, first = np.unique(np.concatenate([x[0] for x in parts]), return_index=True)
     return kept, np.concatenate([x[1] for x in parts])[first], np.concatenate([x[2] for x in parts])[first]
@@ -204,7 +223,7 @@ def _descend(model: Model, words: Words, places: np.ndarray, toxic: np.ndarray,
     """Adaptive gradient steps; the gradient of a maximum goes to the place where it is taken."""
     rng = np.random.default_rng(seed)
     ends = np.append(words.starts[1:], len(words.rows))
-    squares = {"rows": np.full(len(model.rows), 1e-2)} | {f"f{w}": np.full(f.shape, 1e-2) for w, f in enumerate(model.filters)} | {f"b{w}": np.full(b.shape, 1e-2) for w, b in enumerate(model.bias)} | {"out": np.full(model.out.shape, 1e-2), "base": np.full((), 1e-2)}
+    squares = {"rows": np.full(len(model.rows), 1e-2, np.float32)} | {f"f{w}": np.full(f.shape, 1e-2) for w, f in enumerate(model.filters)} | {f"b{w}": np.full(b.shape, 1e-2) for w, b in enumerate(model.bias)} | {"out": np.full(model.out.shape, 1e-2), "base": np.full((), 1e-2)}
 
     def step(name: str, value: np.ndarray, grad: np.ndarray) -> np.ndarray:
         squares[name] += grad * grad
@@ -315,10 +334,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by fit's sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(shared.value.scores(batch.column("text")), pa.float64())], [key, "score"])
 
-    return texts_of(docs, key).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    return map_arrow(texts_of(docs, key), run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -333,8 +352,8 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             text = pc.fill_null(batch.column("text"), "")
             yield batch.filter(pa.array(model.value.scores(text) < 0.5)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
