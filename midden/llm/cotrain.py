@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import cut, forget, held_out, slices
+from .common import cut, forget, held_out, map_arrow, slices
 from .rules import COUNTS, features, statistics_of
 
 META, WORDS = 64, 192
@@ -196,19 +196,19 @@ def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     """Both views of a batch of written features."""
-    both = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float32).reshape(batch.num_rows, sum(WIDTHS)).astype(np.float64)
+    both = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float16).reshape(batch.num_rows, sum(WIDTHS)).astype(np.float64)
     return [both[:, : WIDTHS[0]], both[:, WIDTHS[0] :]]
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, features): both views of every row, as 32-bit numbers."""
+    """(doc_id, label, features): both views of every row, as 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            both = np.concatenate(_views(batch), axis=1).astype(np.float32)
+            both = np.concatenate(_views(batch), axis=1).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in both], pa.binary())], ["doc_id", "label", "features"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, features binary")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, features binary")
 
 
 def pooled(free: DataFrame, teacher: CoTrained, pupils: list[Logistic]) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -234,8 +234,8 @@ def pooled(free: DataFrame, teacher: CoTrained, pupils: list[Logistic]) -> list[
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = free.select("features").mapInArrow(run, "sums binary")
-    rows = parts.repartition(16).mapInArrow(add, "sums binary").collect()  # 16 rows of sums, whatever the input
+    parts = map_arrow(free.select("features"), run, "sums binary")
+    rows = map_arrow(parts.repartition(16), add, "sums binary").collect()  # 16 rows of sums, whatever the input
     flat, out, at = np.sum([np.frombuffer(bytes(r["sums"]), np.float64) for r in rows], axis=0) if rows else np.zeros(sum(1 + w + w * w for w in WIDTHS)), [], 0
     for w in WIDTHS:
         out.append((int(flat[at]), flat[at + 1 : at + 1 + w], flat[at + 1 + w : at + 1 + w + w * w].reshape(w, w)))
@@ -257,8 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     model = CoTrained(_arrays(got), y)
     if not rounds:
         return model
-    free = _plain(docs).where(F.col("doc_id").isNotNull() & ~held_out()).join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))
-    free = cut(with_features(free), "cotrain-features")
+    free = with_features(_plain(docs).where(F.col("doc_id").isNotNull() & ~held_out()).withColumn("label", F.lit(None).cast("int")))
+    free = cut(free.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti"), "cotrain-features")  # features are shuffled, not texts
     before = None
     for _ in range(rounds):
         teacher = model.slim()
@@ -287,5 +287,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, shared.value.scores(_views(batch)))], ["doc_id", "score", "text_score", "metadata_score"])
 
-    rows = _plain(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, text_score double, metadata_score double")
+    rows = map_arrow(_plain(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, text_score double, metadata_score double")
     return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "metadata_score")
