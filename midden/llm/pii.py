@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, slices, texts_of
+from .common import cut, forget, map_arrow, scratch, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "id")
 OTHER = 4
@@ -178,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = texts_of(docs, "doc_id").withColumn("mark", F.xxhash64("text"))
-    return marked.mapInArrow(run, f"doc_id {kind}, mark long, base {SPANS}, found array<struct<start:bigint,end:bigint,value:string,seed:int,patterns:array<string>>>")
+    return map_arrow(marked, run, f"doc_id {kind}, mark long, base {SPANS}, found array<struct<start:bigint,end:bigint,value:string,seed:int,patterns:array<string>>>")
 
 
 def accepted(scanned: DataFrame, least: float = 0.5, smooth: float = 3.0, support: int = 5) -> DataFrame:
@@ -210,6 +210,11 @@ def accepted(scanned: DataFrame, least: float = 0.5, smooth: float = 3.0, suppor
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, base, spans): the fixed patterns' spans, and all spans, of every row; seeds that no fixed pattern matches, and what is accepted, have the kind id."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(cut(_found(docs), "pii-spans"))
+
+
+def _found(docs: DataFrame) -> DataFrame:
     scanned = cut(scan(docs), "pii-scan")
     values = accepted(scanned)
     places = scanned.where(F.exists("found", lambda x: (x.seed < 0) | (x.seed == OTHER))).select("doc_id", "mark", F.explode("found").alias("x")).where(f"x.seed < 0 OR x.seed = {OTHER}")
@@ -251,7 +256,7 @@ def redact(docs: DataFrame) -> DataFrame:
             cols = [pc.if_else(changed, pa.array(new[c], batch.column(c).type), batch.column(c)) if c in new else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_arrow(rows, run, docs.schema)
 
 
 def _redacted(text: str, spans: list[dict]) -> str:
