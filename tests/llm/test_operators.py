@@ -307,7 +307,7 @@ def near_copies() -> list:
 def test_jaccard_components(spark, monkeypatch, n, num, den, small):
     if small:  # every step of large regions on a small table
         monkeypatch.setattr(jaccard, "COMMON", 3)
-        for name, value in (("CELL", 4), ("PIVOTS", 2), ("LEVELS", 2), ("BLOCK", 5), ("SALT_ROWS", 7)):
+        for name, value in (("TINY", 2), ("CELL", 4), ("PIVOTS", 2), ("LEVELS", 2), ("BLOCK", 5), ("SALT_ROWS", 7)):
             monkeypatch.setattr(cells, name, value)
     rows = near_copies()
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, num, den).collect()
@@ -376,7 +376,7 @@ def test_sketches_bound_from_below():
         assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(np.setxor1d(a, b))
 
 
-def test_near_pairs_by_brute_force():
+def test_cell_labels_by_brute_force():
     rng = np.random.default_rng(9)
     sets, cell = [], []
     for k in range(30):
@@ -387,10 +387,13 @@ def test_near_pairs_by_brute_force():
             cell.append(k // 3)
     n = np.array(list(map(len, sets)))
     bits = cells.Sketches(pa.array([jaccard.sketch(s, 9, 10) for s in sets], pa.binary()))
-    i, j = cells.near_pairs(np.array(cell), n, np.zeros(len(n), int), bits, 90, 100)
-    got = set(zip(i.tolist(), j.tolist(), strict=True))
-    want = {(a, b) for b in range(len(n)) for a in range(b) if cell[a] == cell[b] and len(np.intersect1d(sets[a], sets[b])) * 100 >= 90 * len(np.union1d(sets[a], sets[b]))}
-    assert want <= got and all(a < b and cell[a] == cell[b] for a, b in got) and len(got) < len(n) * 8
+    root = cells.cell_labels(np.array(cell), n, np.zeros(len(n), int), np.zeros(len(n), int), bits, 90, 100)
+    for b in range(len(n)):
+        assert cell[root[b]] == cell[b] and root[root[b]] == root[b] <= b
+        for a in range(b):
+            if cell[a] == cell[b] and len(np.intersect1d(sets[a], sets[b])) * 100 >= 90 * len(np.union1d(sets[a], sets[b])):
+                assert root[a] == root[b]
+    assert len(set(root.tolist())) >= 20
 
 
 def test_components_of_a_path(spark):
