@@ -307,7 +307,7 @@ def near_copies() -> list:
 def test_jaccard_components(spark, monkeypatch, n, num, den, small):
     if small:  # every step of large regions on a small table
         monkeypatch.setattr(jaccard, "COMMON", 3)
-        for name, value in (("TINY", 2), ("CELL", 4), ("PIVOTS", 2), ("LEVELS", 2), ("BLOCK", 5), ("SALT_ROWS", 7)):
+        for name, value in (("TINY", 2), ("CELL", 4), ("PIVOTS", 2), ("LEVELS", 2), ("EXACT_LEVELS", 2), ("OUTSIDE", 3), ("BLOCK", 5), ("SALT_ROWS", 7)):
             monkeypatch.setattr(cells, name, value)
     rows = near_copies()
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, num, den).collect()
@@ -324,7 +324,7 @@ def test_links_come_from_pivots(spark, monkeypatch):
             own = base.copy()
             own[rng.choice(len(own), rng.integers(0, 9), replace=False)] = rng.integers(0, 1 << 62, 1)
             sets.append(np.unique(own))
-    for name, value in (("CELL", 10), ("PIVOTS", 4), ("LEVELS", 1), ("SALT_ROWS", 16)):
+    for name, value in (("CELL", 10), ("PIVOTS", 4), ("OUTSIDE", 7), ("SALT_ROWS", 16)):
         monkeypatch.setattr(cells, name, value)
     table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "cid long, shingles binary")
     members = table.select(F.lit(7).cast("long").alias("region"), "cid")
