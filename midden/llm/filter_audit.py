@@ -50,10 +50,10 @@ def flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (100 * F.col("capitals").cast("long") > 2 * F.col("chars").cast("long")).alias("C"), "D", "digest",
     )
     read = cut(read, "audit-read")
-    twice = read.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "least")
+    firsts = read.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    joined = read.join(twice, "digest", "left").join(known.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled"), "left")
-    again = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
+    joined = read.join(firsts, ["digest", "doc_id"], "left").join(known.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled"), "left")
+    again = F.col("doc_id").isNotNull() & F.col("first").isNull()  # joined by text and id, so that no text's copies meet in one task
     return cut(joined.select("part", "A", "B", "C", "D", again.alias("E"), F.coalesce(F.col("good") == 1, F.lit(False)).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")), "audit-flags", instead=read)
 
 
