@@ -9,6 +9,7 @@ added token goes whole to the library, which gives it that token's id.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,12 @@ class Encoder:
 
     def _spelled(self, name: str) -> str | None:
         """The one pre-token that name is, as the model spells it, or None."""
-        lead, core = (name[0], name[1:]) if name[0] == " " else ("", name)
-        if not core.isalpha() or not core.isascii() and max(core) > "\xff":
+        lead, core = (" ", name[1:]) if name[0] == " " else ("", name)
+        if not core.isalpha():
+            return None
+        if core.isascii():  # spelled as they are
+            return (self.letters[32] if lead else "") + (core.lower() if self.word_ends else core)
+        if max(core) > "\xff":
             return None
         if self.word_ends:
             core = core.lower()
@@ -59,13 +64,14 @@ class Encoder:
 
     def _make(self, names: list[str]) -> list[bytes]:
         bare = [n[:-1] if n[-1:] in ENDINGS and len(n) > 1 and n[-2].isascii() and n[-2].isalpha() else n for n in names]
-        starts = [b[:1] == "\n" and b[1:2].isalpha() and not self.word_ends for b in bare]
-        core = [b[1:] if s else b for b, s in zip(bare, starts, strict=True)]
+        starts = [False] * len(bare) if self.word_ends else [b[:1] == "\n" and b[1:2].isalpha() for b in bare]
+        core = bare if self.word_ends else [b[1:] if s else b for b, s in zip(bare, starts, strict=True)]
         made: dict[str, bytes] = {"": b""}
         whole = []
+        model = self.tool.model
         for c in dict.fromkeys(core):
             if c and (spelled := self._spelled(c)) is not None:
-                made[c] = np.array([t.id for t in self.tool.model.tokenize(spelled)], np.uint32).tobytes()
+                made[c] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
             elif c:
                 whole.append(c)
         made.update(zip(whole, self._plain(whole), strict=True))
