@@ -20,7 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of results of cut that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

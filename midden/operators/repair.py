@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from . import evidence, graph, quality
 
 
+def exact(share: Column) -> Column:
+    """A share of markers as it is compared with limits: rounded, as sums in another order differ in the last digits and ties are common."""
+    return F.round(share, 6)
+
+
 def label_score(bins: DataFrame, sizes: DataFrame, least_bp: int = 200_000, bin_: str = "bin") -> DataFrame:
     """(score) of a partition's bins (bin, completeness, contamination) of least_bp (bin, bp) or more: tiers 90/5, 75/5, 72/5, 50/10 and 30/5 on separate scales, each counting those above it too, and a soft sum."""
     c, x = F.col("completeness"), F.col("contamination")
-    rows = sizes.where(F.col("bp") >= least_bp).join(bins, bin_, "left").select(F.coalesce(c, F.lit(0.0)).alias("completeness"), F.coalesce(x, F.lit(0.0)).alias("contamination"))
+    rows = sizes.where(F.col("bp") >= least_bp).join(bins, bin_, "left").select(exact(F.coalesce(c, F.lit(0.0))).alias("completeness"), exact(F.coalesce(x, F.lit(0.0))).alias("contamination"))
     tiers = ((1e8, 90, 5), (1e6, 75, 5), (5e5, 72, 5), (1e4, 50, 10), (1e2, 30, 5))
     counted = reduce(lambda a, b: a + b, (w * F.count_if((c >= least) & (x <= most)) for w, least, most in tiers))
     return rows.agg((counted + F.coalesce(F.sum(c - 5.0 * x), F.lit(0.0)) / 1e4).alias("score"))
@@ -56,12 +61,12 @@ def prefix_quality(hits: DataFrame, sets: DataFrame, order: DataFrame, bin_: str
 def accepted_prefix(prefixes: DataFrame, now: DataFrame, last: bool, bin_: str = "bin", clean: float = 5.0, drop: float = 5.0) -> DataFrame:
     """(bin, rank): of each bin's prefixes that leave less than `clean` contamination and cost at most `drop` completeness, the longest if last, else the shortest."""
     rows = prefixes.join(now.select(bin_, F.col("completeness").alias("before")), bin_)
-    good = rows.where((F.col("contamination") < clean) & (F.col("completeness") >= F.col("before") - drop))
+    good = rows.where((exact(F.col("contamination")) < clean) & (exact(F.col("completeness")) >= exact(F.col("before") - drop)))
     return good.groupBy(bin_).agg((F.max("rank") if last else F.min("rank")).alias("rank"))
 
 
 def contaminated(hits: DataFrame, sets: DataFrame, over: float, bin_: str = "bin") -> DataFrame:
-    return quality.set_quality(hits, sets, bin_).where(F.col("contamination") > over)
+    return quality.set_quality(hits, sets, bin_).where(exact(F.col("contamination")) > over)
 
 
 def _evicted(order: DataFrame, hits: DataFrame, sets: DataFrame, now: DataFrame, last: bool, clean: float, ranks: DataFrame | None = None) -> DataFrame:
@@ -100,11 +105,11 @@ def evict_outliers(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: D
     now = contaminated(hits, sets, over)
     share = _inside(edges, labels).select(F.col("label").alias("bin"), F.col("node").alias("contig"), F.when(F.col("total") > 1e-9, F.col("inside") / F.col("total")).otherwise(0.0).alias("belonging"))
     members = labels.select(F.col("label").alias("bin"), F.col("node").alias("contig")).join(now.select("bin"), "bin", "left_semi").join(share, ["bin", "contig"], "left").withColumn("belonging", F.coalesce("belonging", F.lit(0.0)))
-    limit = members.groupBy("bin").agg((F.avg("belonging") - sigma * F.stddev_pop("belonging")).alias("limit"))
+    limit = members.groupBy("bin").agg(F.round(F.avg("belonging") - sigma * F.stddev_pop("belonging"), 9).alias("limit"))
     have = hits.select("bin", "contig", "marker").distinct()
     repeated = have.groupBy("bin", "marker").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dup = have.join(repeated, ["bin", "marker"]).groupBy("bin", "contig").agg(F.count(F.lit(1)).alias("dup"))
-    rows = members.join(limit, "bin").where(F.col("belonging") < F.col("limit")).join(dup, ["bin", "contig"]).join(quality.sole_carriers(have), ["bin", "contig"], "left_anti")
+    rows = members.join(limit, "bin").where(F.round("belonging", 9) < F.col("limit")).join(dup, ["bin", "contig"]).join(quality.sole_carriers(have), ["bin", "contig"], "left_anti")
     score = F.round((1.0 - F.col("belonging")) * F.col("dup"), 9)
     order = rows.select("bin", "contig", F.row_number().over(Window.partitionBy("bin").orderBy(F.desc(score), "contig")).alias("rank"))
     number = order.groupBy("bin").agg(F.max("rank").alias("number"))
@@ -125,7 +130,7 @@ def evict_boundary(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: D
 
 def rescue_candidates(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: DataFrame, low: float = 75.0, high: float = 90.0, clean: float = 5.0) -> DataFrame:
     """(bin, contig, missing, repeated, w, rank): contigs outside that are linked with a bin just under the top tier and bring it markers it lacks; those that repeat none first, then by weight."""
-    near = quality.set_quality(hits, sets).where((F.col("completeness") >= low) & (F.col("completeness") < high) & (F.col("contamination") < clean)).select("bin")
+    near = quality.set_quality(hits, sets).where((exact(F.col("completeness")) >= low) & (exact(F.col("completeness")) < high) & (exact(F.col("contamination")) < clean)).select("bin")
     both = edges.select("u", "v", "w").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     border = both.join(labels.withColumnsRenamed({"node": "u", "label": "bin"}), "u").join(near, "bin", "left_semi").join(labels.withColumnsRenamed({"node": "v", "label": "other"}), "v").where("bin <> other")
     weight = border.groupBy("bin", F.col("v").alias("contig")).agg(F.sum("w").alias("w"))

@@ -232,13 +232,13 @@ def best_domain(spark, sf):
     return quality.best_domain(hits(spark, sf), domains).withColumns({c: r6(F.col(c)) for c in ("completeness", "contamination")})
 
 
-@query("""WITH r AS (SELECT l_suppkey AS contig, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_discount AS x FROM lineitem), p AS (SELECT DISTINCT l_suppkey AS contig, l_partkey + 7 AS pos FROM lineitem)
-SELECT contig, pos, count(*) AS depth, round(avg(x), 6) AS mean FROM r JOIN p USING (contig) WHERE pos >= s AND pos < e GROUP BY ALL""")
+@query("""WITH r AS (SELECT l_suppkey AS contig, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, CAST(round(l_discount * 100) AS BIGINT) AS x FROM lineitem), p AS (SELECT DISTINCT l_suppkey AS contig, l_partkey + 7 AS pos FROM lineitem)
+SELECT contig, pos, count(*) AS depth, CAST(sum(x) AS BIGINT) AS cents FROM r JOIN p USING (contig) WHERE pos >= s AND pos < e GROUP BY ALL""")
 def reads_at_positions(spark, sf):
     lines = read(spark, sf, "lineitem")
-    reads_ = lines.select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_discount").alias("x"))
+    reads_ = lines.select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), F.round(F.col("l_discount") * 100).cast("long").alias("x"))
     positions = lines.select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") + 7).alias("pos")).distinct()
-    return rd.positions_in_reads(reads_, positions, ["contig"], 64).groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), r6(F.avg("x")).alias("mean"))
+    return rd.positions_in_reads(reads_, positions, ["contig"], 64).groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.sum("x").alias("cents"))
 
 
 @query()

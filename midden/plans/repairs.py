@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import iterate, repair
 from .slate import KNN, LAB, SYM, _labels, _symmetric, query, r6, read, vectors
 
-#: Marker hits of contigs (vec_id) whose bin is their label.
-MARKED = "hits AS (SELECT e.label AS bin, e.vec_id AS contig, l_partkey % 60 AS marker FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 4000 AND l_orderkey % 13 = 0) JOIN embeddings e ON e.vec_id = l_orderkey % 500 + l_orderkey % 7), sets AS (SELECT m AS marker, m % 20 AS set_id FROM (SELECT unnest(generate_series(0, 59)) AS m)), size AS (SELECT set_id, count(*) AS size FROM sets GROUP BY 1)"
+#: Orders stand for contigs, customers for their bins, lines for marker hits: 60 markers in 20 sets.
+MARKED = "hits AS (SELECT o_custkey AS bin, o_orderkey AS contig, l_partkey % 60 AS marker FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sets AS (SELECT m AS marker, m % 20 AS set_id FROM (SELECT unnest(generate_series(0, 59)) AS m)), size AS (SELECT set_id, count(*) AS size FROM sets GROUP BY 1)"
+#: Orders are linked with the next two of their customer and with those of the same part and line number; weights are exact in binary.
+LINKS = """l AS (SELECT o_orderkey AS u, lead(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders UNION SELECT o_orderkey, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders
+UNION SELECT a.l_orderkey, b.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_linenumber = b.l_linenumber AND a.l_orderkey < b.l_orderkey), s AS (SELECT u, v, (1 + (u * 7 + v * 13) % 64) / 64.0::DOUBLE AS w FROM l WHERE v IS NOT NULL), lab AS (SELECT o_orderkey AS node, o_custkey AS label FROM orders)"""
+SIZES = "sizes AS (SELECT o_custkey AS bin, sum(1000 + o_orderkey * 37 % 9000) AS bp FROM orders GROUP BY 1)"
+#: A repaired bin's contamination, and the size of a bin that counts.
+CLEAN, BP = 5.0, 60_000
 
 
 def _of(source: str) -> str:
@@ -19,88 +25,94 @@ NOW = f"{MARKED}, now AS ({_of('hits')})"
 
 
 def _hits(spark, sf):
-    lines = read(spark, sf, "lineitem").where("l_orderkey < 4000 AND l_orderkey % 13 = 0").select("l_orderkey", "l_partkey").distinct()
-    e = vectors(spark, sf).select("vec_id", "label")
-    rows = lines.join(e, (F.col("l_orderkey") % 500 + F.col("l_orderkey") % 7) == F.col("vec_id"))
-    return iterate.cut(rows.select(F.col("label").alias("bin"), F.col("vec_id").alias("contig"), (F.col("l_partkey") % 60).alias("marker")))
+    rows = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("o_custkey").alias("bin"), F.col("o_orderkey").alias("contig"), (F.col("l_partkey") % 60).alias("marker"))
 
 
 def _sets(spark):
     return spark.range(60).select(F.col("id").alias("marker"), (F.col("id") % 20).alias("set_id"))
 
 
-@query(f"WITH {NOW}, s AS (SELECT label AS bin, sum(1000 + vec_id * 37 % 9000) AS bp FROM embeddings GROUP BY 1), q AS (SELECT coalesce(completeness, 0) AS c, coalesce(contamination, 0) / 40 AS x FROM s LEFT JOIN now USING (bin) WHERE bp >= 200000) SELECT round(1e8 * count(*) FILTER (c >= 90 AND x <= 5) + 1e6 * count(*) FILTER (c >= 75 AND x <= 5) + 5e5 * count(*) FILTER (c >= 72 AND x <= 5) + 1e4 * count(*) FILTER (c >= 50 AND x <= 10) + 1e2 * count(*) FILTER (c >= 30 AND x <= 5) + sum(c - 5 * x) / 1e4, 4) AS score FROM q")
+@query(f"WITH {NOW}, {SIZES}, q AS (SELECT round(coalesce(completeness, 0), 6) AS c, round(coalesce(contamination, 0), 6) AS x FROM sizes LEFT JOIN now USING (bin) WHERE bp >= {BP}) SELECT round(1e8 * count(*) FILTER (c >= 90 AND x <= 5) + 1e6 * count(*) FILTER (c >= 75 AND x <= 5) + 5e5 * count(*) FILTER (c >= 72 AND x <= 5) + 1e4 * count(*) FILTER (c >= 50 AND x <= 10) + 1e2 * count(*) FILTER (c >= 30 AND x <= 5) + sum(c - 5 * x) / 1e4, 4) AS score FROM q")
 def label_score(spark, sf):
     from ..operators import quality
 
-    bins = quality.set_quality(_hits(spark, sf), _sets(spark)).withColumn("contamination", F.col("contamination") / 40)
-    return repair.label_score(bins, _sizes(spark, sf)).select(F.round("score", 4).alias("score"))
+    return repair.label_score(quality.set_quality(_hits(spark, sf), _sets(spark)), _sizes(spark, sf), BP).select(F.round("score", 4).alias("score"))
 
 
 def _sizes(spark, sf):
-    return vectors(spark, sf).groupBy(F.col("label").alias("bin")).agg(F.sum(1000 + F.col("vec_id") * 37 % 9000).alias("bp"))
+    return read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("bin")).agg(F.sum(1000 + F.col("o_orderkey") * 37 % 9000).alias("bp"))
 
 
-@query(f"WITH {MARKED}, s AS (SELECT label AS bin, sum(1000 + vec_id * 37 % 9000) AS bp FROM embeddings GROUP BY 1), c AS (SELECT bin, marker, count(*) AS copies FROM hits GROUP BY ALL) SELECT round(count(*) - 2.0::DOUBLE * sum(copies - 1), 6) AS score FROM c JOIN s USING (bin) WHERE bp >= 200000")
+@query(f"WITH {MARKED}, {SIZES}, c AS (SELECT bin, marker, count(*) AS copies FROM hits GROUP BY ALL) SELECT round(count(*) - 2.0::DOUBLE * sum(copies - 1), 6) AS score FROM c JOIN sizes USING (bin) WHERE bp >= {BP}")
 def proxy_score(spark, sf):
-    return repair.proxy_score(_hits(spark, sf), _sizes(spark, sf), 200_000).select(r6(F.col("score")).alias("score"))
+    return repair.proxy_score(_hits(spark, sf), _sizes(spark, sf), BP).select(r6(F.col("score")).alias("score"))
 
 
-ORDER = "o AS (SELECT label AS bin, vec_id AS contig, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id * 31 % 97, vec_id) AS INT) AS rank FROM embeddings)"
+ORDER = "o AS (SELECT o_custkey AS bin, o_orderkey AS contig, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey * 31 % 97, o_orderkey) AS INT) AS rank FROM orders)"
+SHIFT = "1000000000::BIGINT"  # a rank and a bin in one number
 
 
-@query(f"""WITH {NOW}, {ORDER}, k AS (SELECT DISTINCT bin, rank FROM o), left_ AS (SELECT k.rank * 1000 + h.bin AS bin, h.marker FROM k JOIN hits h USING (bin) JOIN o ON o.bin = h.bin AND o.contig = h.contig WHERE o.rank > k.rank),
-q AS ({_of('left_')}) SELECT k.bin, k.rank, round(coalesce(q.completeness, 0), 6) AS completeness, round(coalesce(q.contamination, 0), 6) AS contamination FROM k JOIN now ON now.bin = k.bin LEFT JOIN q ON q.bin = k.rank * 1000 + k.bin""")
+@query(f"""WITH {NOW}, {ORDER}, k AS (SELECT DISTINCT bin, rank FROM o), left_ AS (SELECT k.rank * {SHIFT} + h.bin AS bin, h.marker FROM k JOIN hits h USING (bin) JOIN o ON o.bin = h.bin AND o.contig = h.contig WHERE o.rank > k.rank),
+q AS ({_of('left_')}) SELECT k.bin, k.rank, round(coalesce(q.completeness, 0), 6) AS completeness, round(coalesce(q.contamination, 0), 6) AS contamination FROM k JOIN now ON now.bin = k.bin LEFT JOIN q ON q.bin = k.rank * {SHIFT} + k.bin""")
 def removal_quality(spark, sf):
     from pyspark.sql import Window
 
-    order = vectors(spark, sf).select(F.col("label").alias("bin"), F.col("vec_id").alias("contig"), F.row_number().over(Window.partitionBy("label").orderBy(F.col("vec_id") * 31 % 97, "vec_id")).alias("rank"))
+    order = read(spark, sf, "orders").select(F.col("o_custkey").alias("bin"), F.col("o_orderkey").alias("contig"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderkey") * 31 % 97, "o_orderkey")).alias("rank"))
     rows = repair.prefix_quality(_hits(spark, sf), _sets(spark), order)
     return rows.withColumns({c: F.abs(r6(F.col(c))) for c in ("completeness", "contamination")})
 
 
-INSIDE = f"{SYM}, {LAB}, ends AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), i AS (SELECT ends.u AS contig, a.label AS bin, coalesce(sum(w) FILTER (a.label = b.label), 0) AS inside, sum(w) AS total, coalesce(avg(w) FILTER (a.label = b.label), 0) AS mean FROM ends JOIN lab a ON a.node = ends.u JOIN lab b ON b.node = ends.v GROUP BY ALL)"
+INSIDE = f"{LINKS}, ends AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), i AS (SELECT ends.u AS contig, a.label AS bin, coalesce(sum(w) FILTER (a.label = b.label), 0) AS inside, sum(w) AS total, coalesce(avg(w) FILTER (a.label = b.label), 0) AS mean FROM ends JOIN lab a ON a.node = ends.u JOIN lab b ON b.node = ends.v GROUP BY ALL)"
 SOLE = "sole AS (SELECT DISTINCT bin, contig FROM (SELECT bin, marker, count(DISTINCT contig) AS n, min(contig) AS contig FROM hits GROUP BY ALL) WHERE n = 1)"
-BAD = "bad AS (SELECT * FROM now WHERE contamination > 5.5)"
+BAD = "bad AS (SELECT * FROM now WHERE round(contamination, 6) > 5.5)"
 
 
 def _kept(ranks: str, pick: str) -> str:
     """Evictions of ranked candidates c (bin, contig, rank) up to the picked rank that leaves a clean bin, each prefix counted anew."""
-    return f"""ks AS ({ranks}), left_ AS (SELECT ks.rank * 1000 + h.bin AS bin, h.marker FROM ks JOIN hits h USING (bin) LEFT JOIN c ON c.bin = h.bin AND c.contig = h.contig WHERE c.rank IS NULL OR c.rank > ks.rank), q AS ({_of('left_')}),
-p AS (SELECT ks.bin, {pick}(ks.rank) AS up_to FROM ks JOIN bad ON bad.bin = ks.bin LEFT JOIN q ON q.bin = ks.rank * 1000 + ks.bin WHERE coalesce(q.contamination, 0) < 100 AND coalesce(q.completeness, 0) >= bad.completeness - 5 GROUP BY 1)
+    return f"""ks AS ({ranks}), left_ AS (SELECT ks.rank * {SHIFT} + h.bin AS bin, h.marker FROM ks JOIN hits h USING (bin) LEFT JOIN c ON c.bin = h.bin AND c.contig = h.contig WHERE c.rank IS NULL OR c.rank > ks.rank), q AS ({_of('left_')}),
+p AS (SELECT ks.bin, {pick}(ks.rank) AS up_to FROM ks JOIN bad ON bad.bin = ks.bin LEFT JOIN q ON q.bin = ks.rank * {SHIFT} + ks.bin WHERE round(coalesce(q.contamination, 0), 6) < {CLEAN} AND round(coalesce(q.completeness, 0), 6) >= round(bad.completeness - 5, 6) GROUP BY 1)
 SELECT c.bin, c.contig FROM c JOIN p USING (bin) WHERE c.rank <= p.up_to"""
 
 
 def _graph(spark, sf):
-    return _hits(spark, sf), _sets(spark), iterate.cut(_symmetric(spark, sf)), _labels(spark, sf)
+    from pyspark.sql import Window
+
+    orders, lines = read(spark, sf, "orders"), read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    follow = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    own = orders.select(F.col("o_orderkey").alias("u"), F.array(F.lead("o_orderkey", 1).over(follow), F.lead("o_orderkey", 2).over(follow)).alias("next")).select("u", F.explode("next").alias("v"))
+    a, b = (lines.select(F.col("l_orderkey").alias(x), "l_partkey", "l_linenumber") for x in "uv")
+    other = a.join(b, ["l_partkey", "l_linenumber"]).where("u < v").select("u", "v")
+    links = own.where("v IS NOT NULL").unionAll(other).distinct().withColumn("w", (1 + (F.col("u") * 7 + F.col("v") * 13) % 64) / 64)
+    labels = orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("label"))
+    return iterate.cut(_hits(spark, sf)), _sets(spark), iterate.cut(links), labels
 
 
 @query(f"""WITH {NOW}, {BAD}, {INSIDE}, {SOLE}, h AS (SELECT DISTINCT bin, contig, marker FROM hits SEMI JOIN bad USING (bin)), z AS (SELECT bin, marker, count(DISTINCT contig) AS n, arg_min(contig, (coalesce(mean, 0), contig)) AS contig FROM h LEFT JOIN i USING (bin, contig) GROUP BY ALL),
 c AS (SELECT bin, contig, row_number() OVER (PARTITION BY bin ORDER BY contig) AS rank FROM (SELECT DISTINCT bin, contig FROM z WHERE n > 1) ANTI JOIN sole USING (bin, contig)), {_kept('SELECT bin, max(rank) AS rank FROM c GROUP BY 1', 'max')}""")
 def evict_duplicates(spark, sf):
-    """As the planted bins are full of repeats, under 100 contamination counts as clean here."""
-    return repair.evict_duplicates(*_graph(spark, sf), clean=100.0)
+    return repair.evict_duplicates(*_graph(spark, sf), clean=CLEAN)
 
 
-@query(f"""WITH {NOW}, {BAD}, {INSIDE}, {SOLE}, m AS (SELECT lab.label AS bin, node AS contig, coalesce(CASE WHEN total > 1e-9 THEN inside / total ELSE 0 END, 0) AS b FROM lab SEMI JOIN bad ON bad.bin = lab.label LEFT JOIN i ON i.contig = node AND i.bin = lab.label), l AS (SELECT bin, avg(b) - 0.5 * stddev_pop(b) AS low FROM m GROUP BY 1),
+@query(f"""WITH {NOW}, {BAD}, {INSIDE}, {SOLE}, m AS (SELECT lab.label AS bin, node AS contig, coalesce(CASE WHEN total > 1e-9 THEN inside / total ELSE 0 END, 0) AS b FROM lab SEMI JOIN bad ON bad.bin = lab.label LEFT JOIN i ON i.contig = node AND i.bin = lab.label), low AS (SELECT bin, round(avg(b) - 0.5 * stddev_pop(b), 9) AS low FROM m GROUP BY 1),
 h AS (SELECT DISTINCT bin, contig, marker FROM hits), r AS (SELECT bin, marker FROM h GROUP BY ALL HAVING count(*) > 1), du AS (SELECT bin, contig, count(*) AS dup FROM h JOIN r USING (bin, marker) GROUP BY ALL),
-c AS (SELECT bin, contig, row_number() OVER (PARTITION BY bin ORDER BY round((1 - b) * dup, 9) DESC, contig) AS rank FROM m JOIN l USING (bin) JOIN du USING (bin, contig) ANTI JOIN sole USING (bin, contig) WHERE b < low),
+c AS (SELECT bin, contig, row_number() OVER (PARTITION BY bin ORDER BY round((1 - b) * dup, 9) DESC, contig) AS rank FROM m JOIN low USING (bin) JOIN du USING (bin, contig) ANTI JOIN sole USING (bin, contig) WHERE round(b, 9) < low),
 {_kept('SELECT DISTINCT bin, greatest(1, CAST(round(n * f) AS BIGINT)) AS rank FROM (SELECT bin, max(rank) AS n FROM c GROUP BY 1), (SELECT unnest([1.0, 0.75, 0.5, 0.25]::DOUBLE[]) AS f)', 'max')}""")
 def evict_outliers(spark, sf):
-    return repair.evict_outliers(*_graph(spark, sf), sigma=0.5, clean=100.0)
+    return repair.evict_outliers(*_graph(spark, sf), sigma=0.5, clean=CLEAN)
 
 
 @query(f"""WITH {NOW}, {BAD}, {INSIDE}, {SOLE}, m AS (SELECT lab.label AS bin, node AS contig, round(coalesce(CASE WHEN total > 0 THEN 1 - inside / total ELSE 0 END, 0), 9) AS x FROM lab SEMI JOIN bad ON bad.bin = lab.label LEFT JOIN i ON i.contig = node AND i.bin = lab.label), n AS (SELECT bin, count(*) // 3 AS most FROM m GROUP BY 1),
 c AS (SELECT bin, contig, rank FROM (SELECT bin, contig, row_number() OVER (PARTITION BY bin ORDER BY x DESC, contig) AS rank FROM m ANTI JOIN sole USING (bin, contig)) JOIN n USING (bin) WHERE rank <= most), {_kept('SELECT DISTINCT bin, rank FROM c', 'min')}""")
 def evict_boundary(spark, sf):
-    return repair.evict_boundary(*_graph(spark, sf), clean=100.0)
+    return repair.evict_boundary(*_graph(spark, sf), clean=CLEAN)
 
 
-@query(f"""WITH {NOW}, {SYM}, {LAB}, ends AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), t AS (SELECT bin FROM now WHERE completeness >= 40 AND completeness < 100 AND contamination < 500), x AS (SELECT a.label AS bin, ends.v AS contig, sum(w) AS w FROM ends JOIN lab a ON a.node = ends.u JOIN lab b ON b.node = ends.v SEMI JOIN t ON t.bin = a.label WHERE a.label <> b.label GROUP BY ALL),
+@query(f"""WITH {NOW}, {LINKS}, ends AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), t AS (SELECT bin FROM now WHERE round(completeness, 6) >= 40 AND round(completeness, 6) < 90 AND round(contamination, 6) < 20), x AS (SELECT a.label AS bin, ends.v AS contig, sum(w) AS w FROM ends JOIN lab a ON a.node = ends.u JOIN lab b ON b.node = ends.v SEMI JOIN t ON t.bin = a.label WHERE a.label <> b.label GROUP BY ALL),
 m AS (SELECT x.bin, x.contig, count(*) FILTER (has.marker IS NULL) AS missing, count(*) FILTER (has.marker IS NOT NULL) AS repeated, any_value(w) AS w FROM x JOIN (SELECT DISTINCT contig, marker FROM hits) h ON h.contig = x.contig LEFT JOIN (SELECT DISTINCT bin, marker FROM hits) has ON has.bin = x.bin AND has.marker = h.marker GROUP BY ALL)
 SELECT bin, contig, missing, repeated, round(w, 6) AS w, CAST(row_number() OVER (PARTITION BY bin ORDER BY repeated > 0, round(w, 9) DESC, contig) AS INT) AS rank FROM m WHERE missing > 0""")
 def rescue_candidates(spark, sf):
-    return repair.rescue_candidates(*_graph(spark, sf), low=40.0, high=100.0, clean=500.0).withColumn("w", r6(F.col("w")))
+    return repair.rescue_candidates(*_graph(spark, sf), low=40.0, high=90.0, clean=20.0).withColumn("w", r6(F.col("w")))
 
 
 @query(f"WITH {KNN} SELECT round(greatest(1e-6, list_sort(list(d))[1 + least(50 * count(*) // 100, count(*) - 1)]), 6) AS bandwidth FROM k")
@@ -119,13 +131,13 @@ def sweep_cut(spark, sf):
     return repair.sweep_cut(_symmetric(spark, sf), scores).withColumn("conductance", r6(F.col("conductance")))
 
 
-DISTANCE = "v AS (SELECT o_orderpriority AS s, o_orderkey AS id, o_totalprice / 1000 AS a, o_custkey % 100 * 1.0::DOUBLE AS b FROM orders), c AS (SELECT s, avg(a) AS ma, avg(b) AS mb FROM v GROUP BY 1), f AS (SELECT s, id, round(sqrt((a - ma) * (a - ma) + (b - mb) * (b - mb)), 9) AS d FROM v JOIN c USING (s)), m AS (SELECT s, list_sort(list(d))[1 + count(*) // 2] AS median FROM f GROUP BY 1), g AS (SELECT f.*, median, round(abs(d - median), 9) AS dev FROM f JOIN m USING (s)), k AS (SELECT s, list_sort(list(dev))[1 + count(*) // 2] AS mad FROM g GROUP BY 1)"
+DISTANCE = "v AS (SELECT event_type AS s, event_id AS id, value AS a, user_id % 10 * 1.0::DOUBLE AS b FROM events WHERE value IS NOT NULL), c AS (SELECT s, avg(a) AS ma, avg(b) AS mb FROM v GROUP BY 1), f AS (SELECT s, id, round(sqrt((a - ma) * (a - ma) + (b - mb) * (b - mb)), 9) AS d FROM v JOIN c USING (s)), m AS (SELECT s, list_sort(list(d))[1 + count(*) // 2] AS median FROM f GROUP BY 1), g AS (SELECT f.*, median, round(abs(d - median), 9) AS dev FROM f JOIN m USING (s)), k AS (SELECT s, list_sort(list(dev))[1 + count(*) // 2] AS mad FROM g GROUP BY 1)"
 
 
-@query(f"WITH {DISTANCE} SELECT s AS o_orderpriority, id AS o_orderkey, round(d, 6) AS distance, round((d - median) / mad, 6) AS z FROM g JOIN k USING (s) WHERE mad > 1e-6 AND (d - median) / mad > 2.5")
+@query(f"WITH {DISTANCE} SELECT s AS event_type, id AS event_id, round(d, 6) AS distance, round((d - median) / mad, 6) AS z FROM g JOIN k USING (s) WHERE mad > 1e-6 AND (d - median) / mad > 2.5")
 def feature_outliers(spark, sf):
-    rows = read(spark, sf, "orders").select("o_orderpriority", "o_orderkey", (F.col("o_totalprice") / 1000).alias("a"), (F.col("o_custkey") % 100 * 1.0).alias("b"))
-    return repair.outliers_by_distance(rows, ["o_orderpriority"], ["a", "b"]).select("o_orderpriority", "o_orderkey", r6(F.col("distance")).alias("distance"), r6(F.col("z")).alias("z"))
+    rows = read(spark, sf, "events").where("value IS NOT NULL").select("event_type", "event_id", F.col("value").alias("a"), (F.col("user_id") % 10 * 1.0).alias("b"))
+    return repair.outliers_by_distance(rows, ["event_type"], ["a", "b"]).select("event_type", "event_id", r6(F.col("distance")).alias("distance"), r6(F.col("z")).alias("z"))
 
 
 @query("""WITH v AS (SELECT o_orderpriority AS s, o_orderkey AS id, o_custkey % 100 / 100.0::DOUBLE AS sim, o_custkey % 37 * 1.0::DOUBLE AS far, o_totalprice / 1000 AS x FROM orders), m AS (SELECT s, list_sort(list(x))[1 + count(*) // 2] AS median, greatest(0.001, max(far)) AS top FROM v GROUP BY 1), d AS (SELECT v.*, abs(x - median) AS dev, top FROM v JOIN m USING (s)), k AS (SELECT s, greatest(0.1, 1.4826 * list_sort(list(dev))[1 + count(*) // 2]) AS scale FROM d GROUP BY 1)

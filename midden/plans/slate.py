@@ -204,10 +204,10 @@ def shared_marker_penalty(spark, sf):
     return rows.withColumn("w", r6(graph.marker_weight(F.lit(1.0), F.col("shared"), F.lit(True))))
 
 
-@query("""WITH h AS (SELECT DISTINCT l_orderkey AS contig, l_partkey AS key FROM lineitem), df AS (SELECT key, count(*) AS df FROM h GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12), n AS (SELECT count(DISTINCT contig) AS n FROM h)
+@query("""WITH h AS (SELECT DISTINCT l_orderkey AS contig, l_partkey AS key FROM lineitem), df AS (SELECT key, count(*) AS df FROM h GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40), n AS (SELECT count(DISTINCT contig) AS n FROM h)
 SELECT a.contig AS i, b.contig AS j, count(*) AS shared, round(sum(ln((n + 1) / (df + 1))), 6) AS weight FROM h a JOIN df USING (key) JOIN h b ON a.key = b.key AND a.contig < b.contig, n GROUP BY ALL""")
 def idf_connectivity(spark, sf):
-    return graph.idf_pairs(hits(spark, sf).select("contig", F.col("marker").alias("key")), 12).withColumn("weight", r6(F.col("weight")))
+    return graph.idf_pairs(hits(spark, sf).select("contig", F.col("marker").alias("key")), 40).withColumn("weight", r6(F.col("weight")))
 
 
 @query("""SELECT s_suppkey, s_name, n_name, r_name, coalesce(lines, 0) AS lines, round(coalesce(total, 0), 2) AS total, CASE WHEN coalesce(lines, 0) >= 620 THEN 'HQ' WHEN coalesce(lines, 0) >= 580 THEN 'MQ' ELSE 'LQ' END AS tier
@@ -339,12 +339,12 @@ def hist_valleys(spark, sf):
     return signals.valleys(h, 20).withColumn("mean", r6(F.col("mean")))
 
 
-@query("""WITH h AS (SELECT b.i AS bucket, count(o.at) AS n FROM (SELECT unnest(generate_series(0, 49)) AS i) b LEFT JOIN (SELECT least(49, CAST(floor(value / 5) AS INT)) AS at FROM events WHERE value >= 0) o ON o.at = b.i GROUP BY 1),
+@query("""WITH h AS (SELECT b.i AS bucket, count(o.at) AS n FROM (SELECT unnest(generate_series(0, 49)) AS i) b LEFT JOIN (SELECT least(49, CAST(floor(o_totalprice / 10000) AS INT)) AS at FROM orders) o ON o.at = b.i GROUP BY 1),
 s AS (SELECT bucket, n, avg(n) OVER (ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM h), x AS (SELECT *, lag(mean) OVER (ORDER BY bucket) AS l, lead(mean) OVER (ORDER BY bucket) AS r, max(mean) OVER () AS top FROM s)
 SELECT CAST(bucket AS INT) AS bucket, n, round(mean, 6) AS mean FROM x WHERE mean > l AND mean > r AND mean > 0.05 * top""")
 def hist_peaks(spark, sf):
-    v = read(spark, sf, "events").where("value >= 0")
-    h = v.groupBy(F.least(F.lit(49), F.floor(F.col("value") / 5).cast("int")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    v = read(spark, sf, "orders")
+    h = v.groupBy(F.least(F.lit(49), F.floor(F.col("o_totalprice") / 10000).cast("int")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     return signals.peaks(h, 50).withColumn("mean", r6(F.col("mean")))
 
 

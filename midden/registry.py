@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import ancient, centring, cleanups, evidence, repairs, sequences, slate
+from .plans import ancient, centring, cleanups, communities, evidence, repairs, sequences, slate
 
-assert ancient and centring and cleanups and evidence and repairs and sequences  # they register their queries with the slate
+assert ancient and centring and cleanups and communities and evidence and repairs and sequences  # they register their queries with the slate
 
 FLAGSHIP = "set_quality"
 QUERIES = dict(slate.QUERIES)
