@@ -56,10 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; each result is written and read again before the next, and deleted when the one after it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = cut(docs, f"pipeline-{name}")
+            docs = before = cut(docs, f"pipeline-{name}", instead=before)
     return docs
