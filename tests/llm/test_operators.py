@@ -493,7 +493,7 @@ def test_held_out_toxic_documents(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_texts_of_fills_nulls(spark):
