@@ -33,7 +33,6 @@ def rber_move_gains(spark, sf):
     return gains.select("node", "label", F.round("gain", 5).alias("gain"))
 
 
-@query()
 def rber_communities(spark, sf):
     """The embeddings' neighbour graph at two resolutions, in the company of one fixed vector a label; held against exhaustive search in the tests."""
     labels = _labels(spark, sf)
@@ -61,7 +60,6 @@ def _lengths(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("contig"), (1000 + F.col("o_orderkey") * 37 % 9000).alias("length"))
 
 
-@query()
 def split_bins(spark, sf):
     """Held against planted bins of one and two genomes in the tests."""
     hits, sets, edges, labels = _graph(spark, sf)
