@@ -117,8 +117,8 @@ def clr(n: pd.Series) -> pd.Series:
     return n.map(clr_of)
 
 
-def window_variances(code: np.ndarray, size: int = 500, step: int = 250, most: int = 5) -> list[float]:
-    """Of the first windows of a sequence the variance of the shares of canonical 4-mers."""
+def window_variances(code: np.ndarray, size: int = 500, step: int = 250, most: int | None = None) -> list[float]:
+    """Of the windows of a sequence (the first `most` of them, if given) the variance of the shares of canonical 4-mers."""
     out = []
     for a in range(0, len(code) - size + 1, step)[:most]:
         c = counts(code[a : a + size], 4)
@@ -132,21 +132,27 @@ def local_variances(s: pd.Series) -> pd.Series:
     return s.map(lambda x: window_variances(bases(x)))
 
 
+def windows_of(code: np.ndarray, size: int, step: int) -> list[np.ndarray]:
+    """The whole windows of a sequence."""
+    return [code[a : a + size] for a in range(0, len(code) - size + 1, step)]
+
+
+def entropy_of(code: np.ndarray, k: int) -> float:
+    """Shannon entropy of k-mers; add-one shares where there are few, else with Miller and Madow's correction; zero under 20 letters."""
+    c = counts(code, k, canonical=False) if len(code) >= 20 else np.zeros(1, np.int64)
+    total = int(c.sum())
+    if not total:
+        return 0.0
+    if total < 2 * 4**k:
+        p = (c + 1) / (total + 4**k)
+        return float(-(p * np.log2(p)).sum())
+    p = c[c > 0] / total
+    return float(-(p * np.log2(p)).sum()) + ((len(p) - 1) / (2 * total) if len(p) > 1 else 0.0)
+
+
 def entropies(code: np.ndarray) -> list[float]:
-    """Shannon entropy of k-mers for k from 2 to 6; add-one shares where there are few windows, else with Miller and Madow's correction; zeros under 20 letters."""
-    out = []
-    for k in range(2, 7):
-        c = counts(code, k, canonical=False) if len(code) >= 20 else np.zeros(1, np.int64)
-        total = int(c.sum())
-        if not total:
-            out.append(0.0)
-        elif total < 2 * 4**k:
-            p = (c + 1) / (total + 4**k)
-            out.append(float(-(p * np.log2(p)).sum()))
-        else:
-            p = c[c > 0] / total
-            out.append(float(-(p * np.log2(p)).sum()) + ((len(p) - 1) / (2 * total) if len(p) > 1 else 0.0))
-    return out
+    """entropy_of for k from 2 to 6."""
+    return [entropy_of(code, k) for k in range(2, 7)]
 
 
 @pandas_udf(ArrayType(DoubleType()))
@@ -154,6 +160,12 @@ def entropy_scaling(s: pd.Series) -> pd.Series:
     return s.map(lambda x: entropies(bases(x)))
 
 
+@pandas_udf(ArrayType(DoubleType()))
+def window_entropies(s: pd.Series) -> pd.Series:
+    """Entropies of 4-mers in windows of 1,000 letters every 500."""
+    return s.map(lambda x: [] if x is None else [entropy_of(own, 4) for own in windows_of(bases(x), 1000, 500)])
+
+
 def syncmer_codes(code: np.ndarray, k: int = 21, s: int = 11) -> np.ndarray:
     """Distinct canonical k-mers whose least canonical s-mer, the first of equals, is the first or the last."""
     own, valid = canonical_codes(code, k)

@@ -98,3 +98,22 @@ def idf_pairs(items: DataFrame, most: int = 5) -> DataFrame:
     a, b = rare.alias("a"), rare.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.contig") < F.col("b.contig")))
     return pairs.groupBy(F.col("a.contig").alias("i"), F.col("b.contig").alias("j")).agg(F.count(F.lit(1)).alias("shared"), F.sum(F.log((F.col("a.n") + 1) / (F.col("a.df") + 1))).alias("weight"))
+
+
+def marker_separation(neighbours: DataFrame, hits: DataFrame) -> DataFrame:
+    """(marker, pairs, apart) of markers on two contigs or more: pairs of carriers, and those where the smaller contig hasn't the greater among its neighbours (i, j).
+
+    Pairs are counted from the sizes; only neighbours that share a marker are rows.
+    """
+    have = hits.select("contig", "marker").distinct()
+    sizes = have.groupBy("marker").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = neighbours.where("i < j").select("i", "j").distinct()
+    met = links.join(have.withColumnRenamed("contig", "i"), "i").join(have.withColumnRenamed("contig", "j"), ["j", "marker"])
+    near = met.groupBy("marker").agg(F.count(F.lit(1)).alias("near"))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return sizes.join(near, "marker", "left").select("marker", pairs.alias("pairs"), (pairs - F.coalesce("near", F.lit(0))).alias("apart"))
+
+
+def separation_score(separated: DataFrame) -> DataFrame:
+    """(score): the share of pairs of carriers that are apart over all markers; 1 without pairs."""
+    return separated.agg(F.coalesce(F.sum("apart") / F.sum("pairs"), F.lit(1.0)).alias("score"))

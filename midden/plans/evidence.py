@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
-from ..operators import evidence, signals
-from .slate import DNA, ISL, LAB, SYM, _intervals, _labels, _positions, _symmetric, POS, dna, query, r6, read, reads, vectors
+from ..operators import evidence, graph, knn, signals
+from .slate import DNA, ISL, KNN, LAB, SYM, _intervals, _labels, _positions, _symmetric, POS, dna, query, r6, read, reads, vectors
 
 
 @query("""WITH b AS (SELECT l_suppkey AS contig, l_partkey // 100 AS win, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT contig, count(*) AS bins, avg(n) AS mean, var_samp(n) AS var FROM b GROUP BY 1)
@@ -83,15 +83,26 @@ def label_conductance(spark, sf):
     return evidence.conductance(_symmetric(spark, sf), _labels(spark, sf)).select("label", *(r6(F.col(c)).alias(c) for c in ("cut", "volume", "conductance")))
 
 
-@query(f"WITH {SYM}, {LAB}, p AS (SELECT a.node AS u, b.node AS v FROM lab a JOIN lab b ON a.label = b.label AND a.node < b.node) SELECT a.label, count(*) AS pairs, count(*) FILTER (w IS NULL) AS apart FROM p JOIN lab a ON a.node = u LEFT JOIN s USING (u, v) GROUP BY 1")
+#: Parts stand for markers; lines deal them to the vectors.
+APART = f"""{KNN}, m AS (SELECT DISTINCT l_orderkey % (SELECT count(*) FROM embeddings) AS contig, l_partkey AS marker FROM lineitem), p AS (SELECT marker, a.contig AS i, b.contig AS j FROM m a JOIN m b USING (marker) WHERE a.contig < b.contig),
+z AS (SELECT marker, count(*) AS pairs, count(*) FILTER (k.i IS NULL) AS apart FROM p LEFT JOIN k ON k.i = p.i AND k.j = p.j GROUP BY 1)"""
+
+
+def _separated(spark, sf):
+    e = vectors(spark, sf)
+    size = e.agg(F.count(F.lit(1)).alias("size"))
+    hits = read(spark, sf, "lineitem").join(F.broadcast(size)).select((F.col("l_orderkey") % F.col("size")).alias("contig"), F.col("l_partkey").alias("marker"))
+    return graph.marker_separation(knn.knn(e, 10), hits)
+
+
+@query(f"WITH {APART} SELECT marker, pairs, apart FROM z")
 def separation(spark, sf):
-    lab = _labels(spark, sf)
-    sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    s = _symmetric(spark, sf)
-    inside = s.join(lab.withColumnsRenamed({"node": "u", "label": "label"}), "u").join(lab.withColumnsRenamed({"node": "v", "label": "lv"}), "v").where("label = lv").groupBy("label").agg(F.count(F.lit(1)).alias("near"))
-    # Pairs are counted from the sizes; only the linked ones are rows.
-    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
-    return sizes.join(inside, "label", "left").where("n > 1").select("label", pairs.alias("pairs"), (pairs - F.coalesce("near", F.lit(0))).alias("apart"))
+    return _separated(spark, sf)
+
+
+@query(f"WITH {APART} SELECT round(sum(apart) / sum(pairs)::DOUBLE, 9) AS score FROM z")
+def separation_score(spark, sf):
+    return graph.separation_score(_separated(spark, sf)).select(F.round("score", 9).alias("score"))
 
 
 @query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e), c AS (SELECT label AS "to", k, avg(x) AS m FROM x GROUP BY ALL),

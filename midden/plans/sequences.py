@@ -74,20 +74,21 @@ def tnf_centred_logs(spark, sf):
 
 def _entropy(k: int) -> str:
     return f"""SELECT doc_id, {k} AS k, CASE WHEN total < {2 * 4**k} THEN -sum((n + 1) / (total + {4**k}.0::DOUBLE) * log2((n + 1) / (total + {4**k}.0::DOUBLE))) - ({4**k} - count(*)) / (total + {4**k}.0::DOUBLE) * log2(1 / (total + {4**k}.0::DOUBLE))
-ELSE -sum(n / total::DOUBLE * log2(n / total::DOUBLE)) + CASE WHEN count(*) > 1 THEN (count(*) - 1) / (2.0::DOUBLE * total) ELSE 0 END END AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, k, count(*) AS n FROM ({_windows(k)}) GROUP BY doc_id, k)) JOIN (SELECT doc_id FROM d WHERE length(s) >= 20) USING (doc_id) GROUP BY doc_id, total"""
+ELSE -sum(n / total::DOUBLE * log2(n / total::DOUBLE)) + CASE WHEN count(*) > 1 THEN (count(*) - 1) / (2.0::DOUBLE * total) ELSE 0 END END AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, k, count(*) AS n FROM ({_windows(k)}) GROUP BY doc_id, k)) WHERE doc_id IN (SELECT doc_id FROM d WHERE length(s) >= 20) GROUP BY doc_id, total"""
 
 
-@query(f"WITH {DNA} SELECT doc_id, CAST(k AS INT) AS k, round(entropy, 6) AS entropy FROM ({' UNION ALL '.join(map(_entropy, range(2, 7)))})")
+@query(f"WITH {DNA}, e AS ({' UNION ALL '.join(map(_entropy, range(2, 7)))}) SELECT d.doc_id, CAST(z.k AS INT) AS k, round(coalesce(entropy, 0), 6) AS entropy FROM d CROSS JOIN (SELECT unnest(generate_series(2, 6)) AS k) z LEFT JOIN e ON e.doc_id = d.doc_id AND e.k = z.k")
 def entropy_scaling(spark, sf):
-    rows = dna(spark, sf).where("length(s) >= 20").select("doc_id", F.posexplode(kmers.entropy_scaling("s")).alias("k", "entropy"))
+    rows = dna(spark, sf).select("doc_id", F.posexplode(kmers.entropy_scaling("s")).alias("k", "entropy"))
     return rows.select("doc_id", (F.col("k") + 2).alias("k"), r6(F.col("entropy")).alias("entropy"))
 
 
-@query(f"""WITH {DNA}, w AS (SELECT doc_id, a, s[1 + a:500 + a] AS part FROM (SELECT doc_id, s, unnest(generate_series(0, least(1000, length(s) - 500), 250)) AS a FROM d WHERE length(s) >= 500)),
+@query(f"""WITH {DNA}, w AS (SELECT doc_id, a, s[1 + a:500 + a] AS part FROM (SELECT doc_id, s, unnest(generate_series(0, length(s) - 500, 250)) AS a FROM d WHERE length(s) >= 500)),
 c AS (SELECT doc_id, a, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM (SELECT doc_id, a, part[i:i + 3] AS k FROM w, (SELECT unnest(generate_series(1, 497)) AS i)) GROUP BY ALL)
 SELECT doc_id, CAST(a // 250 AS INT) AS place, round(sum(pow(n / 497.0::DOUBLE, 2)) / 136 - pow(1 / 136.0::DOUBLE, 2), 9) AS variance FROM c GROUP BY ALL""")
 def kmer_variances(spark, sf):
-    rows = dna(spark, sf).where("length(s) >= 500").select("doc_id", F.posexplode(kmers.local_variances("s")).alias("place", "variance"))
+    """Every whole window; a text without one has no row."""
+    rows = dna(spark, sf).select("doc_id", F.posexplode(kmers.local_variances("s")).alias("place", "variance"))
     return rows.withColumn("variance", F.round("variance", 9))
 
 
@@ -170,11 +171,12 @@ def _stat(m: int) -> str:
     return f"g{m} AS (SELECT doc_id, h / greatest(1, log2(used)) AS h, used / {c} AS o, (squares / {c} - pow(total / {c}, 2)) / pow(total / {c}, 2) AS l FROM ({_grid(m)}))"
 
 
-@query(f"""WITH {DNA}, {_stat(4)}, {_stat(5)}, {_stat(6)} SELECT doc_id, round(b.h - a.h, 6) AS h1, round(c.h - b.h, 6) AS h2, round(b.o - a.o, 6) AS o1, round(c.o - b.o, 6) AS o2, round(b.l - a.l, 6) AS l1, round(c.l - b.l, 6) AS l2, round(b.h, 6) AS h, round(b.o, 6) AS o, round(b.l, 6) AS l,
-round(1 / (1 + exp(-4 * (log10(length(s)) - log10(4000)))), 6) AS weight FROM d JOIN g4 a USING (doc_id) JOIN g5 b USING (doc_id) JOIN g6 c USING (doc_id)""")
+@query(f"""WITH {DNA}, {_stat(4)}, {_stat(5)}, {_stat(6)} SELECT doc_id, {', '.join(f'round(coalesce({x}, 0), 6) AS {c}' for c, x in (('h1', 'b.h - a.h'), ('h2', 'c.h - b.h'), ('o1', 'b.o - a.o'), ('o2', 'c.o - b.o'), ('l1', 'b.l - a.l'), ('l2', 'c.l - b.l'), ('h', 'b.h'), ('o', 'b.o'), ('l', 'b.l')))},
+CASE WHEN length(s) > 0 THEN round(1 / (1 + exp(-4 * (log10(length(s)) - log10(4000)))), 6) ELSE 0 END AS weight FROM d LEFT JOIN g4 a USING (doc_id) LEFT JOIN g5 b USING (doc_id) LEFT JOIN g6 c USING (doc_id)""")
 def chaos_game(spark, sf):
-    rows = dna(spark, sf).where("length(s) >= 500").select("doc_id", "s", fractal.cgr9("s").alias("v"))
-    weight = 1 / (1 + F.exp(-4 * (F.log10(F.length("s")) - F.log10(F.lit(4000.0)))))
+    """Every text; under 500 letters all nine are zero."""
+    rows = dna(spark, sf).select("doc_id", "s", fractal.cgr9("s").alias("v"))
+    weight = F.when(F.length("s") > 0, 1 / (1 + F.exp(-4 * (F.log10(F.length("s")) - F.log10(F.lit(4000.0)))))).otherwise(0.0)
     return rows.select("doc_id", *(r6(F.col("v")[i]).alias(c) for i, c in enumerate(("h1", "h2", "o1", "o2", "l1", "l2", "h", "o", "l"))), r6(weight).alias("weight"))
 
 
@@ -188,10 +190,10 @@ h AS (SELECT doc_id, sum(dx * dx) / pow(n, 2) AS m20, sum(dy * dy) / pow(n, 2) A
 q AS (SELECT doc_id, count(*) FILTER (x < 0.5 AND y < 0.5) / count(*)::DOUBLE AS q0, count(*) FILTER (x >= 0.5 AND y < 0.5) / count(*)::DOUBLE AS q1, count(*) FILTER (x < 0.5 AND y >= 0.5) / count(*)::DOUBLE AS q2 FROM w GROUP BY 1),
 g AS (SELECT doc_id, -sum(v * log2(v)) AS entropy, sum(v * v) AS uniformity, max(v) AS densest FROM (SELECT doc_id, count(*) / any_value(n)::DOUBLE AS v FROM w GROUP BY doc_id, least(15, floor(x * 16 + 1e-9)), least(15, floor(y * 16 + 1e-9))) GROUP BY 1),
 r AS (SELECT doc_id, count(*) FILTER (sqrt(pow(x - 0.5, 2) + pow(y - 0.5, 2)) / sqrt(0.5::DOUBLE) < 0.5) / count(*)::DOUBLE AS inner_ FROM w GROUP BY 1)
-SELECT doc_id, round(1e6 * (m20 + m02), 4) AS hu1, round(1e12 * (pow(m20 - m02, 2) + 4 * m11 * m11), 2) AS hu2, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(inner_, 6) AS inner, round(entropy, 6) AS entropy, round(uniformity, 6) AS uniformity, round(densest, 6) AS densest FROM h JOIN q USING (doc_id) JOIN g USING (doc_id) JOIN r USING (doc_id)""")
+SELECT d.doc_id, round(coalesce(1e6 * (m20 + m02), 0), 4) AS hu1, round(coalesce(1e12 * (pow(m20 - m02, 2) + 4 * m11 * m11), 0), 2) AS hu2, {', '.join(f'round(coalesce({c}, 0), 6) AS {c.strip("_")}' for c in ('q0', 'q1', 'q2', 'inner_', 'entropy', 'uniformity', 'densest'))} FROM d LEFT JOIN (h JOIN q USING (doc_id) JOIN g USING (doc_id) JOIN r USING (doc_id)) USING (doc_id)""")
 def cgr_shape(spark, sf):
     v = F.col("v")
-    rows = dna(spark, sf).where("length(s) >= 100").select("doc_id", fractal.cgr26("s").alias("v"))
+    rows = dna(spark, sf).select("doc_id", fractal.cgr26("s").alias("v"))
     inner = sum((v[9 + i] for i in range(1, 5)), v[9])
     return rows.select("doc_id", F.round(1e6 * v[2], 4).alias("hu1"), F.round(1e12 * v[3], 2).alias("hu2"), r6(v[19]).alias("q0"), r6(v[20]).alias("q1"), r6(v[21]).alias("q2"), r6(inner).alias("inner"), r6(v[23]).alias("entropy"), r6(v[24]).alias("uniformity"), r6(v[25]).alias("densest"))
 
@@ -201,16 +203,17 @@ SCALES = ", ".join(f"({0.5 / 1.5**i!r}::DOUBLE)" for i in range(10))
 
 @query(f"""WITH {WALK}, z AS (SELECT * FROM (VALUES {SCALES}) AS z(size)), c AS (SELECT doc_id, n, size, count(*)::DOUBLE AS boxes FROM (SELECT doc_id, n, size, floor(x / size + 1e-9) AS a, floor(y / size + 1e-9) AS b FROM w, z GROUP BY ALL) GROUP BY ALL),
 u AS (SELECT doc_id, n, ln(1 / size) AS x, ln(boxes) AS y, greatest(0, n / boxes - 2) AS k FROM c WHERE n / boxes >= 2 AND n / boxes <= 0.8 * n), v AS (SELECT doc_id, n, count(*) AS scales, sum(k) * sum(k * x * x) - pow(sum(k * x), 2) AS down, sum(k) * sum(k * x * y) - sum(k * x) * sum(k * y) AS up FROM u GROUP BY ALL)
-SELECT e.doc_id, round(CASE WHEN coalesce(scales, 0) < 2 THEN least(2, 1 + ln(e.n) / 10) ELSE CASE WHEN down > 1e-10 THEN up / down ELSE 1.5 END - CASE WHEN e.n < 500 THEN 1 ELSE 0.7 END / ln(e.n + 1) END, 5) AS dimension FROM e LEFT JOIN v USING (doc_id)""")
+SELECT d.doc_id, round(CASE WHEN e.n IS NULL THEN 0 WHEN coalesce(scales, 0) < 2 THEN least(2, 1 + ln(e.n) / 10) ELSE CASE WHEN down > 1e-10 THEN up / down ELSE 1.5 END - CASE WHEN e.n < 500 THEN 1 ELSE 0.7 END / ln(e.n + 1) END, 5) AS dimension FROM d LEFT JOIN e USING (doc_id) LEFT JOIN v USING (doc_id)""")
 def box_dimension(spark, sf):
-    return dna(spark, sf).where("length(s) >= 100").select("doc_id", F.round(fractal.cgr26("s")[0], 5).alias("dimension"))
+    return dna(spark, sf).select("doc_id", F.round(fractal.cgr26("s")[0], 5).alias("dimension"))
 
 
 @query(f"""WITH {WALK}, z AS (SELECT unnest([15.0, 25.0, 40.0]::DOUBLE[]) AS target), c AS (SELECT doc_id, target, count(*)::DOUBLE AS n FROM (SELECT doc_id, target, floor(x / greatest(0.02, least(0.5, sqrt(target / n))) + 1e-9) AS a, floor(y / greatest(0.02, least(0.5, sqrt(target / n))) + 1e-9) AS b FROM w, z) GROUP BY doc_id, target, a, b),
-s AS (SELECT doc_id, target, avg(n) AS mean, avg(n * n) AS square FROM c GROUP BY ALL), f AS (SELECT doc_id, var_pop(n) / pow(avg(n), 2) AS v FROM (SELECT doc_id, count(*)::DOUBLE AS n FROM w GROUP BY doc_id, floor(x / 0.2 + 1e-9), floor(y / 0.2 + 1e-9)) GROUP BY 1)
-SELECT doc_id, round(CASE WHEN coalesce(sum(mean - 3) FILTER (mean >= 3), 0) >= 1e-10 THEN sum(greatest(0, square - mean * mean - mean) / (mean * mean) * (mean - 3)) FILTER (mean >= 3) / sum(mean - 3) FILTER (mean >= 3) ELSE any_value(v) END, 5) AS lacunarity FROM s JOIN f USING (doc_id) GROUP BY doc_id""")
+s AS (SELECT doc_id, target, avg(n) AS mean, avg(n * n) AS square FROM c GROUP BY ALL), f AS (SELECT doc_id, var_pop(n) / pow(avg(n), 2) AS v FROM (SELECT doc_id, count(*)::DOUBLE AS n FROM w GROUP BY doc_id, floor(x / 0.2 + 1e-9), floor(y / 0.2 + 1e-9)) GROUP BY 1),
+o AS (SELECT doc_id, round(CASE WHEN coalesce(sum(mean - 3) FILTER (mean >= 3), 0) >= 1e-10 THEN sum(greatest(0, square - mean * mean - mean) / (mean * mean) * (mean - 3)) FILTER (mean >= 3) / sum(mean - 3) FILTER (mean >= 3) ELSE any_value(v) END, 5) AS lacunarity FROM s JOIN f USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(lacunarity, 0) AS lacunarity FROM d LEFT JOIN o USING (doc_id)""")
 def cgr_lacunarity(spark, sf):
-    return dna(spark, sf).where("length(s) >= 100").select("doc_id", F.round(fractal.cgr26("s")[1], 5).alias("lacunarity"))
+    return dna(spark, sf).select("doc_id", F.round(fractal.cgr26("s")[1], 5).alias("lacunarity"))
 
 
 @query()
@@ -226,12 +229,28 @@ def strobemer_lacunarity(spark, sf):
     return dna(spark, sf).select("doc_id", kmers.strobemer_features("s").alias("features"))
 
 
+#: Shorter sequences have no breaks by their composition's complexity.
+BREAKABLE = 3000
+
+
+@query(f"""WITH {DNA}, w AS (SELECT doc_id, a // 500 AS i, s[1 + a:1000 + a] AS part FROM (SELECT doc_id, s, unnest(generate_series(0, length(s) - 1000, 500)) AS a FROM d WHERE length(s) >= {BREAKABLE})),
+c AS (SELECT doc_id, i, k, count(*) AS n FROM (SELECT doc_id, i, part[j:j + 3] AS k FROM w, (SELECT unnest(generate_series(1, 997)) AS j)) GROUP BY ALL),
+e AS (SELECT doc_id, i, -sum(n / 997.0::DOUBLE * log2(n / 997.0::DOUBLE)) + (count(*) - 1) / (2 * 997.0::DOUBLE) AS e FROM c GROUP BY ALL), x AS (SELECT doc_id, i, lag(e) OVER v AS before, lead(e) OVER v AS after FROM e WINDOW v AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, CAST(i * 500 AS BIGINT) AS pos, round(before, 6) AS before, round(after, 6) AS after FROM x WHERE abs(after - before) >= 0.15""")
+def entropy_breaks(spark, sf):
+    """Windows of 1,000 letters, every 500, whose neighbours' 4-mer entropies differ by 0.15."""
+    rows = dna(spark, sf).where(f"length(s) >= {BREAKABLE}").select("doc_id", kmers.window_entropies("s").alias("e"))
+    around = F.transform(F.sequence(F.lit(1), F.size("e") - 2), lambda i: F.struct((i * 500).cast("long").alias("pos"), F.col("e")[i - 1].alias("before"), F.col("e")[i + 1].alias("after")))
+    found = rows.select("doc_id", F.explode(F.filter(around, lambda x: F.abs(x.after - x.before) >= 0.15)).alias("x"))
+    return found.select("doc_id", "x.pos", r6(F.col("x.before")).alias("before"), r6(F.col("x.after")).alias("after"))
+
+
 @query()
 def composition_breaks(spark, sf):
-    """Windows whose neighbours differ in walk exponent, LZ, 4-mer entropy or lacunarity, by the kinds of evidence."""
-    rows = dna(spark, sf).where("length(s) >= 1000").select("doc_id", fractal.windowed("s").alias("w"))
+    """Windows whose neighbours differ in walk exponent, LZ or 4-mer entropy, by the kinds of evidence; sequences of 3,000 letters or more have breaks."""
+    rows = dna(spark, sf).where(f"length(s) >= {BREAKABLE}").select("doc_id", fractal.windowed("s").alias("w"))
     at = F.sequence(F.lit(1), F.size("w") - 2)
-    kinds = (("hurst", 0, 0.15), ("lz", 1, 0.1), ("entropy", 2, 0.3), ("lacunarity", 3, 0.5))
+    kinds = (("hurst", 0, 0.15), ("lz", 1, 0.1), ("entropy", 2, 0.15))
     names = lambda i: F.filter(F.array(*(F.when(F.abs(F.col("w")[i + 1][k] - F.col("w")[i - 1][k]) >= least, name) for name, k, least in kinds)), lambda x: x.isNotNull())
     found = rows.where(F.size("w") >= 3).select("doc_id", F.explode(F.transform(at, lambda i: F.struct((i * 500).cast("long").alias("pos"), names(i).alias("evidence")))).alias("x"))
     return found.select("doc_id", "x.pos", F.array_join("x.evidence", ",").alias("evidence")).where("evidence <> ''")

@@ -225,3 +225,31 @@ def test_sam_depth(spark, tmp_path):
     assert sorted((r["start"], r["end"]) for r in sources.aligned_blocks(reads).collect()) == [(10, 15), (17, 20)]
     depth = signals.depth_segments(sources.aligned_blocks(reads), ["contig"]).collect()
     assert sum((r["to"] - r["from"]) * r["depth"] for r in depth) == 8
+
+
+def test_marker_separation(spark):
+    near = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (1, 1)], "i int, j int")
+    hits = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (1, "a"), (2, "b"), (3, "b"), (1, "c")], "contig int, marker string")
+    rows = graph.marker_separation(near, hits)
+    # 3 names 2 among its neighbours, but the smaller of a pair has to name the greater.
+    assert sorted(map(tuple, rows.collect())) == [("a", 3, 2), ("b", 1, 1)]
+    assert graph.separation_score(rows).first()["score"] == 0.75
+    assert graph.separation_score(rows.limit(0)).first()["score"] == 1.0
+
+
+def test_jump_has_whole_windows(spark):
+    depth = [1.0] * 7 + [9.0] * 9
+    rows = spark.createDataFrame([("c", i, d) for i, d in enumerate(depth)] + [("short", i, float(i)) for i in range(8)], "contig string, pos int, depth double")
+    found = {(r["contig"], r["pos"]): (r["before"], r["after"]) for r in signals.jump(rows, ["contig"], ["pos"], "depth", 4).collect()}
+    want = {}
+    for i in range(4, len(depth) - 4, 2):
+        before, after = sum(depth[i - 4 : i]) / 4, sum(depth[i : i + 4]) / 4
+        if max(before, after) / min(before, after) >= 2:
+            want["c", i] = (before, after)
+    assert found == want and len(want) == 3
+
+
+def test_windows_cover_the_whole_sequence():
+    code = kmers.bases(random_dna(5000))
+    assert len(kmers.window_variances(code)) == 19 and kmers.window_variances(code, most=5) == kmers.window_variances(code)[:5]
+    assert [round(kmers.entropy_of(w, 4), 9) for w in kmers.windows_of(code, 1000, 500)] == [round(kmers.entropies(code[a : a + 1000])[2], 9) for a in range(0, 4001, 500)]
