@@ -7,14 +7,14 @@ together label the block, so every label depends on the whole page.
 
 Labels for training come from the markup's own meaning: what stands in article or main is text, what
 stands in menus, headers, footers, asides, forms, or in containers named so is not.
-Training pages are a bounded sample (sample pages of at most LONGEST bytes by the hash of their id), and training runs in one executor task. Each is also rendered
+Training pages are a bounded sample (sample pages of at most longest bytes by the hash of their id), and training runs in one executor task. Each is also rendered
 anew with other containers and more kinds of boilerplate from other pages' words, some of them without any telling name, so that the
 labeller doesn't depend on one template.
 
 Cases: a null or empty html, or one without text, gives an empty text; broken markup is read as far as it
 goes, in time that grows with its length: an open head ends where the body's elements or text begin, items, cells, rows, options and paragraphs end where
 HTML says they do, and an unclosed noscript, select or object hides nothing
-from the next block element on; without article or main in any page containers named as text say what is text,
+from the next block element on; scripts and styles cut no word or block in which they stand; without article or main in any page containers named as text say what is text,
 and without these all is text but what the markup says is something else; repeated rows, and rows without an id, are labelled like others;
 very long pages are labelled whole; extra columns don't matter.
 """
@@ -40,6 +40,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title svg iframe object textarea select".split())
 UNSURE = frozenset("noscript select object".split())  # of HIDDEN, those that hide all up to their own end tag only
+SILENT = frozenset(("script", "style"))  # of HIDDEN, those that hold no elements and may stand within a word
 HEAD_TAGS = frozenset("base link meta noscript script style template title head html".split())
 TEXT_TAGS = frozenset(("article", "main"))
 OTHER_TAGS = frozenset("nav header footer aside form button menu dialog".split())
@@ -68,7 +69,6 @@ SCOPES = frozenset("table td th caption button object select template html".spli
 
 PATH, WORD, SIZES, HIDDEN_SIZE = 24, 12, 8, 24
 INPUT = 2 * PATH + WORD + SIZES
-LONGEST = 1 << 20  # bytes of a page that training may use
 NAME = re.compile(r"[a-z]+")
 
 
@@ -117,10 +117,12 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.path: list[Node] = []
         self.open: Counter[str] = Counter()
-        self.found: list[Block] = []
+        self.found: list[Block | None] = []
         self.parts: list[str] = []
         self.hidden = self.links = self.linked = 0
-        self.unsure: list[list] = []  # place in the path, blocks before it, blocks before the first block element in it
+        # Place in the path, blocks before it, and a list: the blocks before the first block element in it, once there is one.
+        # All that such an element met open share a list, so no block before an inner one's is in an outer list's range.
+        self.unsure: list[tuple[int, int, list[int]]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -132,11 +134,12 @@ class Blocks(HTMLParser):
         """End the path's elements from at on; own: by the end tag of the one at at."""
         while self.unsure and self.unsure[-1][0] >= at:
             place, first, block = self.unsure.pop()
-            last = len(self.found) if block is None or own and place == at else block
-            del self.found[first:last]
-            for other in self.unsure:
-                if other[2] is not None and other[2] > first:
-                    other[2] = max(first, other[2] - (last - first))
+            if not block or own and place == at:
+                del self.found[first:]
+            else:  # what follows keeps its place
+                self.found[first : block[0]] = [None] * (block[0] - first)
+            if block:
+                block[0] = min(block[0], first)
         for x in self.path[at:]:
             self.hidden -= x.tag in HIDDEN and x.tag not in UNSURE
             self.open[x.tag] -= 1
@@ -153,7 +156,7 @@ class Blocks(HTMLParser):
         return -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             self.flush()
         if self.open["head"] and (tag == "body" or tag not in HEAD_TAGS and self.path[-1].tag == "head"):
             at = self.last(frozenset(("head",)), frozenset())
@@ -166,14 +169,13 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         if self.unsure and tag not in INLINE and tag not in HIDDEN and tag not in ("option", "optgroup"):
-            for x in self.unsure:
-                x[2] = len(self.found) if x[2] is None else x[2]
+            self.unsure[-1][2] or self.unsure[-1][2].append(len(self.found))
         if tag not in INLINE:
             names = tuple(NAME.findall(" ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)))
             self.path.append(Node(self.path[-1] if self.path else None, tag, names))
             self.open[tag] += 1
         if tag in UNSURE:
-            self.unsure.append([len(self.path) - 1, len(self.found), None])
+            self.unsure.append((len(self.path) - 1, len(self.found), self.unsure[-1][2] if self.unsure and not self.unsure[-1][2] else []))
         self.hidden += tag in HIDDEN and tag not in UNSURE
         self.links += tag == "a"
 
@@ -188,7 +190,8 @@ class Blocks(HTMLParser):
         self.links = max(0, self.links - (tag == "a"))
         if tag in INLINE:
             return
-        self.flush()
+        if tag not in SILENT:
+            self.flush()
         if (at := self.last(frozenset((tag,)), frozenset())) >= 0:
             self.end(at, own=True)
 
@@ -207,7 +210,7 @@ def blocks(html: str) -> list[Block]:
     parser.close()
     parser.flush()
     parser.end(0)
-    return parser.found
+    return [block for block in parser.found if block is not None]
 
 
 def meaning(place: Node | None, named: bool = False) -> int:
@@ -433,11 +436,11 @@ def train(pages: list[str], rounds: int = 18, batch: int = 32, seed: int = 3, mo
     return model
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 200) -> Labeller | None:
-    """Train on at most `sample` pages of up to LONGEST bytes, those that say what is text before others, then by the hash of their key."""
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 200, longest: int = 1 << 20) -> Labeller | None:
+    """Train on at most `sample` pages of up to `longest` bytes, those that say what is text before others, then by the hash of their key."""
     tags, names = (f"(?i)<({'|'.join(sorted(TEXT_TAGS))})[\\s>/]", f"(?i)(class|id|role)\\s*=[^>]*\\b({'|'.join(sorted(TEXT_NAMES))})\\b")
     says = F.when(F.col(html).rlike(tags), 2).when(F.col(html).rlike(names), 1).otherwise(0)
-    full = pages.where((F.octet_length(html) > 0) & (F.octet_length(html) <= LONGEST)).select(F.xxhash64(key, html).alias("mark"), says.alias("says"), F.col(html).alias("html"))
+    full = pages.where((F.octet_length(html) > 0) & (F.octet_length(html) <= longest)).select(F.xxhash64(key, html).alias("mark"), says.alias("says"), F.col(html).alias("html"))
     chosen = full.select("mark", "says").distinct().orderBy(F.desc("says"), F.xxhash64("mark"), "mark").limit(sample).select("mark")  # marks alone are compared, so no task sends pages
     rows = full.join(F.broadcast(chosen), "mark").groupBy("mark").agg(F.first("html").alias("html"))
     return in_one_task(rows, lambda t: train([h for h, _ in sorted(zip(t["html"].to_pylist(), t["mark"].to_pylist(), strict=True))]))

@@ -69,6 +69,20 @@ def depth(place) -> int:
     return 0 if place is None else 1 + depth(place.parent)
 
 
+def test_scripts_dont_cut_words():
+    found = html_blocks.blocks("<body><article><p>wo<script>x < y</script>rd and<style>p {}</style> more</p><p>next<object>hidden</object>one</article>")
+    assert [t for _, t, _ in found] == ["word and more", "next", "one"]
+
+
+@pytest.mark.parametrize("tag", sorted(html_blocks.UNSURE))
+@pytest.mark.parametrize("unit", ["<{0}>", "<{0}>text", "<{0}><p>text</p>", "<{0}>x<p>"])
+def test_unclosed_hiding_elements_in_linear_time(tag, unit):
+    began = time.process_time()
+    html_blocks.blocks("<body>" + unit.format(tag) * 100_000 + "<p>end")
+    html_blocks.blocks("<body>" + unit.format(tag) * 100_000 + f"</{tag}>" * 100_000)
+    assert time.process_time() - began < 60
+
+
 def test_article_after_unclosed_items():
     found = html_blocks.blocks("<body><nav><ul><li>a<li>b<ul><li>c</ul><li>d</ul></nav><table><tr><td>x<td>y<tr><td>z</table><article><p>one<p>two</article>")
     assert [t for _, t, _ in found] == ["a", "b", "c", "d", "x", "y", "z", "one", "two"]
