@@ -247,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Fit on at most `sample` labelled rows and all unlabelled ones; held-out rows are neither."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = with_features(_plain(docs).join(F.broadcast(chosen), "doc_id")).toArrow()  # at most `sample` documents' rows of features
+    rows = with_features(_plain(docs).join(F.broadcast(chosen), "doc_id"))
+    got = rows.groupBy("doc_id", "label").agg(F.min("features").alias("features")).select(rows.columns).toArrow()  # a row of features an id, however often it is repeated
     if not got.num_rows:
         return Constant(1.0)
     got = got.take(pc.sort_indices(got, [("doc_id", "ascending"), ("features", "ascending")])).combine_chunks().to_batches()[0]
