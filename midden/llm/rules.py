@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    got = with_statistics(rows, "stats", carry=["doc_id", "label"]).select("doc_id", "label", "stats.*").toPandas().sort_values(["doc_id", *COUNTS])
+    stats = with_statistics(rows, "stats", carry=["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("stats").alias("stats"))  # one row an id, however often it is repeated
+    got = stats.select("doc_id", "label", "stats.*").toPandas().sort_values(["doc_id", *COUNTS])
     if got.empty:
         return []
     x = features(lambda c: got[c].to_numpy(np.float64))
