@@ -11,7 +11,7 @@ that 0.5 is the threshold in every language. The lang column only names the clas
 the guesser is fitted; labels, lang, source and doc_id are no inputs of a score.
 
 The classifier is fitted on a bounded sample (sample labelled rows of each label, and half of
-sample_bytes of text for each); labelled documents of more than LONGEST bytes are passed over in training.
+sample_bytes of text for each); of labelled documents of more than longest bytes training has a window of whole words.
 It runs in one executor task. At its peak that holds about 15 bytes for each byte of the sample (word places, and a few
 arrays of 8 bytes for each pair of a text and a distinct word), some 170 MB for the 12 MB of the
 default; only the weights, 40 bytes for each bucket that two texts share, come to the driver.
@@ -19,8 +19,7 @@ Every document is scored whole.
 
 Cases: null and empty texts get the score of a text without words; without both labels in the
 training rows every score is the share of toxic rows among them (0 if there are none), at
-most 0.49, and a warning says so; if both labels are there but training can't use them as their texts are longer
-than LONGEST, fit fails; repeated rows get equal scores; extra columns don't matter.
+most 0.49, and a warning says so; repeated rows get equal scores; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
@@ -41,7 +40,6 @@ from .common import cut, forget, held_out, in_one_task, map_arrow, slices, texts
 BUCKETS = 1 << 26
 PREFIXES = (3, 4, 5)
 WIDTHS = (1, 2, 3)
-LONGEST = 256 << 10  # bytes of all rows of a document that training may use
 LEAST = 20  # labelled documents
 STRIP = ".,;:!?\"'()[]"
 
@@ -291,14 +289,18 @@ def constant(share: float) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 2000, sample_bytes: int = 12 << 20, train_rows=None) -> Model:
-    """Fit on at most `sample` training rows of each label, first by the hash of their id, as long as a label's texts, whole, stay in half of sample_bytes."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 2000, sample_bytes: int = 12 << 20, longest: int = 256 << 10, train_rows=None) -> Model:
+    """Fit on at most `sample` training rows of each label, first by the hash of their id, as long as a label's texts stay in half of sample_bytes.
+
+    Of a text of more than `longest` bytes training has a window of whole words of at most that many; ids whose rows are
+    over half of sample_bytes together, or more than `sample`, aren't learned from.
+    """
+    longest = min(longest, sample_bytes // 2)
     keep = ~held_out() if train_rows is None else train_rows
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).join(known, "doc_id").groupBy("doc_id", "label").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    sizes = docs.select("doc_id", F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(longest)).cast("long").alias("bytes")).join(known, "doc_id").groupBy("doc_id", "label").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     sizes = cut(sizes, "toxicity-sizes")  # numbers of labelled documents
-    longest = min(LONGEST, sample_bytes // 2)
-    fits = sizes.where((F.col("bytes") <= longest) & (F.col("n") <= longest))
+    fits = sizes.where((F.col("bytes") + F.col("n") <= sample_bytes // 2) & (F.col("n") <= sample))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     tops = [fits.where(F.col("label") == c).orderBy(*order).limit(sample).toPandas() for c in (0, 1)]
     tops = [t[(t["bytes"] + t["n"]).cumsum() <= sample_bytes // 2] for t in tops]
@@ -308,23 +310,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(ids, f"doc_id {kind}, label int")
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows of two numbers
+    rows = docs.select("doc_id", _window(F.coalesce("text", F.lit("")), longest).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows of two numbers
     model = in_one_task(rows, _train_table)
     forget(sizes)
     return model
 
 
+def _window(text: Column, longest: int) -> Column:
+    """text if it has at most longest bytes, else whole words of a part that begins anywhere, by the text's hash."""
+    chars = longest // 4  # at most four bytes each
+    start = F.pmod(F.xxhash64(text), F.char_length(text) - chars + 1).cast("int") + 1
+    part = F.substring(text, start, F.lit(chars))
+    words = F.regexp_replace(F.regexp_replace(part, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$", "")
+    return F.when(F.octet_length(text) <= longest, text).when(F.length(words) > 0, words).otherwise(part)
+
+
 def _train_table(rows: pa.Table) -> Model:
     rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
     return train(rows["text"].combine_chunks(), rows["label"].to_numpy().astype(np.float32), rows["lang"].to_pylist())
 
 
 def _without_classifier(sizes: DataFrame, label: str) -> Model:
-    """The constant model of too few labelled documents; an error if there are enough, but too long ones."""
+    """The constant model where too few labelled documents can be learned from."""
     have = {r["label"]: (r["docs"], r["toxic"]) for r in sizes.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("label").alias("toxic")).collect()}
     docs, toxic = (sum(x) for x in zip(*have.values(), strict=True)) if have else (0, 0)
-    if docs >= LEAST and len(have) == 2:
-        raise ValueError(f"{label}: of {docs} labelled documents too few have at most {LONGEST} bytes for training")
     warnings.warn(f"{label}: {docs} labelled documents of {len(have)} labels are no base for a classifier; all documents get one score", stacklevel=3)
     return constant(toxic / docs if docs else 0.0)
 

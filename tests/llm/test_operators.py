@@ -16,7 +16,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from midden.llm import audio, bpe, cells, chunks, components, html_blocks, jaccard, orc_tokens, packing, pii, queries, rules, tokens, toxicity
+from midden.llm import audio, bpe, cells, chunks, components, cotrain, html_blocks, jaccard, orc_tokens, packing, pii, queries, rules, tokens, toxicity
 from midden.llm.common import slices, texts_of
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, n int, stats string, length string, kept string, score string, label int, mark string, cid string, found string, base string"
@@ -481,8 +481,31 @@ def test_toxicity_sample_with_a_long_text(spark, docs, labels):
     assert len(small.kept) and not np.array_equal(small.calibration[:, 0], [0.0])
     with pytest.warns(UserWarning, match="2 labelled documents"):
         toxicity.fit(docs, labels)
-    with pytest.raises(ValueError, match="of [0-9]+ labelled"):
-        toxicity.fit(df.withColumn("text", F.repeat(F.lit("long text "), 40_000)), known)
+
+
+def test_toxicity_of_long_labelled_texts(spark):
+    t, y = labelled_texts(400)
+    calm, bad = ([x for x, v in zip(t, y, strict=True) if v == c] for c in (0, 1))
+    texts = [" ".join(own[i % len(own)] for i in range(k, k + 12_000)) for k in range(25) for own in (calm, bad)]
+    assert min(map(len, texts)) > 256 << 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model = toxicity.fit(df, spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int"), longest=40_000, train_rows=F.col("doc_id") < 40)
+    s = model.scores(pa.array(texts[40:]))
+    assert ((s >= 0.5) == (np.arange(40, 50) % 2 == 1)).all()
+    cut = df.select("text", toxicity._window(F.col("text"), 40_000).alias("own")).collect()
+    assert all(len(r["own"].encode()) <= 40_000 and f" {r['own']} " in f" {r['text']} " for r in cut)
+    odd = spark.createDataFrame([("é" * 9_000,), ("x" * 9_000,), ("",), ("ab cd",)], "text string").select(toxicity._window(F.col("text"), 8_000).alias("own")).collect()
+    assert [r["own"] for r in odd] == ["é" * 2_000, "x" * 2_000, "", "ab cd"]
+
+
+def test_repeated_labelled_ids_are_one_row_in_training(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i} of one id", "en", "web") for i in range(50)] + [(2, "other words", "en", "web")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(rules, "learn", lambda x, poor: seen.append(len(poor)) or [])
+    rules.fit(docs, labels)
+    assert seen == [2]
+    assert cotrain.fit(docs, labels, rounds=0).labelled == 2
 
 
 def test_held_out_toxic_documents(spark):
