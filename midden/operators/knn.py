@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,6 +10,35 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
+def closest(table: pa.Table, k: int, others: bool = True) -> pa.Table:
+    """(i, j, d): of the rows (id, v, ask) the k that aren't asks nearest to each ask, ties by j; with others, rows of the ask's own id are left out."""
+    ask = table.column("ask").to_numpy(zero_copy_only=False)
+    ids = table.column("id").to_numpy()
+    col = table.column("v").combine_chunks()
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    q, p, qi, pi = x[ask], x[~ask], ids[ask], ids[~ask]
+    square, near_ = (p * p).sum(axis=1), min(k, len(p))
+    out = []
+    for at in range(0, len(q) if near_ else 0, 256):
+        part = q[at : at + 256]
+        # Products find all that can be among the k nearest; these alone are measured exactly.
+        rough = (part * part).sum(axis=1)[:, None] + square[None] - 2 * (part @ p.T)
+        if others:
+            rough[qi[at : at + 256, None] == pi[None, :]] = np.inf
+        slack = 1e-9 * ((part * part).sum(axis=1) + square.max())
+        rows, cols = np.nonzero(rough <= (np.partition(rough, near_ - 1, axis=1)[:, near_ - 1] + slack)[:, None])
+        keep = np.isfinite(rough[rows, cols])
+        rows, cols = rows[keep], cols[keep]
+        exact = ((part[rows] - p[cols]) ** 2).sum(axis=1)
+        order = np.lexsort((pi[cols], exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        own = place < k
+        out.append((qi[at : at + 256][rows[own]], pi[cols[own]], exact[own]))
+    flat = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
+    return pa.table({"i": pa.array(flat[0].astype(np.int64)), "j": pa.array(flat[1].astype(np.int64)), "d": pa.array(flat[2].astype(np.float64))})
+
+
 def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(i, j, d, rank): squared distances to the k nearest others, ties by j.
 
@@ -25,32 +52,6 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
     asks = rows.select("id", "v", F.lit(True).alias("ask"), F.col("block").alias("a"), F.explode(others).alias("b"))
     base = rows.select("id", "v", F.lit(False).alias("ask"), F.explode(others).alias("a"), F.col("block").alias("b"))
 
-    def best(table: pa.Table) -> pa.Table:
-        ask = table.column("ask").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        col = table.column("v").combine_chunks()
-        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
-        q, p, qi, pi = x[ask], x[~ask], ids[ask], ids[~ask]
-        square, near_ = (p * p).sum(axis=1), min(k, len(p))
-        out = []
-        for at in range(0, len(q) if near_ else 0, 256):
-            part = q[at : at + 256]
-            # Products find all that can be among the k nearest; these alone are measured exactly.
-            rough = (part * part).sum(axis=1)[:, None] + square[None] - 2 * (part @ p.T)
-            rough[qi[at : at + 256, None] == pi[None, :]] = np.inf
-            slack = 1e-9 * ((part * part).sum(axis=1) + square.max())
-            rows, cols = np.nonzero(rough <= (np.partition(rough, near_ - 1, axis=1)[:, near_ - 1] + slack)[:, None])
-            keep = np.isfinite(rough[rows, cols])
-            rows, cols = rows[keep], cols[keep]
-            exact = ((part[rows] - p[cols]) ** 2).sum(axis=1)
-            order = np.lexsort((pi[cols], exact, rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            own = place < k
-            out.append((qi[at : at + 256][rows[own]], pi[cols[own]], exact[own]))
-        flat = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
-        return pa.table({"i": pa.array(flat[0].astype(np.int64)), "j": pa.array(flat[1].astype(np.int64)), "d": pa.array(flat[2].astype(np.float64))})
-
-    near = asks.unionAll(base).groupBy("a", "b").applyInArrow(best, "i long, j long, d double")
+    near = asks.unionAll(base).groupBy("a", "b").applyInArrow(lambda table: closest(table, k), "i long, j long, d double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)

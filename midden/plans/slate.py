@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import damage as fd
-from ..operators import damage, graph, iterate, knn, quality, signals
+from ..operators import damage, graph, iterate, knn, neighbour_index, quality, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,6 +141,23 @@ def knn_topk(spark, sf):
     return knn.knn(vectors(spark, sf), 10).withColumn("d", r6(F.col("d")))
 
 
+@query(f"WITH {KNN} SELECT i, j, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM k")
+def indexed_neighbours(spark, sf):
+    """The index's exact search, from as many cells as a recall of 0.9 takes."""
+    index = neighbour_index.build(vectors(spark, sf), 10)
+    return neighbour_index.neighbours(index, 10, neighbour_index.probes_for(index, 0.9), exact=True).withColumn("d", r6(F.col("d")))
+
+
+POINTS = KNN.replace("FROM e a, e b WHERE", "FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a, e b WHERE").replace("rank <= 10", "rank <= 25")
+
+
+@query(f"WITH {POINTS} SELECT i, j, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM k")
+def point_neighbours(spark, sf):
+    """Single points, every hundredth vector, against all rows."""
+    index = neighbour_index.build(vectors(spark, sf), 25)
+    return neighbour_index.neighbours(index, 25, 4, vectors(spark, sf).where("vec_id % 100 = 0"), exact=True).withColumn("d", r6(F.col("d")))
+
+
 EDGES = f"{KNN}, c AS (SELECT list_sort(list(d))[1 + least(50 * count(*) // 100, count(*) - 1)] AS cutoff FROM k), g AS (SELECT i AS u, j AS v, d, exp(-d / 10) AS w FROM k, c WHERE d <= cutoff + 1e-12 AND i > j)"
 
 
