@@ -51,11 +51,11 @@ def _pieces(x: np.ndarray, rows: int = 1024) -> Iterator[np.ndarray]:
     return (x[at : at + rows] for at in range(0, len(x), rows))
 
 
-def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
+def usable(vectors: DataFrame, key: str, vector: str, own: str | None = None) -> DataFrame:
+    """(id, v) of the rows that take part, with the column own as own."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    return vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite).select(F.col(key).cast("long").alias("id"), v.alias("v"), *([F.col(own).alias("own")] if own else []))
 
 
 def fitted_centres(rows: DataFrame, cells: int, n: int, rounds: int = 8) -> np.ndarray:
@@ -106,7 +106,7 @@ def _heads(rows: DataFrame, k: int) -> DataFrame:
 
 def build(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> Index:
     """An index for up to k neighbours; by default of as many cells as the root of the number of rows, at most MOST_CELLS."""
-    rows = _usable(vectors, key, vector)
+    rows = usable(vectors, key, vector)
     n = rows.count()
     centres = fitted_centres(rows, min(cells or max(1, round(n**0.5)), MOST_CELLS), n)
     dealt = cut(_dealt(rows, centres))
@@ -197,7 +197,7 @@ def neighbours(index: Index, k: int, probes: int, points: DataFrame | None = Non
     spark, m = index.rows.sparkSession, index.k + 1
     if not len(index.centres):
         return spark.createDataFrame([], "i long, j long, d double, rank int")
-    rows = index.rows if points is None else cut(_dealt(_usable(points, key, vector), index.centres))
+    rows = index.rows if points is None else cut(_dealt(usable(points, key, vector), index.centres))
     asks = index.heads if points is None else cut(_heads(rows, 1))
     base = index.heads.select("id", "v", "cell")
     near = within_cells(base, _first(index, asks, probes), m)

@@ -69,7 +69,8 @@ def contaminated(hits: DataFrame, sets: DataFrame, over: float, bin_: str = "bin
     return quality.set_quality(hits, sets, bin_).where(exact(F.col("contamination")) > over)
 
 
-def _evicted(order: DataFrame, hits: DataFrame, sets: DataFrame, now: DataFrame, last: bool, clean: float, ranks: DataFrame | None = None) -> DataFrame:
+def evicted(order: DataFrame, hits: DataFrame, sets: DataFrame, now: DataFrame, last: bool, clean: float, ranks: DataFrame | None = None) -> DataFrame:
+    """(bin, contig) of order (bin, contig, rank) up to the accepted rank of each bin in now; ranks: (bin, rank), those that are tried."""
     prefixes = prefix_quality(hits.join(now.select("bin"), "bin", "left_semi"), sets, order)
     if ranks is not None:
         prefixes = prefixes.join(ranks, ["bin", "rank"], "left_semi")
@@ -89,7 +90,7 @@ def evict_duplicates(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels:
     out = weakest.join(quality.sole_carriers(have), ["bin", "contig"], "left_anti")
     order = out.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("contig")))
     whole = order.groupBy("bin").agg(F.max("rank").alias("rank"))
-    return _evicted(order, hits, sets, now, True, clean, whole)
+    return evicted(order, hits, sets, now, True, clean, whole)
 
 
 def _inside(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def evict_outliers(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: D
     order = rows.select("bin", "contig", F.row_number().over(Window.partitionBy("bin").orderBy(F.desc(score), "contig")).alias("rank"))
     number = order.groupBy("bin").agg(F.max("rank").alias("number"))
     tries = number.select("bin", F.explode(F.array(*(F.greatest(F.lit(1), F.round(F.col("number") * f).cast("int")) for f in (1.0, 0.75, 0.5, 0.25)))).alias("rank")).distinct()
-    return _evicted(order, hits, sets, now, True, clean, tries)
+    return evicted(order, hits, sets, now, True, clean, tries)
 
 
 def evict_boundary(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: DataFrame, over: float = 5.5, clean: float = 5.0) -> DataFrame:
@@ -125,7 +126,7 @@ def evict_boundary(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: D
     most = members.groupBy("bin").agg(F.floor(F.count(F.lit(1)) / 3).alias("most"))
     rows = members.join(out, ["bin", "contig"], "left").withColumn("cross", F.round(F.coalesce("cross", F.lit(0.0)), 9)).join(quality.sole_carriers(hits), ["bin", "contig"], "left_anti")
     order = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy(F.desc("cross"), "contig"))).join(most, "bin").where(F.col("rank") <= F.col("most")).select("bin", "contig", "rank")
-    return _evicted(order, hits, sets, now, False, clean)
+    return evicted(order, hits, sets, now, False, clean)
 
 
 def rescue_candidates(hits: DataFrame, sets: DataFrame, edges: DataFrame, labels: DataFrame, low: float = 75.0, high: float = 90.0, clean: float = 5.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import iterate, repair
+from ..operators import iterate, repair, tangents
 from .slate import KNN, LAB, SYM, _labels, _symmetric, query, r6, read, vectors
 
 #: Orders stand for contigs, customers for their bins, lines for marker hits: 60 markers in 20 sets.
@@ -108,6 +108,33 @@ def evict_boundary(spark, sf):
     return repair.evict_boundary(*_graph(spark, sf), clean=CLEAN)
 
 
+#: Of three neighbours the plane is spanned by two differences, so the residual is that of two normal equations.
+PLANE = """vec AS (SELECT o_custkey AS bin, o_orderkey AS contig, [o_orderkey * 31 % 97, o_orderkey * 17 % 89, o_totalprice / 5000, o_orderkey * 7 % 61]::DOUBLE[] AS v, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+k AS (SELECT a.bin, a.contig, a.v, b.v AS near, row_number() OVER (PARTITION BY a.contig ORDER BY list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.contig) AS rank FROM vec a JOIN vec b ON a.bin = b.bin AND a.contig <> b.contig WHERE a.n >= 5 QUALIFY rank <= 3),
+g AS (SELECT bin, contig, any_value(v) AS v, list(near ORDER BY rank) AS p FROM k GROUP BY ALL), c AS (SELECT *, list_transform(list_zip(p[1], p[2], p[3]), lambda z: (z[1] + z[2] + z[3]) / 3) AS m FROM g),
+e AS (SELECT bin, contig, list_transform(list_zip(p[1], m), lambda z: z[1] - z[2]) AS a, list_transform(list_zip(p[2], m), lambda z: z[1] - z[2]) AS b, list_transform(list_zip(v, m), lambda z: z[1] - z[2]) AS d FROM c),
+s AS (SELECT bin, contig, list_dot_product(a, a) AS aa, list_dot_product(a, b) AS ab, list_dot_product(b, b) AS bb, list_dot_product(a, d) AS ad, list_dot_product(b, d) AS bd, list_dot_product(d, d) AS dd FROM e),
+f AS (SELECT bin, contig, round(greatest(0, dd - (bb * ad * ad - 2 * ab * ad * bd + aa * bd * bd) / (aa * bb - ab * ab)), 6) AS off FROM s)"""
+
+
+def _places(spark, sf):
+    key = F.col("o_orderkey")
+    v = F.array(*(c.cast("double") for c in (key * 31 % 97, key * 17 % 89, F.col("o_totalprice") / 5000, key * 7 % 61)))
+    return read(spark, sf, "orders").select(F.col("o_custkey").alias("bin"), key.alias("contig"), v.alias("v"))
+
+
+@query(f"WITH {PLANE} SELECT bin, contig, off FROM f")
+def plane_residuals(spark, sf):
+    """How far orders lie off the plane of the three nearest of their customer."""
+    return tangents.off_plane(_places(spark, sf), most=3).withColumn("off", r6(F.col("off")))
+
+
+@query(f"""WITH {NOW}, {BAD}, {SOLE}, {PLANE.replace('c AS (SELECT *,', 'mid AS (SELECT *,').replace('AS d FROM c)', 'AS d FROM mid)')}, most AS (SELECT bin, count(*) // 3 AS most FROM f GROUP BY 1),
+c AS (SELECT bin, contig, rank FROM (SELECT bin, contig, row_number() OVER (PARTITION BY bin ORDER BY off DESC, contig) AS rank FROM f SEMI JOIN bad USING (bin) ANTI JOIN sole USING (bin, contig)) JOIN most USING (bin) WHERE rank <= most), {_kept('SELECT DISTINCT bin, rank FROM c', 'min')}""")
+def evict_off_plane(spark, sf):
+    return tangents.evict_off_plane(_hits(spark, sf), _sets(spark), _places(spark, sf), clean=CLEAN, most=3)
+
+
 @query(f"""WITH {NOW}, {LINKS}, ends AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), t AS (SELECT bin FROM now WHERE round(completeness, 6) >= 40 AND round(completeness, 6) < 90 AND round(contamination, 6) < 20), x AS (SELECT a.label AS bin, ends.v AS contig, sum(w) AS w FROM ends JOIN lab a ON a.node = ends.u JOIN lab b ON b.node = ends.v SEMI JOIN t ON t.bin = a.label WHERE a.label <> b.label GROUP BY ALL),
 m AS (SELECT x.bin, x.contig, count(*) FILTER (has.marker IS NULL) AS missing, count(*) FILTER (has.marker IS NOT NULL) AS repeated, any_value(w) AS w FROM x JOIN (SELECT DISTINCT contig, marker FROM hits) h ON h.contig = x.contig LEFT JOIN (SELECT DISTINCT bin, marker FROM hits) has ON has.bin = x.bin AND has.marker = h.marker GROUP BY ALL)
 SELECT bin, contig, missing, repeated, round(w, 6) AS w, CAST(row_number() OVER (PARTITION BY bin ORDER BY repeated > 0, round(w, 9) DESC, contig) AS INT) AS rank FROM m WHERE missing > 0""")
