@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def jump(rows: DataFrame, group: list[str], order: list[str], value: str, width: int, ratio: float = 2.0) -> DataFrame:
+def jump(rows: DataFrame, group: list[str], order: list[str], value: str, width: int, ratio: float = 2.0, every: bool = False) -> DataFrame:
     """rows with the means of `width` rows before and from the row on, kept where one is `ratio` times the other.
 
     Breakpoints lie half a window apart, from the first with a whole window before it on, and have more than a whole
-    window behind them; of null values the others' mean is taken.
+    window behind them; with `every`, each row that has one before it may be a breakpoint, and windows at the ends are
+    shorter. Of null values the others' mean is taken.
     """
     w = Window.partitionBy(*group).orderBy(*order)
     at, size = F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(*group))
     both = rows.withColumn("before", F.avg(value).over(w.rowsBetween(-width, -1))).withColumn("after", F.avg(value).over(w.rowsBetween(0, width - 1)))
-    whole = both.withColumn("at", at).withColumn("rows", size).where((F.col("at") >= width) & (F.col("at") < F.col("rows") - width) & ((F.col("at") - width) % max(1, width // 2) == 0)).drop("at", "rows")
+    whole = both.where(F.col("before").isNotNull()) if every else both.withColumn("at", at).withColumn("rows", size).where((F.col("at") >= width) & (F.col("at") < F.col("rows") - width) & ((F.col("at") - width) % max(1, width // 2) == 0)).drop("at", "rows")
     least, most = F.least("before", "after"), F.greatest("before", "after")
     return whole.where((least > 0) & (most / least >= ratio))
 
