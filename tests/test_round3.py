@@ -21,3 +21,11 @@ def test_every_event_may_be_a_jump(spark, tmp_path):
     assert differences(slate.coverage_jump(spark, str(tmp_path)), con, slate.ORACLES["coverage_jump"]) == []
     rows = spark.createDataFrame([("c", i, d) for i, d in enumerate([1.0, 9.0, 9.0, 9.0])], "contig string, pos int, depth double")
     assert [r["pos"] for r in signals.jump(rows, ["contig"], ["pos"], "depth", 4, every=True).orderBy("pos").collect()] == [1]
+
+
+def test_every_event_may_have_votes(spark, tmp_path):
+    con = small_events(spark, tmp_path)
+    rows = slate.breakpoint_votes(spark, str(tmp_path))
+    assert differences(rows, con, slate.ORACLES["breakpoint_votes"]) == []
+    # The first five events of a user, before which no whole window lies, and every second one had no jumps.
+    assert rows.where("event_id % 100 < 5 AND contains(evidence, 'jump')").count() > 0
