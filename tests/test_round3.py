@@ -50,3 +50,11 @@ def test_equal_intervals_open_no_second_island(spark):
     """Of equal intervals the order is open; none of them may be dealt to the island before."""
     rows = spark.createDataFrame([("c", 1, 3), ("c", 9, 10), ("c", 9, 10), ("c", 11, 12), ("d", 9, 10), ("d", 9, 10)], "contig string, start long, end long")
     assert sorted(map(tuple, signals.merged_intervals(rows, ["contig"]).collect())) == [("c", 1, 3), ("c", 9, 12), ("d", 9, 10)]
+
+
+def test_crowded_spans_meet_by_blocks(spark):
+    spans = [(i, 1000 * (i % 3) + i % 11, 1000 * (i % 3) + 200 + i % 17) for i in range(90)]
+    found = evidence.overlapping(spark.createDataFrame(spans, "k long, a long, b long"), "k", "a", "b", 0.8, block=8)
+    ratio = lambda x, y: (min(x[2], y[2]) - max(x[1], y[1])) / (max(x[2], y[2]) - min(x[1], y[1]))
+    want = sorted((x[0], y[0], ratio(x, y)) for x in spans for y in spans if x[0] < y[0] and ratio(x, y) >= 0.8)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
