@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from comparing import differences, duck
-from midden.operators import evidence, signals
+from midden.operators import evidence, graph, overlaps, signals
 from midden.plans import slate
 
 
@@ -58,3 +58,34 @@ def test_crowded_spans_meet_by_blocks(spark):
     ratio = lambda x, y: (min(x[2], y[2]) - max(x[1], y[1])) / (max(x[2], y[2]) - min(x[1], y[1]))
     want = sorted((x[0], y[0], ratio(x, y)) for x in spans for y in spans if x[0] < y[0] and ratio(x, y) >= 0.8)
     assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_pair_of_a_bin_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "UNIT", 3)
+    monkeypatch.setattr(graph, "UNITS", 2)
+    rows = [(run, c, None if (c + run) % 13 == 0 else c % (3 + run) if c % 5 else 0) for run in range(3) for c in range(40) if (c * 7 + run) % 11] + [(0, 4, 1)]
+    got = graph.cobinned(spark.createDataFrame(rows, "run int, contig long, bin int"))
+    want = {}
+    for r, c, b in rows:
+        for s, d, e in rows:
+            if r == s and b is not None and b == e and c < d:
+                want[c, d] = want.get((c, d), 0) + 1
+    runs = {c: len({r for r, d, _ in rows if d == c}) for _, c, _ in rows}
+    assert sorted(map(tuple, got.collect())) == sorted((i, j, n, n / min(runs[i], runs[j]), min(runs[i], runs[j])) for (i, j), n in want.items())
+    # Above the pairs there is nothing to shuffle or to add up.
+    assert "Exchange" not in planned(got)[: planned(got).index("Generate")]
+
+
+def test_sets_meet_their_asks_in_place(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "HELD", 7)
+    sets = [(i, sorted({(i * j) % 23 for j in range(i % 9)} | {i % 4})) for i in range(50)]
+    rows = spark.createDataFrame(sets, "id long, codes array<int>")
+    want = sorted((a, b, len(set(x) & set(y)), len(x), len(y)) for a, x in sets if a % 10 == 0 for b, y in sets if a != b and set(x) & set(y))
+    for block in (1 << 20, 5):
+        got = overlaps.with_asks(rows, F.col("id") % 10 == 0, block)
+        assert sorted(map(tuple, got.collect())) == want and "Exchange" not in planned(got)
+    assert overlaps.with_asks(rows, F.col("id") < 0).count() == 0
