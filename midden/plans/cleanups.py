@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers
 from ..functions import sequence as sq
-from ..operators import cleanup, evidence
+from ..operators import cleanup
+from .sequences import odds
 from .slate import DNA, dna, query, r6, read
 
 ROWS = "v AS (SELECT o_custkey % 40 AS bin, o_orderkey AS contig, {x} AS x FROM orders)"
@@ -34,9 +35,7 @@ XY = f"{DNA}, t AS (SELECT doc_id, s[i:i + 1] AS xy, count(*) AS n FROM (SELECT
 @query(f"""WITH {XY}, g AS (SELECT bin, count(DISTINCT contig) AS n FROM r GROUP BY 1), c AS (SELECT bin, xy, sum(rho) / any_value(n) AS mean FROM r JOIN g USING (bin) GROUP BY ALL), q AS (SELECT DISTINCT bin, contig FROM r),
 v AS (SELECT q.bin, q.contig, round(sum(abs(coalesce(rho, 0) - mean)) / 16, 9) AS x FROM q JOIN c USING (bin) LEFT JOIN r ON r.bin = q.bin AND r.contig = q.contig AND r.xy = c.xy GROUP BY ALL), {_deviating(2.0, 20, 0.4, '(x - median)')}""")
 def karlin_outliers(spark, sf):
-    names = F.array(*(F.lit(a + b) for a in "ACGT" for b in "ACGT"))
-    n = dna(spark, sf).select("doc_id", F.explode(F.arrays_zip(names.alias("xy"), kmers.of_counts(F.col("s"), 2, canonical=False).alias("n"))).alias("x")).where("x.n > 0").select("doc_id", "x.xy", "x.n")
-    rho = evidence.rho(n, ["doc_id"]).select((F.col("doc_id") % 8).alias("bin"), F.col("doc_id").alias("contig"), "xy", "rho")
+    rho = odds(spark, sf).select((F.col("doc_id") % 8).alias("bin"), F.col("doc_id").alias("contig"), "xy", "rho")
     return cleanup.karlin_outliers(rho, ["bin"], "contig", 2.0, 20, 0.4).select("bin", "contig", r6(F.col("distance")).alias("value"), F.round("z", 5).alias("z"))
 
 
