@@ -62,9 +62,10 @@ def fitted_centres(rows: DataFrame, cells: int, n: int, rounds: int = 8) -> np.n
     """Means by Lloyd's rounds on at most SAMPLE vectors a cell of the n rows (id, v), those drawn by a hash of the id."""
     wanted = SAMPLE * cells
     drawn = rows.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(max(n, 1))) < 2 * wanted).orderBy("h", "id").limit(wanted)
-    x = np.array([r["v"] for r in drawn.select("v").collect()], np.float64)  # bounded by SAMPLE * cells
-    if not len(x):
+    table = drawn.select("v").toArrow()  # bounded by SAMPLE * cells, 8 bytes a component
+    if not table.num_rows:
         return np.empty((0, 0))
+    x = _matrix(table.column("v").combine_chunks())
     centres = np.unique(x, axis=0)
     centres = centres[np.random.default_rng(1).permutation(len(centres))[:cells]]
     for _ in range(rounds):
@@ -161,7 +162,6 @@ def _missed(index: Index, asks: DataFrame, found: DataFrame, probes: int) -> Dat
     radius = np.full(len(centres), -np.inf)
     radius[[r["cell"] for r in far]] = [r["r"] for r in far]
     bound = found.groupBy("i").agg(F.when(F.count(F.lit(1)) >= m, F.max("d")).alias("bound"))
-    gaps = np.sqrt(_to_centres(centres, centres))
 
     def choose(x: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
         limit = np.sqrt(np.where(np.isnan(b := batch.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)), np.inf, b))
@@ -171,7 +171,8 @@ def _missed(index: Index, asks: DataFrame, found: DataFrame, probes: int) -> Dat
             order = np.argsort(d2, axis=1, kind="stable")
             first, rows = order[:, 0], np.arange(len(d2))
             with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.nan_to_num((d2 - d2[rows, first][:, None]) / (2 * gaps[first]), nan=0.0, posinf=0.0)
+                gaps = np.sqrt(_to_centres(centres[first], centres))  # of these rows' centres only: a square of all cells isn't sent
+                plane = np.nan_to_num((d2 - d2[rows, first][:, None]) / (2 * gaps), nan=0.0, posinf=0.0)
             least = np.maximum(np.sqrt(d2) - radius[None], plane)
             slack = 1e-6 * (1.0 + np.sqrt(d2.max(axis=1)))
             open_ = least <= (limit[at : at + 1024] + slack)[:, None]

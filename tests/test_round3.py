@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from comparing import differences, duck
-from midden.operators import evidence, graph, overlaps, signals
-from midden.plans import slate
+from midden.functions import kmers
+from midden.operators import evidence, graph, neighbour_index, overlaps, signals
+from midden.plans import sequences, slate
 
 
 def small_events(spark, tmp_path):
@@ -89,3 +92,32 @@ def test_sets_meet_their_asks_in_place(spark, monkeypatch):
         got = overlaps.with_asks(rows, F.col("id") % 10 == 0, block)
         assert sorted(map(tuple, got.collect())) == want and "Exchange" not in planned(got)
     assert overlaps.with_asks(rows, F.col("id") < 0).count() == 0
+
+
+def test_a_search_sends_no_square_of_cells(spark, monkeypatch):
+    points = np.random.default_rng(3).normal(size=(500, 4))
+    index = neighbour_index.build(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>"), 3, cells=300)
+    sent, looks = [], neighbour_index._looks
+    monkeypatch.setattr(neighbour_index, "_looks", lambda asks, choose, columns: sent.append(len(cloudpickle.dumps(choose))) or looks(asks, choose, columns))
+    found = neighbour_index.neighbours(index, 3, 2, exact=True)
+    assert max(sent) < 200_000  # 300 * 300 distances have 720,000 bytes
+    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert {(r["i"], r["rank"]): r["j"] for r in found.collect()} == {(i, k + 1): int(j) for i, row in enumerate(d.argsort(axis=1)) for k, j in enumerate(row[:3])}
+
+
+def test_minhash_mixes_all_seeds_at_once(monkeypatch):
+    codes = np.unique(np.random.default_rng(5).integers(0, 1 << 42, 2500))
+    want = [min(int(kmers.mixed(np.array([c], np.uint64), 0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)[0]) for c in codes.tolist()) for i in (0, 1, 127)]
+    calls, mixed = [], kmers.mixed
+    monkeypatch.setattr(kmers, "mixed", lambda h, seed: calls.append(len(h)) or mixed(h, seed))
+    got = np.array(kmers.minhash_of(codes), np.int64).view(np.uint64)
+    assert [int(got[i]) for i in (0, 1, 127)] == want and len(calls) == 3
+    assert kmers.minhash_of(codes[:0]) == [-1] * 128
+
+
+def test_odds_of_dinucleotides_shuffle_nothing(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sequences.dinucleotide_odds(spark, sf)
+    assert differences(rows, duck(sf), slate.ORACLES["dinucleotide_odds"]) == []
+    assert "Exchange" not in planned(rows)
