@@ -16,7 +16,7 @@ def within_share(rows: DataFrame, out: DataFrame, by: list[str], key: str, least
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least)
     gone = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_gone"))
     limit = F.col("_gone") < most * F.col("_rows") if strict else F.col("_gone") <= most * F.col("_rows")
-    return out.join(sizes.join(gone, by).where(limit).select(*by), by, "left_semi")
+    return out.join(evidence.few(sizes.join(gone, by).where(limit).select(*by)), by, "left_semi")
 
 
 def deviating(rows: DataFrame, by: list[str], value: str, limit: float, both_sides: bool, floor: float | None = 0.001) -> DataFrame:
@@ -51,9 +51,10 @@ def composition_outliers(shares: DataFrame, by: list[str], key: str, length: str
     contigs = shares.select(*by, key, length).distinct()
     total = contigs.groupBy(*by).agg(F.sum(length).alias("total"))
     mean = shares.groupBy(*by, "kmer").agg(F.sum(F.col("share") * F.col(length)).alias("sum")).join(total, by).select(*by, "kmer", (F.col("sum") / F.col("total")).alias("mean"))
+    mean = evidence.few(mean)
     whole = mean.groupBy(*by).agg(F.sum(F.col("mean") * F.col("mean")).alias("whole"))
     seen = shares.join(mean, [*by, "kmer"]).groupBy(*by, key).agg(F.sum(F.pow(F.col("share") - F.col("mean"), 2) - F.pow("mean", 2)).alias("moved"))
-    rows = seen.join(whole, by).select(*by, key, F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("whole") + F.col("moved"))), 9).alias("distance"))
+    rows = seen.join(evidence.few(whole), by).select(*by, key, F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("whole") + F.col("moved"))), 9).alias("distance"))
     return within_share(rows, deviating(rows, by, "distance", limit, False, None), by, key, least, 1 - keep)
 
 
@@ -69,10 +70,10 @@ def undamaged_contigs(rows: DataFrame, by: list[str], key: str, rate: str, least
     """Contigs with hardly any damage in bins whose median positive rate, of five or more, is that of ancient ones; at least `least` contigs stay."""
     seen = rows.where(F.col(rate) > 0)
     enough = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select(*by)
-    ancient = evidence.upper_median(seen, by, rate, "median").join(enough, by, "left_semi").where(F.col("median") >= least_bin)
+    ancient = evidence.few(evidence.upper_median(seen, by, rate, "median").join(enough, by, "left_semi").where(F.col("median") >= least_bin))
     out = rows.join(ancient, by).where((F.col(rate) >= 0) & ((F.col(rate) < least_contig) | (F.col(rate) < ratio * F.col("median"))))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")).join(out.groupBy(*by).agg(F.count(F.lit(1)).alias("_out")), by).where(F.col("_all") - F.col("_out") >= least).select(*by)
-    return within_share(rows, out.join(sizes, by, "left_semi"), by, key, least, most)
+    return within_share(rows, out.join(evidence.few(sizes), by, "left_semi"), by, key, least, most)
 
 
 def damage_compatibility(pairs: DataFrame, n0: float = 60.0, tau2: float = 1e-3, strength: float = 0.5, least: float = 0.5, least_neff: float = 20.0) -> Column:
