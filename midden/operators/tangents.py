@@ -66,7 +66,7 @@ def off_plane(vectors: DataFrame, most: int = 10, bin_: str = "bin", contig: str
     return each.mapInArrow(run, f"`{bin_}` {kind}, `{contig}` long, off double")
 
 
-def evict_off_plane(hits: DataFrame, sets: DataFrame, vectors: DataFrame, over: float = 5.5, clean: float = 5.0, most: int = 10) -> DataFrame:
+def evict_off_plane(hits: DataFrame, sets: DataFrame, vectors: DataFrame, over: float = 5.5, clean: float = 5.0, most: int = 10, tasks: int | None = None) -> DataFrame:
     """(bin, contig): of every contaminated bin the contigs farthest off their neighbours' plane, sole carriers passed over, up to the first that cleans it; a third of the bin at most.
 
     hits: (bin, contig, marker); sets: (set_id, marker); vectors: (bin, contig, v). What cleans it also costs at most five points of completeness.
@@ -76,4 +76,4 @@ def evict_off_plane(hits: DataFrame, sets: DataFrame, vectors: DataFrame, over:
     limit = off.groupBy("bin").agg(F.floor(F.count(F.lit(1)) / 3).alias("most"))
     rows = off.join(quality.sole_carriers(hits), ["bin", "contig"], "left_anti")
     order = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy(F.desc("off"), "contig"))).join(limit, "bin").where(F.col("rank") <= F.col("most"))
-    return evicted(order.select("bin", "contig", "rank"), hits, sets, now, False, clean)
+    return evicted(order.select("bin", "contig", "rank"), hits, sets, now, False, clean, tasks=tasks)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from comparing import differences, duck
 from midden.functions import kmers
-from midden.operators import evidence, graph, neighbour_index, overlaps, signals
-from midden.plans import sequences, slate
+from midden.operators import evidence, graph, neighbour_index, overlaps, repair, signals
+from midden.plans import repairs, sequences, slate
 
 
 def small_events(spark, tmp_path):
@@ -123,6 +123,31 @@ def test_odds_of_dinucleotides_shuffle_nothing(spark):
     assert "Exchange" not in planned(rows)
 
 
+def test_links_come_once_with_their_labels(spark):
+    """No pair is shuffled to find repeated ones or to look up its ends' bins."""
+    sf = "/root/testdata/sf0.001"
+    links = repairs._graph(spark, sf)[2]
+    sql = f"WITH {repairs.LINKS} SELECT u, v, a.label AS lu, b.label AS lv, w FROM s JOIN lab a ON a.node = u JOIN lab b ON b.node = v"
+    assert differences(links, duck(sf), sql) == [] and links.count() > 100
+    assert "Join" not in planned(repair._ends(links, None)).split("Generate")[0]
+
+
+def test_prefixes_are_dealt_by_bin_once(spark):
+    hits = spark.createDataFrame([(b, b * 10 + i % 4, (i * 3 + b) % 5) for b in range(3) for i in range(9)], "bin long, contig long, marker long")
+    order = spark.createDataFrame([(b, b * 10 + c, 1 + (c + b) % 3) for b in range(4) for c in range(3)], "bin long, contig long, rank int")
+    sets = spark.createDataFrame([(m, m % 2) for m in range(6)], "marker long, set_id long")
+    got = repair.prefix_quality(hits, sets, order, tasks=3)
+    assert planned(got).count("Exchange hashpartitioning(bin") == 1
+    ranks = {(r["bin"], r["contig"]): r["rank"] for r in order.collect()}
+    want = []
+    for b in range(3):
+        for k in range(1, 4):
+            left = [h["marker"] for h in hits.collect() if h["bin"] == b and ranks.get((b, h["contig"]), 9) > k]
+            share = lambda of: round(100 * sum(of) / 3 / 2, 6)
+            want.append((b, k, share([1] * len(set(left))), share([1] * (len(left) - len(set(left))))))
+    assert sorted((r["bin"], r["rank"], round(r["completeness"], 6), round(r["contamination"], 6)) for r in got.collect()) == want
+
+
 def test_medians_order_a_part_of_a_group(spark):
     rng = np.random.default_rng(2)
     groups = {"a": rng.normal(size=41), "b": np.array([0.0, -0.0, 0.0, 5e-324, -1e300]), "c": np.array([np.inf, np.nan, np.nan, 1.0]), "d": np.array([-np.inf, 3.0]), "e": np.repeat([20.0, 20.01, 20.02], [3, 9, 2])}
