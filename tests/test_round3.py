@@ -123,6 +123,27 @@ def test_odds_of_dinucleotides_shuffle_nothing(spark):
     assert "Exchange" not in planned(rows)
 
 
+def test_no_pair_of_shared_keys_is_shuffled(spark):
+    """A pair is weighed where it meets, once, however many keys it shares."""
+    rows = sorted({(c, (c * k) % 17) for c in range(30) for k in range(1, 5)})
+    carriers = {k: sorted(c for c, o in rows if o == k) for _, k in rows}
+    want = {}
+    for k, found in carriers.items():
+        for i in found if 2 <= len(found) <= 8 else ():
+            for j in (x for x in found if x > i):
+                n, w = want.get((i, j), (0, 0.0))
+                want[i, j] = (n + 1, w + float(np.log(31 / (len(found) + 1))))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.idf_pairs(spark.createDataFrame(rows, "contig long, key long"), 8)
+        assert "Exchange hashpartitioning" not in planned(got)[: planned(got).index("SortMergeJoin")]
+        assert {(r["i"], r["j"]): (r["shared"], round(r["weight"], 9)) for r in got.collect()} == {p: (n, round(w, 9)) for p, (n, w) in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert max(n for n, _ in want.values()) > 1
+
+
 def test_links_come_once_with_their_labels(spark):
     """No pair is shuffled to find repeated ones or to look up its ends' bins."""
     sf = "/root/testdata/sf0.001"
