@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from comparing import differences, duck
 from midden.functions import kmers
-from midden.operators import evidence, graph, neighbour_index, overlaps, repair, signals
+from midden.operators import evidence, graph, knn, neighbour_index, overlaps, repair, signals
 from midden.plans import repairs, sequences, slate
 
 
@@ -176,3 +177,25 @@ def test_medians_order_a_part_of_a_group(spark):
     got = evidence.upper_median(rows, ["g"], "x", "m")
     assert {r["g"]: str(r["m"] + 0.0) for r in got.collect()} == {g: str(np.sort(v)[len(v) // 2] + 0.0) for g, v in groups.items()}
     assert ", x#" not in planned(got).split("Window")[1].split("\n")[0].split("windowspecdefinition")[0] and "part" in planned(got).split("Window ")[1].split("\n")[0]
+
+
+def test_a_block_is_searched_by_minima_of_groups(monkeypatch):
+    """No ask orders its distances to a whole block; copies, ties and the ask's own row included."""
+    rng = np.random.default_rng(4)
+    base = np.round(rng.normal(size=(1500, 3)), 1)
+    base[1200:] = base[:300]
+    ids, asks = np.arange(1500), np.r_[np.arange(0, 1500, 7), 5000, 5001]
+    v = np.concatenate([base, base[np.minimum(asks, 1499)]])
+    table = pa.table({"id": np.r_[ids, asks], "v": pa.array(v.tolist()), "ask": np.r_[np.zeros(1500, bool), np.ones(len(asks), bool)]})
+    widths, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **o: widths.append(x.shape[1]) or partition(x, *a, **o))
+    for k, others in ((10, True), (40, False)):
+        got = knn.closest(table, k, others)
+        want = []
+        for i, x in zip(asks.tolist(), base[np.minimum(asks, 1499)], strict=True):
+            d = ((x - base) ** 2).sum(axis=1)
+            order = [j for j in np.lexsort((ids, d)).tolist() if not others or j != i][:k]
+            want += [(i, j, round(float(d[j]), 9)) for j in order]
+        assert sorted((r["i"], r["j"], round(r["d"], 9)) for r in got.to_pylist()) == sorted(want)
+    assert widths and max(widths) < 1500
+    assert knn.closest(table.slice(0, 1500), 3).num_rows == 0
