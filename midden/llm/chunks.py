@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 # What str.isspace() adds.
 ODD = "\x1c\x1d\x1e\x1f"
+PUNCTUATION = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 
 _ANY = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _IRREGULAR = f"^[ \n]|[ \n]$|[ \n][ \n]|[{''.join(c for c in WHITE + ODD if c not in ' \n')}]"
@@ -28,16 +29,28 @@ def _whole(texts: pa.Array) -> pa.Array:
     return texts.cast(pa.string()).take(pa.array(np.arange(len(texts))))
 
 
+def _listed(column: pa.Array) -> list[str]:
+    """As to_pylist, without a scalar for each string."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Chunked:
-    """names: distinct chunks; index: for each chunk in order its name; ends: for each text the end of its chunks."""
+    """names: distinct chunks; index: for each chunk in order its name; ends: for each text the end of its chunks.
 
-    def __init__(self, names: list[str], index: np.ndarray, ends: np.ndarray):
-        self.names, self.index, self.ends = names, index, ends
+    With within, chunks are themselves cut, the texts of within; names are its names.
+    """
+
+    def __init__(self, names: list[str], index: np.ndarray, ends: np.ndarray, within: Chunked | None = None):
+        self.names, self.index, self.ends, self.within = names, index, ends, within
 
     def gather(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and for each text the end of its own; values has the 32-bit ids of each name."""
-        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
-        pool = np.frombuffer(b"".join(values), np.uint32)
+        if self.within is None:
+            sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
+            pool = np.frombuffer(b"".join(values), np.uint32)
+        else:
+            pool, stops = self.within.gather(values)
+            sizes = np.diff(stops, prepend=0).astype(np.int32)
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         own = sizes[self.index]
         total = np.cumsum(own, dtype=np.int32)
@@ -56,12 +69,12 @@ def spaced(texts: pa.Array) -> Chunked:
     offsets = pieces.offsets.to_numpy().astype(np.int64)
     offsets = offsets - (offsets[0] if len(offsets) else 0)
     coded = flat.dictionary_encode()
-    names = [p if p[:1] == "\n" else " " + p for p in coded.dictionary.to_pylist()]
+    names = [p if p[:1] == "\n" else " " + p for p in _listed(coded.dictionary)]
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if len(even):  # a text's first chunk has nothing before it
         first = flat.take(pa.array(offsets[:-1])).dictionary_encode()
         index[offsets[:-1]] = first.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(names)
-        names += first.dictionary.to_pylist()
+        names += _listed(first.dictionary)
     sizes = np.zeros(len(texts), np.int64)
     sizes[~odd] = np.diff(offsets)
     if not odd.any():
@@ -77,6 +90,25 @@ def spaced(texts: pa.Array) -> Chunked:
     return Chunked(names, out, ends)
 
 
+def ended(cut: Chunked) -> Chunked:
+    """cut with its chunks parted where a letter or digit precedes ASCII punctuation up to the end.
+
+    Byte-level pre-tokenizers part them there too, so both sides have the ids that they have alone, and endings don't make other chunks.
+    """
+    whole = pa.array(cut.names, pa.string())
+    core = pc.utf8_rtrim(whole, PUNCTUATION)
+    parted = pc.and_(pc.not_equal(core, whole), pc.match_substring_regex(core, "[A-Za-z0-9À-ÖØ-öø-ÿ]$"))
+    coded = pc.if_else(parted, core, whole).dictionary_encode()
+    names, at = _listed(coded.dictionary), parted.to_numpy(zero_copy_only=False)
+    known: dict[str, int] = {}
+    tails = [known.setdefault(n[len(c) :], len(known) + len(names)) for n, c in zip(_listed(whole.filter(parted)), _listed(core.filter(parted)), strict=True)]
+    ends = np.cumsum(1 + at)
+    index = np.empty(len(whole) + len(tails), np.int64)
+    index[ends - 1 - at] = coded.indices.to_numpy(zero_copy_only=False)
+    index[ends[at] - 1] = tails
+    return Chunked(names + list(known), cut.index, cut.ends, Chunked(names + list(known), index, ends))
+
+
 def words(texts: pa.Array, lower: bool = True) -> Chunked:
     """Chunks between ASCII white space, ASCII letters in lower case if lower; some chunks may be empty."""
     texts = _whole(texts)

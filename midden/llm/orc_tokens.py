@@ -31,9 +31,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, word_ends:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            rows = list(tokens.each(batch.column("text"), tokenizer, word_ends, end_id))
-            sizes = np.fromiter(map(len, rows), np.int32, len(rows))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+            flat, ends = tokens.encoder(tokenizer, word_ends).encode(batch.column("text"))
+            offsets = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
+            sizes = np.diff(offsets).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.insert(flat, ends, end_id).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
 
     ordered = texts_of(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")

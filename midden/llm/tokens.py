@@ -1,7 +1,8 @@
 """Ids of whole texts by a tokenizers file, with the library called once for each new chunk.
 
 A chunk is what stands between white space (see chunks). Chunks that end in a comma or full
-stop behind an ASCII letter are looked up without it, as both pre-tokenizers cut there. A
+stop behind an ASCII letter are looked up without it, as both pre-tokenizers cut there; for
+byte-level vocabularies so is all punctuation at the end. A
 chunk of Latin letters only is one pre-token, so it goes straight to the library's BPE
 model; all others go through the library's whole pipeline. A text with the string of an
 added token goes whole to the library, which gives it that token's id.
@@ -20,6 +21,8 @@ from . import chunks
 from .common import single_threaded
 
 ENDINGS = ",."
+#: Chunks that byte-level vocabularies keep in each of the cache's generations; words with their case and space are many.
+BYTE_LEVEL_CHUNKS = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,7 +42,7 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.word_ends, self.letters = word_ends, byte_letters()
-        self.cut = chunks.words if word_ends else chunks.spaced
+        self.cut = chunks.words if word_ends else lambda texts: chunks.ended(chunks.spaced(texts))
         self.cache = chunks.Cache(self._make, limit)
         self.endings = {c: self._plain([c])[0] for c in ENDINGS}
         self.newline = self._plain(["\n"])[0]
@@ -104,7 +107,7 @@ _known: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, word_ends: bool) -> Encoder:
     """One for each Python worker."""
     if (path, word_ends) not in _known:
-        _known[path, word_ends] = Encoder(path, word_ends)
+        _known[path, word_ends] = Encoder(path, word_ends, 100_000 if word_ends else BYTE_LEVEL_CHUNKS)
     return _known[path, word_ends]
 
 

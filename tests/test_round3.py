@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from comparing import differences, duck
 from midden.functions import kmers
+from midden.llm import tokens
 from midden.operators import evidence, graph, knn, neighbour_index, overlaps, repair, signals
 from midden.plans import repairs, sequences, slate
 
@@ -200,3 +201,21 @@ def test_a_block_is_searched_by_minima_of_groups(monkeypatch):
         assert sorted((r["i"], r["j"], round(r["d"], 9)) for r in got.to_pylist()) == sorted(want)
     assert widths and max(widths) < 1500
     assert knn.closest(table.slice(0, 1500), 3).num_rows == 0
+
+
+def test_endings_make_no_other_chunks():
+    """Words with and without punctuation behind them are tokenized once, and ids are the library's on whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = ["Wort", "caña", "naïve", "x9", "don't", "it's", "3.5", "a,b", "Ωμ", "日本", "über-all", "'", "''s", "é"]
+    tails = ["", ",", ".", "!!", "&&&", "$$$", "'", "'s", "''", "...\"", ")", "…", ",1", "́,", "_"]
+    texts = [" ".join(w + t for w in words) for t in tails] + ["\n".join(w + t for t in tails) for w in words] + ["", "!", " ", "a!\n\nb?  c", "end."]
+    encoder = tokens.Encoder(path, False)
+    made, make = [], encoder.cache.make
+    encoder.cache.make = lambda names: made.extend(names) or make(names)
+    flat, ends = encoder.encode(pa.array(texts))
+    library = Tokenizer.from_file(path)
+    assert [p.tolist() for p in np.split(flat, ends[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert " caña" in made and not any(n.startswith(" caña") and n[5:] in (",", ".", "!!", "&&&", "$$$") for n in made)
