@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from comparing import differences, duck
 from midden.functions import kmers
 from midden.llm import tokens
-from midden.operators import evidence, graph, knn, neighbour_index, overlaps, repair, signals
+from midden.operators import evidence, graph, knn, neighbour_index, overlaps, repair, signals, tangents
 from midden.plans import repairs, sequences, slate
 
 
@@ -219,3 +219,26 @@ def test_endings_make_no_other_chunks():
     library = Tokenizer.from_file(path)
     assert [p.tolist() for p in np.split(flat, ends[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert " caña" in made and not any(n.startswith(" caña") and n[5:] in (",", ".", "!!", "&&&", "$$$") for n in made)
+
+
+def test_bins_are_dealt_once_to_look_for_planes(spark, monkeypatch):
+    """Small bins many at once, middle ones one by one, crowded ones by blocks; batches end inside bins."""
+    rng = np.random.default_rng(8)
+    rows = [(b, 1000 * b + i, v.tolist()) for b, n in enumerate((7, 4, 9, 30, 5, 61, 12, 9)) for i, v in enumerate(np.round(rng.normal(size=(n, 3)), 1))]
+    rows += [(None, 9000 + i, [0.0, 1.0, float(i)]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "bin int, contig long, v array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    found = []
+    try:
+        for whole, small in ((4096, 128), (4096, 3), (20, 8), (0, 0)):
+            monkeypatch.setattr(tangents, "BIN_ROWS", whole)
+            monkeypatch.setattr(tangents, "SMALL_BIN", small)
+            out = tangents.off_plane(frame, 4)
+            if whole == 4096:
+                assert planned(out).count("Exchange") == 1 and "Join" not in planned(out)
+            found.append({(r["bin"], r["contig"]): round(r["off"], 9) for r in out.collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(found[0]) == 133
+    assert found[1:] == found[:1] * 3
