@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evidence
+from .iterate import cut, forget
 
 
 def within_share(rows: DataFrame, out: DataFrame, by: list[str], key: str, least: int, most: float, strict: bool = False) -> DataFrame:
@@ -46,15 +47,20 @@ def karlin_outliers(rho: DataFrame, by: list[str], key: str, limit: float = 3.5,
     return within_share(rows, deviating(rows, by, "distance", limit, False), by, key, least, most)
 
 
-def composition_outliers(shares: DataFrame, by: list[str], key: str, length: str = "length", limit: float = 2.0, least: int = 10, keep: float = 0.8) -> DataFrame:
-    """(by, key, distance, z): contigs far from the length-weighted mean of their bin's k-mer shares; shares: (by, key, length, kmer, share), missing ones 0."""
-    contigs = shares.select(*by, key, length).distinct()
+def composition_outliers(contigs: DataFrame, by: list[str], key: str, length: str = "length", shares: str = "shares", limit: float = 2.0, least: int = 10, keep: float = 0.8) -> DataFrame:
+    """(by, key, distance, z): contigs far from the length-weighted mean of their bin's k-mer shares; contigs: (by, key, length, shares), an array as long for each.
+
+    A contig stays one row: only a bin's sums are rows a k-mer, and no contig is shuffled for its distance. Distances are written once.
+    """
+    contigs = cut(contigs)
     total = contigs.groupBy(*by).agg(F.sum(length).alias("total"))
-    mean = shares.groupBy(*by, "kmer").agg(F.sum(F.col("share") * F.col(length)).alias("sum")).join(total, by).select(*by, "kmer", (F.col("sum") / F.col("total")).alias("mean"))
-    mean = evidence.few(mean)
-    whole = mean.groupBy(*by).agg(F.sum(F.col("mean") * F.col("mean")).alias("whole"))
-    seen = shares.join(mean, [*by, "kmer"]).groupBy(*by, key).agg(F.sum(F.pow(F.col("share") - F.col("mean"), 2) - F.pow("mean", 2)).alias("moved"))
-    rows = seen.join(evidence.few(whole), by).select(*by, key, F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("whole") + F.col("moved"))), 9).alias("distance"))
+    sums = contigs.select(*by, length, F.posexplode(shares).alias("at", "share")).groupBy(*by, "at").agg(F.sum(F.col("share") * F.col(length)).alias("sum"))
+    each = sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "sum"))), lambda s: s["sum"]).alias("sums"))  # a row a k-mer
+    mean = each.join(total, by).select(*by, F.transform("sums", lambda s: s / F.col("total")).alias("mean"))
+    gaps = F.zip_with(shares, "mean", lambda x, m: (x - m) * (x - m))
+    distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x))
+    rows = cut(contigs.join(evidence.few(mean), by).select(*by, key, F.round(distance, 9).alias("distance")))
+    forget(contigs)
     return within_share(rows, deviating(rows, by, "distance", limit, False, None), by, key, least, 1 - keep)
 
 

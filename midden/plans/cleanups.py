@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kmers
-from ..functions import sequence as sq
 from ..operators import cleanup
 from .sequences import odds
 from .slate import DNA, dna, query, r6, read
@@ -45,10 +44,8 @@ TNF = f"{DNA}, t AS (SELECT doc_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'
 @query(f"""WITH {TNF}, l AS (SELECT bin, sum(length) AS total FROM (SELECT DISTINCT bin, contig, length FROM r) GROUP BY 1), c AS (SELECT bin, kmer, sum(share * length) / any_value(total) AS mean FROM r JOIN l USING (bin) GROUP BY ALL), q AS (SELECT DISTINCT bin, contig FROM r),
 v AS (SELECT q.bin, q.contig, round(sqrt(sum(pow(coalesce(share, 0) - mean, 2))), 9) AS x FROM q JOIN c USING (bin) LEFT JOIN r ON r.bin = q.bin AND r.contig = q.contig AND r.kmer = c.kmer GROUP BY ALL), {_deviating(2.0, 10, 0.4, '(x - median)', '(1.4826 * mad)').replace('WHERE z > 2.0', 'WHERE s >= 0.001 AND z > 2.0')}""")
 def composition_outliers(spark, sf):
-    names = F.array(*map(F.lit, sq.canonical_kmers(4)))
     rows = dna(spark, sf).select("doc_id", F.length("s").alias("length"), kmers.of_counts(F.col("s"), 4).alias("n")).withColumn("total", F.aggregate("n", F.lit(0.0), lambda a, x: a + x)).where("total > 0")
-    shares = rows.select((F.col("doc_id") % 8).alias("bin"), F.col("doc_id").alias("contig"), "length", "total", F.explode(F.arrays_zip(names.alias("kmer"), F.col("n").alias("n"))).alias("x")).where("x.n > 0")
-    shares = shares.select("bin", "contig", "length", "x.kmer", (F.col("x.n") / F.col("total")).alias("share"))
+    shares = rows.select((F.col("doc_id") % 8).alias("bin"), F.col("doc_id").alias("contig"), "length", F.transform("n", lambda x: x / F.col("total")).alias("shares"))
     return cleanup.composition_outliers(shares, ["bin"], "contig", keep=0.6).select("bin", "contig", F.round("distance", 6).alias("value"), F.round("z", 5).alias("z"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from comparing import differences, duck
 from midden.functions import kmers
 from midden.llm import tokens
-from midden.operators import evidence, graph, knn, neighbour_index, overlaps, repair, signals, tangents
-from midden.plans import repairs, sequences, slate
+from midden.operators import cleanup, evidence, graph, knn, neighbour_index, overlaps, repair, signals, tangents
+from midden.plans import cleanups, repairs, sequences, slate
 
 
 def small_events(spark, tmp_path):
@@ -242,3 +242,12 @@ def test_bins_are_dealt_once_to_look_for_planes(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert len(found[0]) == 133
     assert found[1:] == found[:1] * 3
+
+
+def test_a_contig_stays_one_row_for_its_composition(spark, monkeypatch):
+    sf, seen, deviating = "/root/testdata/sf0.01", [], cleanup.deviating
+    monkeypatch.setattr(cleanup, "deviating", lambda rows, *a: seen.append(rows) or deviating(rows, *a))
+    rows = cleanups.composition_outliers(spark, sf)
+    assert differences(rows, duck(sf), slate.ORACLES["composition_outliers"]) == [] and rows.count() > 0
+    # The distances, a row a contig, are read where they were written; no sequence is gone through again.
+    assert "ArrowEvalPython" not in planned(rows) and seen[0].columns == ["bin", "contig", "distance"]
