@@ -251,3 +251,15 @@ def test_a_contig_stays_one_row_for_its_composition(spark, monkeypatch):
     assert differences(rows, duck(sf), slate.ORACLES["composition_outliers"]) == [] and rows.count() > 0
     # The distances, a row a contig, are read where they were written; no sequence is gone through again.
     assert "ArrowEvalPython" not in planned(rows) and seen[0].columns == ["bin", "contig", "distance"]
+
+
+def test_many_blocks_become_fewer(spark, monkeypatch):
+    """A row is sent once a block, so large tables have larger ones; the neighbours are the same."""
+    for name, rows in (("BLOCK_ROWS", 10), ("LARGE_BLOCK_ROWS", 40), ("LEAST_BLOCKS", 3)):
+        monkeypatch.setattr(knn, name, rows)
+    x = np.random.default_rng(6).normal(size=(130, 3))
+    found = knn.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 4)
+    assert ", 4) as int) AS block" in planned(found)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert {(r["i"], r["rank"]): r["j"] for r in found.collect()} == {(i, k + 1): int(j) for i, row in enumerate(d.argsort(axis=1)) for k, j in enumerate(row[:4])}
