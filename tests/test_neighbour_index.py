@@ -90,3 +90,11 @@ def test_odd_rows(spark):
     assert neighbour_index.neighbours(none, 5, 1).count() == 0
     with pytest.raises(ValueError):
         neighbour_index.neighbours(index, 6, 1)
+
+
+def test_a_query_comes_once_to_cells_that_are_searched_together(spark, clouds):
+    x, ids = clouds
+    index = neighbour_index.build(frame(spark, x, ids), 7, cells=12)
+    looks = neighbour_index._first(index, index.heads, 12)
+    assert looks.count() == index.heads.count()  # not a row for each of twelve cells
+    assert neighbour_index.within_groups(index, looks, 3).count() == 3 * index.heads.count()
