@@ -35,15 +35,23 @@ def cpg_outliers(rows: DataFrame, by: list[str], key: str, cpg: str, limit: floa
     return within_share(rows, deviating(rows, by, cpg, limit, True), by, key, least, most)
 
 
-def karlin_outliers(rho: DataFrame, by: list[str], key: str, limit: float = 3.5, least: int = 20, most: float = 0.15) -> DataFrame:
-    """(by, key, distance, z): contigs far from their bin's mean dinucleotide odds; rho: (by, key, xy, rho), missing ones 0."""
-    contigs = rho.select(*by, key).distinct()
+def _sums(contigs: DataFrame, by: list[str], values: str, weight: Column) -> DataFrame:
+    """(by, sums): the weighted sums of arrays that are as long for each; a row a place is shuffled."""
+    sums = contigs.select(*by, weight.alias("weight"), F.posexplode(values).alias("at", "value")).groupBy(*by, "at").agg(F.sum(F.col("value") * F.col("weight")).alias("sum"))
+    return sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "sum"))), lambda s: s["sum"]).alias("sums"))
+
+
+def karlin_outliers(contigs: DataFrame, by: list[str], key: str, rho: str = "rho", limit: float = 3.5, least: int = 20, most: float = 0.15) -> DataFrame:
+    """(by, key, distance, z): contigs far from their bin's mean dinucleotide odds; contigs: (by, key, rho), an array of 16, missing ones 0.
+
+    A contig stays one row and is read for its odds once; no contig is shuffled for its distance. Distances are written once.
+    """
+    contigs = cut(contigs)
     size = contigs.groupBy(*by).agg(F.count(F.lit(1)).alias("contigs"))
-    mean = rho.groupBy(*by, "xy").agg(F.sum("rho").alias("sum")).join(size, by).select(*by, "xy", (F.col("sum") / F.col("contigs")).alias("mean"))
-    # What a contig lacks adds the mean itself, so its distance starts from the sum of all means.
-    whole = mean.groupBy(*by).agg(F.sum("mean").alias("whole"))
-    seen = rho.join(mean, [*by, "xy"]).groupBy(*by, key).agg(F.sum(F.abs(F.col("rho") - F.col("mean")) - F.col("mean")).alias("moved"))
-    rows = seen.join(whole, by).select(*by, key, F.round((F.col("whole") + F.col("moved")) / 16, 9).alias("distance"))
+    mean = _sums(contigs, by, rho, F.lit(1.0)).join(size, by).select(*by, F.transform("sums", lambda s: s / F.col("contigs")).alias("mean"))
+    distance = F.aggregate(F.zip_with(rho, "mean", lambda x, m: F.abs(x - m)), F.lit(0.0), lambda a, x: a + x) / 16
+    rows = cut(contigs.join(evidence.few(mean), by).select(*by, key, F.round(distance, 9).alias("distance")))
+    forget(contigs)
     return within_share(rows, deviating(rows, by, "distance", limit, False), by, key, least, most)
 
 
@@ -54,9 +62,7 @@ def composition_outliers(contigs: DataFrame, by: list[str], key: str, length: st
     """
     contigs = cut(contigs)
     total = contigs.groupBy(*by).agg(F.sum(length).alias("total"))
-    sums = contigs.select(*by, length, F.posexplode(shares).alias("at", "share")).groupBy(*by, "at").agg(F.sum(F.col("share") * F.col(length)).alias("sum"))
-    each = sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "sum"))), lambda s: s["sum"]).alias("sums"))  # a row a k-mer
-    mean = each.join(total, by).select(*by, F.transform("sums", lambda s: s / F.col("total")).alias("mean"))
+    mean = _sums(contigs, by, shares, F.col(length)).join(total, by).select(*by, F.transform("sums", lambda s: s / F.col("total")).alias("mean"))
     gaps = F.zip_with(shares, "mean", lambda x, m: (x - m) * (x - m))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x))
     rows = cut(contigs.join(evidence.few(mean), by).select(*by, key, F.round(distance, 9).alias("distance")))

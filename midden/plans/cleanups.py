@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers
 from ..operators import cleanup
-from .sequences import odds
+from .sequences import odds_of_each
 from .slate import DNA, dna, query, r6, read
 
 ROWS = "v AS (SELECT o_custkey % 40 AS bin, o_orderkey AS contig, {x} AS x FROM orders)"
@@ -34,8 +34,9 @@ XY = f"{DNA}, t AS (SELECT doc_id, s[i:i + 1] AS xy, count(*) AS n FROM (SELECT
 @query(f"""WITH {XY}, g AS (SELECT bin, count(DISTINCT contig) AS n FROM r GROUP BY 1), c AS (SELECT bin, xy, sum(rho) / any_value(n) AS mean FROM r JOIN g USING (bin) GROUP BY ALL), q AS (SELECT DISTINCT bin, contig FROM r),
 v AS (SELECT q.bin, q.contig, round(sum(abs(coalesce(rho, 0) - mean)) / 16, 9) AS x FROM q JOIN c USING (bin) LEFT JOIN r ON r.bin = q.bin AND r.contig = q.contig AND r.xy = c.xy GROUP BY ALL), {_deviating(2.0, 20, 0.4, '(x - median)')}""")
 def karlin_outliers(spark, sf):
-    rho = odds(spark, sf).select((F.col("doc_id") % 8).alias("bin"), F.col("doc_id").alias("contig"), "xy", "rho")
-    return cleanup.karlin_outliers(rho, ["bin"], "contig", 2.0, 20, 0.4).select("bin", "contig", r6(F.col("distance")).alias("value"), F.round("z", 5).alias("z"))
+    rows = odds_of_each(spark, sf).where(F.exists("rho", lambda x: x.isNotNull()))
+    rho = rows.select((F.col("doc_id") % 8).alias("bin"), F.col("doc_id").alias("contig"), F.transform("rho", lambda x: F.coalesce(x, F.lit(0.0))).alias("rho"))
+    return cleanup.karlin_outliers(rho, ["bin"], "contig", limit=2.0, least=20, most=0.4).select("bin", "contig", r6(F.col("distance")).alias("value"), F.round("z", 5).alias("z"))
 
 
 TNF = f"{DNA}, t AS (SELECT doc_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM (SELECT doc_id, s[i:i + 3] AS k FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 3)) AS i FROM d)) GROUP BY ALL), r AS (SELECT doc_id % 8 AS bin, doc_id AS contig, length(s) AS length, kmer, n / sum(n) OVER (PARTITION BY doc_id)::DOUBLE AS share FROM t JOIN d USING (doc_id))"

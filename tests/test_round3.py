@@ -263,3 +263,8 @@ def test_many_blocks_become_fewer(spark, monkeypatch):
     d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
     assert {(r["i"], r["rank"]): r["j"] for r in found.collect()} == {(i, k + 1): int(j) for i, row in enumerate(d.argsort(axis=1)) for k, j in enumerate(row[:4])}
+
+
+def test_texts_are_read_once_for_odds(spark):
+    """Medians and shares of outliers go over written distances, not over the texts again."""
+    assert "ArrowEvalPython" not in planned(cleanups.karlin_outliers(spark, "/root/testdata/sf0.001"))
