@@ -268,3 +268,13 @@ def test_many_blocks_become_fewer(spark, monkeypatch):
 def test_texts_are_read_once_for_odds(spark):
     """Medians and shares of outliers go over written distances, not over the texts again."""
     assert "ArrowEvalPython" not in planned(cleanups.karlin_outliers(spark, "/root/testdata/sf0.001"))
+
+
+def test_quartiles_and_blocks_of_both_sides(spark):
+    rows = [(g, (i * 37 + g) % 23 if i % 5 else None) for g in range(4) for i in range(g * 7 + 1, g * 17 + 6)]
+    got = evidence.quartiles(spark.createDataFrame(rows, "g int, x int"), ["g"], "x")
+    own = {g: sorted(x for h, x in rows if h == g and x is not None) for g in range(4)}
+    assert sorted(map(tuple, got.collect())) == [(g, v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]) for g, v in own.items()]
+    spans = spark.range(100).select("id", F.lit(0).alias("a"), F.lit(1000).alias("b"))
+    found = evidence.overlapping(spans, "id", "a", "b", 0.8, block=10)
+    assert found.count() == 4950 and "part#" in planned(found)  # a span meets ten blocks, not the blocks of all spans on one side
